@@ -81,12 +81,12 @@ gaps AS (
   LEFT JOIN sq x ON x.doc_id = o.doc_id AND x.i = o.i
   LEFT JOIN sq y ON y.doc_id = o.doc_id AND y.i = o.i + 1
   LEFT JOIN dots d ON d.doc_id = o.doc_id AND d.i = o.i),
-sorted AS (SELECT doc_id, list(gap ORDER BY gap) AS g, (count(*) - 1) * 0.9::DOUBLE AS at FROM gaps GROUP BY 1),
+sorted AS (SELECT doc_id, list(gap ORDER BY gap) AS g, (count(*) - 1) * 0.9::DOUBLE AS place FROM gaps GROUP BY 1),
 limits AS (
-  SELECT doc_id, g[floor(at)::INT + 1] + (g[least(floor(at)::INT + 2, len(g))] - g[floor(at)::INT + 1]) * (at - floor(at)) AS lim
+  SELECT doc_id, g[floor(place)::INT + 1] + (g[least(floor(place)::INT + 2, len(g))] - g[floor(place)::INT + 1]) * (place - floor(place)) AS lim
   FROM sorted),
 marked AS (
-  SELECT o.doc_id, o.i, o.sent, coalesce((SELECT 1 WHERE g.gap > l.lim), 0) AS brk
+  SELECT o.doc_id, o.i, o.sent, CASE WHEN g.gap > l.lim THEN 1 ELSE 0 END AS brk
   FROM one o LEFT JOIN gaps g ON g.doc_id = o.doc_id AND g.i = o.i - 1 LEFT JOIN limits l ON l.doc_id = o.doc_id),
 seg AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM marked),
 whole AS (SELECT doc_id, seg, string_agg(sent, ' ' ORDER BY i) AS t FROM seg GROUP BY ALL),
