@@ -1,4 +1,4 @@
-"""Naming a value inside an expression."""
+"""Evaluating a value once."""
 
 from __future__ import annotations
 
@@ -15,3 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     evaluated again for each element; a lambda variable is never inlined.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(udf):
+    """A Python function whose result is kept, not computed again for each use.
+
+    Catalyst copies a deterministic expression into the filters it infers or pushes
+    down, and would run the function twice per row.
+    """
+    return udf.asNondeterministic()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecweave.functions.binding import let
+from vecweave.functions.binding import let, once
 from vecweave.functions.text import tokens
 
 _HALF = float(2**31)
@@ -83,7 +83,7 @@ def hashing_vector(text: Column, dim: int) -> Column:
             out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array((unit + 0.0).ravel()), mask=mask))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float64()))
 
-    return vectors(tokens(text))
+    return once(vectors)(tokens(text))
 
 
 def adjacent_distances(sentence_list: Column, dim: int) -> Column:
@@ -118,4 +118,4 @@ def adjacent_distances(sentence_list: Column, dim: int) -> Column:
         ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(gap[keep]))
 
-    return distances(F.transform(sentence_list, tokens))
+    return once(distances)(F.transform(sentence_list, tokens))

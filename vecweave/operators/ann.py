@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecweave.functions.binding import once
 from vecweave.functions.vectors import normalize
 from vecweave.operators.search import DEFAULT_K, filter_condition, shape_results
 from vecweave.plans.topk import top_k
@@ -65,7 +66,7 @@ def assign_lists(store: DataFrame, index: IvfIndex) -> DataFrame:
             m = np.divide(m, length, out=m.copy(), where=length > 0)
         return pd.Series((squares[None, :] - 2.0 * (m @ centroids.T)).argmin(axis=1).astype("int32"))
 
-    return store.filter(F.size("embedding") > 0).withColumn("list_id", nearest("embedding"))
+    return store.filter(F.size("embedding") > 0).withColumn("list_id", once(nearest)("embedding"))
 
 
 def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
@@ -90,7 +91,7 @@ def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
         far = squares[None, :] - 2.0 * (m @ centroids.T)
         return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :n]))
 
-    return queries.filter(F.size("embedding") > 0).withColumn("codes", nearest("embedding"))
+    return queries.filter(F.size("embedding") > 0).withColumn("codes", once(nearest)("embedding"))
 
 
 def ivf_search(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecweave.plans.blocks import BLOCK, carry_in, in_block, null_safe_join
+from vecweave.plans.blocks import MAX_KEY_ROWS, carry_in, in_block, into_blocks
 
 MAX_RETRIES = 3
 PROCESSING_TIMEOUT_SECONDS = 3600
-# Transitions of one file are handled in blocks of this many seconds.
+# Blocks of a very long history span this many seconds.
 BLOCK_SECONDS = 3600
 
 
@@ -24,50 +24,54 @@ def content_fingerprint(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
-def ledger_history(transitions: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def ledger_history(
+    transitions: DataFrame, block_seconds: int = BLOCK_SECONDS, max_rows: int = MAX_KEY_ROWS
+) -> DataFrame:
     """Each transition with the retry count in force after it.
 
     A start that follows a failure adds one; any other start sets the count to zero.
-    Both the previous status and the count are scans along a file's transitions. They
-    run inside (file, time block) and take over one summary row per earlier block, so
-    a file with a long history is not one task's work.
+    Both the previous status and the count are scans along a file's transitions. A file
+    with a very long history is cut into time blocks, which take over one summary row
+    per earlier block.
     """
     keys = ["fingerprint"]
-    by = [F.col("ts"), F.col("seq")]
-    rows = transitions.withColumn(BLOCK, F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / block_seconds))
-    ordered = in_block(keys).orderBy(*by)
-    known = carry_in(
-        rows.withColumn("_prev_here", F.lag("status").over(ordered)),
-        keys,
-        {"_last": F.max_by("status", F.struct("ts", "seq"))},
-        {"_prev_carried": lambda w: F.last("_last").over(w)},
-    )
+    coarse = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / block_seconds)
+    rows, cut = into_blocks(transitions, keys, coarse, max_rows)
+    ordered = in_block(keys).orderBy("ts", "seq")
+    previous = F.lag("status").over(ordered)
+    if cut:
+        rows = carry_in(
+            rows,
+            keys,
+            {"_last": F.max_by("status", F.struct("ts", "seq"))},
+            {"_earlier": lambda w: F.last("_last").over(w)},
+        )
+        previous = F.coalesce(previous, "_earlier")
     start = F.col("status") == "processing"
-    previous = F.coalesce("_prev_here", "_prev_carried")
-    retried = start & (F.coalesce(previous, F.lit("")) == "failed")
-    flagged = known.withColumn("_retry", F.when(retried, 1).otherwise(0)).withColumn("_reset", start & ~retried)
-    running = in_block(keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    counted = flagged.withColumn("_retries", F.sum("_retry").over(running)).withColumn(
-        "_base", F.max(F.when(F.col("_reset"), F.col("_retries"))).over(running)
-    )
-    scanned = _carry_counts(counted, keys)
-    before = F.coalesce("_before", F.lit(0))
-    base = F.coalesce(before + F.col("_base"), F.col("_base_carried"), F.lit(0))
-    return scanned.withColumn("retry_count", (before + F.col("_retries") - base).cast("int")).select(
-        *transitions.columns, "retry_count"
+    retried = start & F.col("_previous").eqNullSafe("failed")
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    counted = (
+        rows.withColumn("_previous", previous)
+        .withColumn("_retry", F.when(retried, 1).otherwise(0))
+        .withColumn("_retries", F.sum("_retry").over(running))
+        # The number of retries at the latest start that set the count to zero.
+        .withColumn("_base", F.max(F.when(start & (F.col("_retry") == 0), F.col("_retries"))).over(running))
     )
-
-
-def _carry_counts(counted: DataFrame, keys: list[str]) -> DataFrame:
-    # A block's base counts from the start of the file once the retries before it are added.
-    blocks = counted.groupBy(*keys, BLOCK).agg(F.sum("_retry").alias("_n"), F.max("_base").alias("_b"))
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    state = (
-        blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn("_base_carried", F.max(F.col("_before") + F.col("_b")).over(earlier))
-        .select(*keys, BLOCK, "_before", "_base_carried")
-    )
-    return null_safe_join(counted, state, [*keys, BLOCK])
+    before, base = F.lit(0), F.col("_base")
+    if cut:
+        counted = carry_in(
+            counted,
+            keys,
+            {"_n": F.sum("_retry"), "_b": F.max("_base")},
+            {
+                "_before": lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)),
+                "_base_before": lambda w: F.max(F.col("_before") + F.col("_b")).over(w),
+            },
+        )
+        before = F.coalesce("_before", F.lit(0))
+        base = F.coalesce(before + F.col("_base"), "_base_before")
+    count = before + F.col("_retries") - F.coalesce(base, F.lit(0))
+    return counted.withColumn("retry_count", count.cast("int")).select(*transitions.columns, "retry_count")
 
 
 def ledger_state(transitions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecweave.plans.blocks import BLOCK, originals, overlapping_blocks, position_in_key
+from vecweave.plans.blocks import BLOCK, MAX_KEY_ROWS, originals, overlapping_blocks, position_in_key
 
 # The chunk variables a template may name, and the question prompt.
 CHUNK_VARIABLES = ("content", "document_type", "metadata", "chunk_index", "chunking_strategy")
@@ -77,17 +77,18 @@ def history_window(
     n: int = 4,
     conversation: str = "conv_id",
     turn: str = "turn",
-    width: int = 4096,
+    width: int = 100_000,
+    max_rows: int = MAX_KEY_ROWS,
     out: str = "history",
 ) -> DataFrame:
     """The last n messages before each turn as ``role: text`` lines.
 
-    A conversation is cut into blocks of ``width`` messages, each with the n messages
-    before it, so one endless conversation does not end up in one task.
+    A very long conversation is cut into blocks of ``width`` messages, each with the n
+    messages before it.
     """
     coarse = F.floor(F.col(turn) / width)
-    placed = position_in_key(messages, [conversation], [F.col(turn)], coarse)
-    spread = overlapping_blocks(placed, F.col("_pos"), max(width, n), n)
+    placed, cut = position_in_key(messages, [conversation], [F.col(turn)], coarse, max_rows)
+    spread = overlapping_blocks(placed, F.col("_pos"), max(width, n), n, cut)
     before = Window.partitionBy(conversation, BLOCK).orderBy("_pos").rowsBetween(-n, -1)
     line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
     return originals(

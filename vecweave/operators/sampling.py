@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecweave.plans.blocks import BLOCK, carry_in, in_block
+from vecweave.plans.blocks import BLOCK, MAX_KEY_ROWS, carry_in, in_block, large_keys
 
 DEFAULT_MAX_BYTES = 199_000_000
 # A cell covers this many full parts; a super-cell this many cells.
@@ -16,14 +16,16 @@ _FAN = 64
 SMALL_SAMPLE = 10_000
 
 
-def byte_offsets(df: DataFrame, key: str, order: str, line: str, block_rows: int = 100_000) -> DataFrame:
-    """``key, order, _start, _end``: the bytes each line takes in its key's file, newline included.
+def _line_bytes(df: DataFrame, key: str, order: str, line: str) -> DataFrame:
+    return df.select(key, order, (F.octet_length(line) + 1).cast("bigint").alias("_bytes"))
+
+
+def byte_offsets(lines: DataFrame, key: str, order: str, block_rows: int) -> DataFrame:
+    """``key, order, _start, _end``: the bytes each line takes in its key's file.
 
     ``order`` is a whole number; ranges of it are the blocks of the running sum.
     """
-    rows = df.select(key, order, (F.octet_length(line) + 1).cast("bigint").alias("_bytes")).withColumn(
-        BLOCK, F.floor(F.col(order) / block_rows)
-    )
+    rows = lines.withColumn(BLOCK, F.floor(F.col(order) / block_rows))
     here = in_block([key]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = carry_in(
         rows.withColumn("_sum", F.sum("_bytes").over(here)),
@@ -52,22 +54,58 @@ def split_by_bytes(
     key: str = "source",
     order: str = "doc_id",
     line: str = "text",
+    max_rows: int = MAX_KEY_ROWS,
+    block_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add ``part``: consecutive lines of a key, each part at most ``max_bytes``.
 
     A new part begins where the next line would not fit; a line larger than a part
-    stands alone. The result is that of one pass over the key's lines in order, but no
-    task sees a whole key: lines are grouped in cells of a fixed byte range, each cell
-    works out where it is left for every line that may be its first part start, those
-    small tables are chained over cells and super-cells, and each cell then numbers
-    its lines from its true entry. (key, order) must be unique.
+    stands alone. Only (key, order, bytes) are grouped, never the lines. (key, order)
+    must be unique.
+
+    A key of up to ``max_rows`` lines is packed in one pass. If some key is larger, no
+    task sees a whole key, and the result is still that of one pass: lines are grouped
+    in cells of a fixed byte range, each cell works out where it is left for every line
+    that may be its first part start, those small tables are chained over cells and
+    super-cells, and each cell then numbers its lines from its true entry.
     """
     if max_bytes < 1:
         raise ValueError("max_bytes must be at least 1")
+    lines = _line_bytes(df, key, order, line)
+    if large_keys(lines, [key], max_rows) is None:
+        numbered = _pack_small_keys(lines, key, order, max_bytes)
+    else:
+        numbered = _pack_in_cells(lines, key, order, max_bytes, block_rows)
+    return df.join(numbered, [key, order])
+
+
+def _part_numbers(start: np.ndarray, end: np.ndarray, max_bytes: int, first: int, parts: int) -> np.ndarray:
+    """Part of each line, when ``first`` is the first line that starts one and ``parts`` came before."""
+    following = _next_starts(start, end, max_bytes)
+    starts = []
+    while first < len(start):
+        starts.append(first)
+        first = int(following[first])
+    return parts + np.searchsorted(np.array(starts, dtype=np.int64), np.arange(len(start)), "right")
+
+
+def _pack_small_keys(lines: DataFrame, key: str, order: str, max_bytes: int) -> DataFrame:
+    types = dict(lines.dtypes)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        end = np.cumsum(pdf["_bytes"].to_numpy())
+        part = _part_numbers(end - pdf["_bytes"].to_numpy(), end, max_bytes, 0, 0)
+        return pdf[[key, order]].assign(part=part.astype(np.int64))
+
+    return lines.groupBy(key).applyInPandas(pack, f"`{key}` {types[key]}, `{order}` {types[order]}, part bigint")
+
+
+def _pack_in_cells(lines: DataFrame, key: str, order: str, max_bytes: int, block_rows: int) -> DataFrame:
     width = max_bytes * _FAN
-    placed = byte_offsets(df, key, order, line).withColumn("_cell", F.floor(F.col("_start") / width))
-    key_type = df.schema[key].dataType.simpleString()
-    order_type = df.schema[order].dataType.simpleString()
+    placed = byte_offsets(lines, key, order, block_rows).withColumn("_cell", F.floor(F.col("_start") / width))
+    key_type = lines.schema[key].dataType.simpleString()
+    order_type = lines.schema[order].dataType.simpleString()
     chain_type = f"`{key}` {key_type}, _cell bigint, _ends bigint, _limit bigint, _parts bigint"
     entry_type = f"`{key}` {key_type}, _cell bigint, _limit bigint, _parts bigint"
 
@@ -133,13 +171,8 @@ def split_by_bytes(
     def number(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_start")
         start, end = rows["_start"].to_numpy(), rows["_end"].to_numpy()
-        following = _next_starts(start, end, max_bytes)
-        at = int(_enter(end, np.array([int(entry["_limit"].iloc[0])]))[0])
-        starts = []
-        while at < len(start):
-            starts.append(at)
-            at = int(following[at])
-        part = int(entry["_parts"].iloc[0]) + np.searchsorted(np.array(starts, dtype=np.int64), np.arange(len(start)), "right")
+        first = int(_enter(end, np.array([int(entry["_limit"].iloc[0])]))[0])
+        part = _part_numbers(start, end, max_bytes, first, int(entry["_parts"].iloc[0]))
         return pd.DataFrame({key: rows[key].to_numpy(), order: rows[order].to_numpy(), "part": part.astype(np.int64)})
 
     chains = placed.groupBy(key, "_cell").applyInPandas(cell_chain, chain_type)
@@ -154,12 +187,11 @@ def split_by_bytes(
     entries = (
         grouped.groupBy(key, "_super").cogroup(super_entries.groupBy(key, "_super")).applyInPandas(walk_super, entry_type)
     )
-    numbered = (
+    return (
         placed.groupBy(key, "_cell")
         .cogroup(entries.groupBy(key, "_cell"))
         .applyInPandas(number, f"`{key}` {key_type}, `{order}` {order_type}, part bigint")
     )
-    return df.join(numbered, [key, order])
 
 
 def sample_order(id_column: Column, seed: int) -> Column:

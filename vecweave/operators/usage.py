@@ -6,19 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecweave.catalog import QUOTA_PRESETS
-from vecweave.plans.blocks import BLOCK, COPY, originals, overlapping_blocks, position_in_key
+from vecweave.plans.blocks import BLOCK, MAX_KEY_ROWS, large_keys, originals, overlapping_blocks, position_in_key
 
 MICROS = 1_000_000
 MINUTE_SECONDS = 60
 LATENCY_HISTORY = 100
 # A block spans this many look-back windows, so a fifth of the rows are copied.
 _WINDOWS_PER_BLOCK = 5
+# A block of responses holds this many histories, so one row in a thousand is copied.
+_HISTORIES_PER_BLOCK = 1000
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def _look_back(log: DataFrame, seconds: int, max_rows: int) -> DataFrame:
+    """The log with ``_us``, in blocks of time if some caller is very busy."""
+    timed = log.withColumn("_us", micros(F.col("ts")))
+    reach = seconds * MICROS
+    cut = large_keys(log, ["key"], max_rows) is not None
+    return overlapping_blocks(timed, F.col("_us"), reach * _WINDOWS_PER_BLOCK, reach, cut)
+
+
 def trailing_usage(
     log: DataFrame,
     window_seconds: int = MINUTE_SECONDS,
@@ -26,6 +36,7 @@ def trailing_usage(
     tokens_limit: int | None = None,
     burst_seconds: int | None = None,
     burst_limit: int | None = None,
+    max_rows: int = MAX_KEY_ROWS,
 ) -> DataFrame:
     """Requests and tokens of the caller in the window that ends at each request.
 
@@ -34,8 +45,7 @@ def trailing_usage(
     ``burst_seconds``, adds the shorter burst count, whose far end is excluded.
     """
     spans = [window_seconds, *([burst_seconds] if burst_seconds else [])]
-    reach = max(spans) * MICROS
-    spread = overlapping_blocks(log.withColumn("_us", micros(F.col("ts"))), F.col("_us"), reach * _WINDOWS_PER_BLOCK, reach)
+    spread = _look_back(log, max(spans), max_rows)
     by_time = Window.partitionBy("key", BLOCK).orderBy("_us")
     frame = by_time.rangeBetween(-window_seconds * MICROS, 0)
     out = (
@@ -60,11 +70,12 @@ def trailing_usage(
     ).drop("_us", "_oldest")
 
 
-def burst_usage(log: DataFrame, burst_seconds: int, max_burst_requests: int) -> DataFrame:
+def burst_usage(
+    log: DataFrame, burst_seconds: int, max_burst_requests: int, max_rows: int = MAX_KEY_ROWS
+) -> DataFrame:
     """Requests within the burst window against the burst limit."""
-    reach = burst_seconds * MICROS
-    spread = overlapping_blocks(log.withColumn("_us", micros(F.col("ts"))), F.col("_us"), reach * _WINDOWS_PER_BLOCK, reach)
-    burst = Window.partitionBy("key", BLOCK).orderBy("_us").rangeBetween(-(reach - 1), 0)
+    spread = _look_back(log, burst_seconds, max_rows)
+    burst = Window.partitionBy("key", BLOCK).orderBy("_us").rangeBetween(-(burst_seconds * MICROS - 1), 0)
     return originals(
         spread.withColumn("burst_requests", F.count(F.lit(1)).over(burst)).withColumn(
             "over_burst", F.col("burst_requests") > max_burst_requests
@@ -81,6 +92,7 @@ def latency_adaptation(
     history: int = LATENCY_HISTORY,
     block_seconds: int = 3600,
     tie: str = "request_id",
+    max_rows: int = MAX_KEY_ROWS,
 ) -> DataFrame:
     """Rate adjustment each response asks for.
 
@@ -88,14 +100,14 @@ def latency_adaptation(
     of zero is not weighted). Above ``maximum`` the rate falls by 2 * factor, above
     ``target`` by factor, below half the target it rises by factor.
     """
-    us = micros(F.col("ts"))
-    placed = position_in_key(
-        log.withColumn("_us", us),
+    placed, cut = position_in_key(
+        log.withColumn("_us", micros(F.col("ts"))),
         ["key"],
         [F.col("_us"), F.col(tie)],
         F.floor(F.col("_us") / (block_seconds * MICROS)),
+        max_rows,
     )
-    spread = overlapping_blocks(placed, F.col("_pos"), history * 50, history - 1)
+    spread = overlapping_blocks(placed, F.col("_pos"), history * _HISTORIES_PER_BLOCK, history - 1, cut)
     recent = Window.partitionBy("key", BLOCK).orderBy("_pos").rowsBetween(-(history - 1), 0)
     latest = F.col("response_time")
     mean = F.avg("response_time").over(recent)
@@ -159,13 +171,3 @@ def quota_fit(log: DataFrame) -> DataFrame:
         .withColumn("fits_burst", F.col("peak_requests") <= F.col("max_burst_requests"))
         .withColumn("fits", (F.col("peak_requests") <= F.col("requests_per_minute")) & fits_tokens)
     )
-
-
-__all__ = [
-    "COPY",
-    "burst_usage",
-    "latency_adaptation",
-    "quota_fit",
-    "trailing_usage",
-    "usage_report",
-]

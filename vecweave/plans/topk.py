@@ -12,6 +12,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +81,12 @@ class LocalTopK:
             self._feed_slice(pa.Table.from_batches([batch.slice(start, step)]))
 
     def _feed_slice(self, part: pa.Table) -> None:
+        # Rows without a vector are skipped here: a filter before would compute vectors twice.
+        present = pc.greater(pc.fill_null(pc.list_value_length(part.column(self.vector_column)), 0), 0)
+        if not pc.all(present).as_py():
+            part = part.filter(present)
+            if part.num_rows == 0:
+                return
         vectors = vector_matrix(part.column(self.vector_column), self.dim)
         slack = 0.0
         if self.metric == "cosine":
@@ -197,7 +204,6 @@ def top_k(
     once, with no shuffle of store rows. A larger one is matched on a grid of
     (query block, store block) cells instead, so no side is ever held whole.
     """
-    store = store.filter(F.size("embedding") > 0)
     wanted = [F.col("query_id"), F.col("embedding")]
     if code_column:
         wanted.append(F.col("codes"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecweave.functions.binding import once
 from vecweave.schemas import API_DOC
 from vecweave.sources.manifest import extension
 
@@ -133,7 +134,7 @@ def _parsed(ext: Column, content: Column, parsers: dict[str, Parser], skip: list
         return pd.DataFrame([parse(e, b) for e, b in zip(exts, contents)], columns=["text", "error"], dtype=object)
 
     # Only bytes that a parser will see travel to Python.
-    return run(ext, F.when(ext.isin(list(parsers)) & ~ext.isin(skip), content))
+    return once(run)(ext, F.when(ext.isin(list(parsers)) & ~ext.isin(skip), content))
 
 
 def extract_with(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
