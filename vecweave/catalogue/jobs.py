@@ -156,6 +156,13 @@ def ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ledger_history(transitions(spark, sf_dir)).select("fingerprint", "seq", "status", "retry_count")
 
 
+@query("ledger_history_blocks", f"WITH {SQL_TRANSITIONS} SELECT fingerprint, seq, status, retry_count FROM history")
+def ledger_history_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every file treated as a long history and cut into days."""
+    history = L.ledger_history(transitions(spark, sf_dir), block_seconds=86400, max_rows=1)
+    return history.select("fingerprint", "seq", "status", "retry_count")
+
+
 @query(
     "ledger_state",
     f"""WITH {SQL_TRANSITIONS} SELECT fingerprint, status, instance_id, epoch_us(started_at) AS started_us,
@@ -217,21 +224,31 @@ HOUR = 3600
 RANGE = "PARTITION BY key ORDER BY us RANGE BETWEEN {} PRECEDING AND CURRENT ROW"
 
 
-@query(
-    "trailing_usage",
-    f"""WITH {SQL_REQUEST_LOG},
+SQL_TRAILING = f"""WITH {SQL_REQUEST_LOG},
 w AS (SELECT *, count(*) OVER h AS n, sum(tokens) OVER h AS t, min(us) OVER h AS oldest
       FROM log WINDOW h AS ({RANGE.format(HOUR * 1000000)}))
 SELECT request_id, n AS requests_in_window, t::BIGINT AS tokens_in_window, n > 1 OR t > 600 AS over_limit,
-       round(CASE WHEN n > 1 OR t > 600 THEN {HOUR} - (us - oldest) / 1e6 ELSE 0 END, 6) AS wait_seconds FROM w""",
-)
-def trailing_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = usage.trailing_usage(request_log(spark, sf_dir), HOUR, requests_limit=1, tokens_limit=600)
+       round(CASE WHEN n > 1 OR t > 600 THEN {HOUR} - (us - oldest) / 1e6 ELSE 0 END, 6) AS wait_seconds FROM w"""
+
+
+def _trailing(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    used = usage.trailing_usage(request_log(spark, sf_dir), HOUR, requests_limit=1, tokens_limit=600, **options)
     return used.select(
         "request_id", "requests_in_window", "tokens_in_window", "over_limit", r("wait_seconds").alias("wait_seconds")
     )
 
 
+@query("trailing_usage", SQL_TRAILING)
+def trailing_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trailing(spark, sf_dir)
+
+
+@query("trailing_usage_blocks", SQL_TRAILING)
+def trailing_usage_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every caller treated as very busy and cut into blocks of time."""
+    return _trailing(spark, sf_dir, max_rows=1)
+
+
 @query(
     "burst_usage",
     f"""WITH {SQL_REQUEST_LOG}
@@ -250,9 +267,8 @@ SELECT request_id, round(smoothed, 9) AS smoothed_latency, adj AS adjustment,
        greatest(1, floor(60 * (adj + 1.0::DOUBLE)))::BIGINT AS suggested_rpm FROM a"""
 
 
-@query("latency_adaptation", SQL_ADAPTATION)
-def latency_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = usage.latency_adaptation(request_log(spark, sf_dir), 60, target=15.0, maximum=25.0)
+def _adaptation(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    asked = usage.latency_adaptation(request_log(spark, sf_dir), 60, target=15.0, maximum=25.0, **options)
     return asked.select(
         "request_id",
         F.round("smoothed_latency", 9).alias("smoothed_latency"),
@@ -261,6 +277,16 @@ def latency_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("latency_adaptation", SQL_ADAPTATION)
+def latency_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adaptation(spark, sf_dir)
+
+
+@query("latency_adaptation_blocks", SQL_ADAPTATION)
+def latency_adaptation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adaptation(spark, sf_dir, max_rows=1, block_seconds=86400)
+
+
 @query(
     "usage_report",
     f"""WITH {SQL_REQUEST_LOG},
@@ -302,9 +328,7 @@ def quota_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAX_BYTES = 30000
 
 
-@query(
-    "split_by_bytes",
-    f"""WITH RECURSIVE d AS (
+SQL_SPLIT = f"""WITH RECURSIVE d AS (
   SELECT source, doc_id, octet_length(encode(text)) + 1 AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn
   FROM documents),
 p AS (
@@ -313,13 +337,22 @@ p AS (
   SELECT d.source, d.doc_id, d.rn, CASE WHEN p.used + d.bytes > {MAX_BYTES} THEN d.bytes ELSE p.used + d.bytes END,
          CASE WHEN p.used + d.bytes > {MAX_BYTES} THEN p.part + 1 ELSE p.part END
   FROM p JOIN d ON d.source = p.source AND d.rn = p.rn + 1)
-SELECT source, doc_id, part::BIGINT AS part FROM p""",
-)
+SELECT source, doc_id, part::BIGINT AS part FROM p"""
+
+
+@query("split_by_bytes", SQL_SPLIT)
 def split_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("source", "doc_id", "text")
     return sampling.split_by_bytes(docs, MAX_BYTES).select("source", "doc_id", "part")
 
 
+@query("split_by_bytes_cells", SQL_SPLIT)
+def split_by_bytes_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every source treated as too large for one pass."""
+    docs = documents(spark, sf_dir).select("source", "doc_id", "text")
+    return sampling.split_by_bytes(docs, MAX_BYTES, max_rows=1).select("source", "doc_id", "part")
+
+
 @query("sample_exact", "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 100")
 def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -123,12 +123,19 @@ def neighbor_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "history_window",
-    """SELECT conv_id, turn, md5(coalesce(string_agg(role || ': ' || text, chr(10)) OVER (
+SQL_HISTORY = """SELECT conv_id, turn, md5(coalesce(string_agg(role || ': ' || text, chr(10)) OVER (
          PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '')) AS history
-FROM conversations""",
-)
+FROM conversations"""
+
+
+@query("history_window_blocks", SQL_HISTORY)
+def history_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every conversation treated as endless and cut into blocks of five turns."""
+    told = history_window(table(spark, sf_dir, "conversations"), 4, width=5, max_rows=1)
+    return told.select("conv_id", "turn", F.md5("history").alias("history"))
+
+
+@query("history_window", SQL_HISTORY)
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = history_window(table(spark, sf_dir, "conversations"), 4)
     return told.select("conv_id", "turn", F.md5("history").alias("history"))
