@@ -64,7 +64,8 @@ def _manifest_columns(files: DataFrame) -> list[Column]:
 def scan_manifest(spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """Name, path, type, size and time of each file. The scan does not read the content.
 
-    ``path`` is any Hadoop path, so an object store works the same way.
+    ``path`` is any Hadoop path, so an object store works the same way. Spark's file
+    sources leave out files of zero bytes, which have nothing to extract.
     """
     files = _files(spark, path, recursive, glob)
     return files.select(*_manifest_columns(files))
