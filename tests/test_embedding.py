@@ -132,9 +132,11 @@ def test_salted_join_keeps_every_row(spark):
 
     left = spark.range(2000).select("id", F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 7).alias("k"))
     right = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k long, v string")
-    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    got = salted_join(left, right, "k", counts, F.col("id"), rows_per_salt=100)
     want = left.join(right, "k", "left")
+    got = salted_join(left, right, "k", F.col("id"), rows_per_salt=100)
+    assert "_salt" in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = salted_join(left, right, "k", F.col("id"))
+    assert "_salt" not in plain._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, want.select("id", "k", "v").collect()))
 
 

@@ -145,7 +145,7 @@ def test_ivf_full_probe_is_exact_and_recall(data):
 def test_ivf_prunes_partitions(data, spark, tmp_path):
     q, s, _, _ = data
     index = ann.train_ivf(s, lists=8)
-    ann.assign_lists(s, index).write.partitionBy("list_id").parquet(f"{tmp_path}/ivf")
+    ann.write_lists(ann.assign_lists(s, index), f"{tmp_path}/ivf")
     found = ann.ivf_search(q.limit(1), spark.read.parquet(f"{tmp_path}/ivf"), index, nprobe=1)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*list_id#\d+ = \d", plan)

@@ -183,3 +183,10 @@ def test_incremental_run_retries_only_what_failed(spark, folder, tmp_path_factor
     assert {r["source"].rsplit("/", 1)[1] for r in first.chunks.collect()} == {"test.txt", "test.json", "slides.pptx"}
     second = process_incremental(spark, folder, first.transitions, work(), now)
     assert second.chunks.count() == 0 and second.transitions.filter("status = 'failed'").count() == 3
+    # Once nothing is due, nothing is read; a new file is read alone, by its name.
+    done = first.transitions.withColumn("status", F.regexp_replace("status", "failed", "completed"))
+    assert process_incremental(spark, folder, done, work(), now).transitions.count() == 0
+    with open(f"{folder}/fresh.txt", "w") as f:
+        f.write("fresh")
+    third = process_incremental(spark, folder, done, work(), now)
+    assert [r["content"] for r in third.chunks.collect()] == ["fresh"]

@@ -110,3 +110,26 @@ def test_facets(spark):
 def test_vector_ids(spark):
     df = rows(spark, ("a", "1", [1.0], 0), ("b", "2", None, 0)).withColumn("vector_id", F.lit(None).cast("string"))
     assert [r["vector_id"] for r in S.assign_vector_ids(df).orderBy("id").collect()] == ["vec_a", None]
+
+
+def test_missing_and_compact(spark, store):
+    store.append(rows(spark, ("a", "1", [1.0], 0)))
+    store.append(rows(spark, ("b", "1", [1.0], 0)))
+    new = store.missing(rows(spark, ("a", "x", [1.0], 0), ("c", "x", [1.0], 0), ("c", "x", [1.0], 1)))
+    assert [r["id"] for r in new.collect()] == ["c"]
+    store.compact()
+    assert contents(store) == [("a", "1"), ("b", "1")] and store.snapshots() == [1, 2]
+
+
+def test_incoming_rows_are_computed_once(spark, store):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    store.upsert(rows(spark, ("a", "1", [1.0], 0)))
+    incoming = rows(spark, ("a", "2", [1.0], 0), ("b", "2", [1.0], 0))
+    store.upsert(incoming.mapInPandas(count, incoming.schema))
+    assert contents(store) == [("a", "2"), ("b", "2")] and seen.value == 2

@@ -47,7 +47,7 @@ def train_ivf(
 
 
 def assign_lists(store: DataFrame, index: IvfIndex) -> DataFrame:
-    """Add ``list_id``, the nearest centroid. Write the result with ``partitionBy("list_id")``."""
+    """Add ``list_id``, the nearest centroid."""
     from pyspark.sql.pandas.functions import pandas_udf
 
     centroids = index.centroids
@@ -69,6 +69,15 @@ def assign_lists(store: DataFrame, index: IvfIndex) -> DataFrame:
     return store.filter(F.size("embedding") > 0).withColumn("list_id", once(nearest)("embedding"))
 
 
+def write_lists(listed: DataFrame, path: str) -> None:
+    """Write by list, so that a search reads only the probed ones.
+
+    Files are balanced: rows of a list go together, and a list with much of the data is
+    split over several tasks.
+    """
+    listed.hint("rebalance", "list_id").write.partitionBy("list_id").parquet(path)
+
+
 def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
     """Add ``codes``: the nprobe nearest lists of each query."""
     from pyspark.sql.pandas.functions import pandas_udf

@@ -206,17 +206,16 @@ def embed_cached(
     aggregation; a text repeated very often is salted when its vector is joined back.
     """
     keyed = df.withColumn("text_key", F.md5(text))
-    distinct = keyed.groupBy("text_key").agg(F.any_value(text).alias(text), F.count(F.lit(1)).alias("n"))
-    counts = distinct.select("text_key", "n")
+    distinct = keyed.groupBy("text_key").agg(F.any_value(text).alias(text))
     if cache is None:
         known = None
         missing = distinct
     else:
         known = cache.select("text_key", "embedding").dropDuplicates(["text_key"])
         missing = distinct.join(known, "text_key", "left_anti")
-    made = embed(missing.drop("n")).select("text_key", "embedding").withColumn("cache_hit", F.lit(False))
+    made = embed(missing).select("text_key", "embedding").withColumn("cache_hit", F.lit(False))
     vectors = made if known is None else made.unionByName(known.withColumn("cache_hit", F.lit(True)))
-    return salted_join(keyed, vectors, "text_key", counts, F.col(id_column))
+    return salted_join(keyed, vectors, "text_key", F.col(id_column))
 
 
 def cache_entries(embedded: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +43,6 @@ def latest_by_id(rows: DataFrame, order: list[Column], key: str = "id") -> DataF
     return rows.groupBy(key).agg(last.alias("_row")).select("_row.*")
 
 
-def upsert_rows(current: DataFrame, incoming: DataFrame, order: list[Column], key: str = "id") -> DataFrame:
-    """Current rows with the incoming ones replacing or joining them.
-
-    Current rows pass through without being aggregated: only their ids are matched
-    against the incoming ids, as a broadcast where Spark finds those small enough.
-    """
-    fresh = latest_by_id(incoming, order, key)
-    kept = current.join(fresh.select(key), key, "left_anti")
-    return kept.unionByName(fresh, allowMissingColumns=True)
-
-
 def delete_rows(current: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return current.join(ids.select(key).distinct(), key, "left_anti")
 
@@ -100,32 +87,55 @@ class VectorStore:
             return self.spark.createDataFrame([], CHUNK)
         return self.spark.read.parquet(current)
 
-    def _write_snapshot(self, rows: DataFrame) -> None:
+    def _next(self) -> str:
         found = self.snapshots()
-        target = f"{self.path}/{_SNAPSHOT}{(found[-1] if found else 0) + 1}"
-        rows.write.mode("overwrite").partitionBy(*self.partition_by).parquet(target)
+        return f"{self.path}/{_SNAPSHOT}{(found[-1] if found else 0) + 1}"
+
+    def _write(self, rows: DataFrame, target: str, mode: str, finished: bool = True) -> None:
+        if self.partition_by:
+            # Even files per partition value; a value with much of the data is split.
+            rows = rows.hint("rebalance", *self.partition_by)
+        writer = rows.write.mode(mode).partitionBy(*self.partition_by)
+        if not finished:
+            writer = writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        writer.parquet(target)
 
     def append(self, chunks: DataFrame) -> None:
         """Add embedded chunks to the current snapshot; repeated ids stay side by side."""
-        rows = to_store_rows(chunks)
         current = self.location()
-        if current is None:
-            self._write_snapshot(rows)
-        else:
-            rows.write.mode("append").partitionBy(*self.partition_by).parquet(current)
+        self._write(to_store_rows(chunks), current or self._next(), "append" if current else "overwrite")
+
+    def missing(self, chunks: DataFrame) -> DataFrame:
+        """Chunks whose id is not stored yet, each id once. Reads only the stored ids."""
+        return chunks.dropDuplicates(["id"]).join(self.read().select("id"), "id", "left_anti")
 
     def upsert(self, chunks: DataFrame, order: list[Column] | None = None) -> None:
-        """Insert or replace by id; among incoming rows of one id the last in ``order`` wins."""
-        rows = to_store_rows(chunks)
+        """Insert or replace by id; among incoming rows of one id the last in ``order`` wins.
+
+        The incoming rows are computed once, as the first files of the new snapshot. Rows
+        of the current one whose ids are not among them follow, and finish the snapshot.
+        """
         by = order or [F.col("created_at"), F.xxhash64("content"), F.xxhash64("embedding")]
-        self._write_snapshot(upsert_rows(self.read(), rows, by))
+        fresh = latest_by_id(to_store_rows(chunks), by)
+        current, target = self.location(), self._next()
+        if current is None:
+            self._write(fresh, target, "overwrite")
+            return
+        self._write(fresh, target, "overwrite", finished=False)
+        replaced = self.spark.read.schema(fresh.schema).parquet(target).select("id")
+        kept = delete_rows(self.read(), replaced)
+        self._write(kept, target, "append")
+
+    def compact(self) -> None:
+        """Rewrite the current snapshot, whose appends left many small files, as a new one."""
+        self._write(self.read().hint("rebalance"), self._next(), "overwrite")
 
     def delete(self, ids: DataFrame) -> bool:
         """Remove ids; true if any row went."""
         current = self.read()
         if current.join(ids.select("id"), "id", "left_semi").isEmpty():
             return False
-        self._write_snapshot(delete_rows(current, ids))
+        self._write(delete_rows(current, ids), self._next(), "overwrite")
         return True
 
     def stats(self) -> DataFrame:
@@ -192,6 +202,3 @@ def from_records(records: DataFrame, schema: str = CHUNK) -> DataFrame:
         parsed = parsed.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
     return parsed
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

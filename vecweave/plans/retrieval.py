@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from vecweave.operators.search import search
 from vecweave.sources.extract import Parser, extract
 from vecweave.sources.manifest import filter_manifest, load_content, scan_manifest
 
+# Names of files to read that are listed at once.
+FILES_PER_GROUP = 20_000
+
 
 def answer_prompts(
     questions: DataFrame,
@@ -38,6 +42,27 @@ class Processed:
     transitions: DataFrame
 
 
+def _due_files(spark: SparkSession, path: str, manifest: DataFrame, due: DataFrame) -> Iterator[DataFrame]:
+    """The files to process with their bytes, without opening many that are not due.
+
+    Where most files are due they are read in one pass. Otherwise the due ones are read
+    by name, in groups whose names are few enough to list.
+    """
+    n_all, n_due = manifest.count(), due.count()
+    if 2 * n_due >= n_all:
+        yield load_content(spark, path, wanted=due)
+        return
+    groups = ceil(n_due / FILES_PER_GROUP)
+    group = F.pmod(F.xxhash64("source_path"), F.lit(groups))
+    for g in range(groups):
+        names = [r["source_path"] for r in due.filter(group == g).select("source_path").collect()]
+        if names:
+            yield load_content(spark, names)
+    if n_due == 0:
+        # No bytes are read: this only gives the output its columns.
+        yield load_content(spark, path).limit(0)
+
+
 def process_incremental(
     spark: SparkSession,
     path: str,
@@ -61,11 +86,11 @@ def process_incremental(
         "fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size"))
     )
     due = manifest if transitions is None else pending(manifest, ledger_state(transitions), now, instance)
-    files = load_content(spark, path, wanted=due)
-    marked = files.withColumn(
-        "fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size"))
-    )
-    extract(marked, parsers).write.mode("errorifexists").parquet(work_dir)
+    for files in _due_files(spark, path, manifest, due):
+        marked = files.withColumn(
+            "fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size"))
+        )
+        extract(marked, parsers).write.mode("append").parquet(work_dir)
     extracted = spark.read.parquet(work_dir)
     good = extracted.filter(F.col("error").isNull()).select(
         F.col("source_path").alias("source"), "text", "size", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("doc_type")

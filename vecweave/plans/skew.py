@@ -14,32 +14,33 @@ def salted_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    counts: DataFrame,
     spread: Column,
     how: str = "left",
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Join on ``key``, with the rows of hot keys spread over several tasks.
 
-    ``right`` has one row per key and ``counts`` gives ``key, n``, the rows of each key
-    on the left. The most frequent keys (at most ``MAX_HOT_KEYS``, so the broadcast is
-    bounded) get ceil(n / rows_per_salt) salts: left rows pick one from ``spread``, the
-    right row is copied to each.
+    The rows of each key on the left are counted first (the key column only, with partial
+    aggregation). Without a hot key this is a plain join. Otherwise the most frequent keys,
+    at most ``MAX_HOT_KEYS``, get ceil(n / rows_per_salt) salts: left rows pick one from
+    ``spread``, and the one right row of the key is copied to each.
     """
-    hot = (
-        counts.filter(F.col("n") > rows_per_salt)
-        .orderBy(F.desc("n"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("n") / rows_per_salt).cast("int").alias("_salts"))
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_salt)
+    found = counts.orderBy(F.desc("n"), key).limit(MAX_HOT_KEYS).collect()
+    if not found:
+        return left.join(right, key, how)
+    schema = left.select(key, F.lit(0).cast("int").alias("_salts")).schema
+    hot = F.broadcast(
+        left.sparkSession.createDataFrame([(r[key], -(-r["n"] // rows_per_salt)) for r in found], schema)
     )
     salts = F.coalesce("_salts", F.lit(1))
     salted_left = (
-        left.join(F.broadcast(hot), key, "left")
+        left.join(hot, key, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
         .drop("_salts")
     )
     salted_right = (
-        right.join(F.broadcast(hot), key, "left")
+        right.join(hot, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )

@@ -25,7 +25,9 @@ MAX_BLOCK_QUERIES = 4096
 MAX_SLICE_SCORES = 2_000_000
 # Rows of the store in one cell of the grid.
 GRID_STORE_ROWS = 200_000
-# Scores closer than this are the same score; ties go to the smaller id.
+# With codes: below this share of allowed pairs, only those are scored, one by one.
+SPARSE_SHARE = 0.1
+# Scores that agree to this many digits are the same score; ties go to the smaller id.
 SCORE_DIGITS = 9
 # Fan-in of the first merge of per-task results.
 MERGE_WAYS = 32
@@ -88,6 +90,11 @@ class LocalTopK:
             if part.num_rows == 0:
                 return
         vectors = vector_matrix(part.column(self.vector_column), self.dim)
+        allowed = self._allowed(part)
+        if allowed is not None and allowed.mean() < SPARSE_SHARE:
+            rows, which = np.nonzero(allowed)
+            self._keep(part, rows, which, self._pair_scores(vectors, rows, which))
+            return
         slack = 0.0
         if self.metric == "cosine":
             scores = np.round(_unit(vectors) @ self.side.T, SCORE_DIGITS)
@@ -100,7 +107,6 @@ class LocalTopK:
             scores = row_sq[:, None] + self.query_sq[None, :] - 2.0 * (vectors @ self.side.T)
             scores = -np.sqrt(np.maximum(scores, 0.0))
             slack = 1e-6 * (1.0 + np.sqrt(row_sq.max() + self.query_sq.max()))
-        allowed = self._allowed(part)
         if allowed is not None:
             scores = np.where(allowed, scores, -np.inf)
         floor = self.floor
@@ -108,34 +114,38 @@ class LocalTopK:
             kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
             floor = np.maximum(floor, kth)
         rows, which = np.nonzero((scores >= floor - slack) & np.isfinite(scores))
-        if len(rows) == 0:
-            return
-        if self.metric == "euclidean":
-            found = self._exact_distance(vectors, rows, which)
-        else:
-            found = scores[rows, which]
-        found = found + 0.0
+        exact = self.metric == "euclidean"
+        self._keep(part, rows, which, self._pair_scores(vectors, rows, which) if exact else scores[rows, which])
+
+    def _keep(self, part: pa.Table, rows: np.ndarray, which: np.ndarray, found: np.ndarray) -> None:
+        lowest = self.floor[which]
         if self.threshold is not None:
-            keep = found >= self.threshold
-            rows, which, found = rows[keep], which[keep], found[keep]
-        self._merge(part, rows, which, found)
+            lowest = np.maximum(lowest, self.threshold)
+        good = found >= lowest
+        self._merge(part, rows[good], which[good], found[good] + 0.0)
 
-    def _exact_distance(self, vectors: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    def _pair_scores(self, vectors: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Scores of single (row, query) pairs."""
         out = np.empty(len(rows))
+        a, b = (_unit(vectors), self.side) if self.metric == "cosine" else (vectors, self.queries)
         step = max(1, MAX_SLICE_SCORES // self.dim)
         for s in range(0, len(rows), step):
-            gap = vectors[rows[s : s + step]] - self.queries[which[s : s + step]]
-            out[s : s + step] = -np.sqrt((gap * gap).sum(axis=1))
+            x, y = a[rows[s : s + step]], b[which[s : s + step]]
+            if self.metric == "euclidean":
+                out[s : s + step] = -np.sqrt(((x - y) * (x - y)).sum(axis=1))
+            else:
+                out[s : s + step] = (x * y).sum(axis=1)
         return np.round(out, SCORE_DIGITS)
 
     def _allowed(self, part: pa.Table) -> np.ndarray | None:
         if self.query_codes is None:
             return None
         codes = vector_matrix(part.column(self.code_column)).astype(np.int64)
-        # Share a code in at least one position.
+        # Share a code. Lists of equal length are compared place by place: one code per table.
         shared = np.zeros((len(codes), len(self.query_codes)), dtype=bool)
+        aligned = codes.shape[1] == self.query_codes.shape[1]
         for mine in range(codes.shape[1]):
-            for theirs in range(self.query_codes.shape[1]):
+            for theirs in [mine] if aligned else range(self.query_codes.shape[1]):
                 shared |= codes[:, mine][:, None] == self.query_codes[:, theirs][None, :]
         return shared
 

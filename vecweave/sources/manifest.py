@@ -41,7 +41,7 @@ def infer_content_type(name: Column) -> Column:
     return F.coalesce(F.element_at(known, extension(name)), F.lit(DEFAULT_CONTENT_TYPE))
 
 
-def _files(spark: SparkSession, path: str, recursive: bool, glob: str | None) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str], recursive: bool, glob: str | None) -> DataFrame:
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
@@ -72,11 +72,15 @@ def scan_manifest(spark: SparkSession, path: str, recursive: bool = True, glob:
 
 
 def load_content(
-    spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None, wanted: DataFrame | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    recursive: bool = True,
+    glob: str | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Manifest rows with their bytes; unreadable or vanished files are left out.
+    """Manifest rows with their bytes; files that vanish meanwhile are left out.
 
-    ``wanted`` keeps only the files of another manifest.
+    ``path`` may be a list of files. ``wanted`` keeps only the files of another manifest.
     """
     files = _files(spark, path, recursive, glob)
     rows = files.select(*_manifest_columns(files), F.col("content"))

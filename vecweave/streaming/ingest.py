@@ -52,18 +52,26 @@ def stream_documents(
     checkpoint: str,
     strategy: str = "fixed",
     size: int = 512,
+    replace: bool = False,
     **trigger: object,
 ) -> StreamingQuery:
-    """Chunk, embed and upsert a stream of ``source, text`` (and ``created_at``) rows.
+    """Chunk, embed and store a stream of ``source, text`` (and ``created_at``) rows.
 
-    Chunk ids are deterministic and the write is an upsert, so a micro-batch that is
-    run again after a failure leaves the store as if it had run once.
+    A chunk's id is made from its content and place, so an id that is stored already is
+    the same chunk: such chunks are dropped before they are embedded and the rest is
+    appended, which keeps the cost of a micro-batch to the new chunks and a read of the
+    stored ids. With ``replace`` each micro-batch is an upsert, for when the vectors
+    themselves change. Either way a micro-batch that runs again leaves the store as if it
+    had run once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         at = F.col("created_at") if "created_at" in batch.columns else F.current_timestamp()
-        chunks = build_chunks(chunk(batch, strategy, size), strategy, created_at=at)
-        store.upsert(embed(chunks).drop("chunk_index"))
+        chunks = build_chunks(chunk(batch, strategy, size), strategy, created_at=at).drop("chunk_index")
+        if replace:
+            store.upsert(embed(chunks))
+        else:
+            store.append(embed(store.missing(chunks)))
 
     return (
         documents.writeStream.foreachBatch(write)
