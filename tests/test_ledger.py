@@ -75,6 +75,23 @@ def test_history_against_a_loop(spark, max_rows):
     assert {r["seq"]: r["retry_count"] for r in history.collect()} == want
 
 
+def test_more_large_keys_than_are_listed(spark, monkeypatch):
+    from vecweave.plans import blocks
+
+    rows = sorted([(f"f{i % 7}", i, ["processing", "failed", "completed"][i * i % 3]) for i in range(200)], key=lambda r: r[1])
+    want = plain_history(rows)
+    monkeypatch.setattr(blocks, "MAX_HOT_KEYS", 2)
+    history = L.ledger_history(log(spark, *rows), block_seconds=600, max_rows=5)
+    assert {r["seq"]: r["retry_count"] for r in history.collect()} == want
+
+
+def test_null_keys_stay(spark):
+    df = log(spark, *FOUR_FAILURES).withColumn("fingerprint", F.lit(None).cast("string"))
+    for max_rows in (1, 1000):
+        history = L.ledger_history(df, block_seconds=60, max_rows=max_rows)
+        assert sorted(r["retry_count"] for r in history.collect()) == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
 def test_verdicts(spark):
     def entry(f, status, owner, started, retries=0):
         return (f, status, owner, started, None, None, retries)

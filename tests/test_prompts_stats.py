@@ -23,6 +23,9 @@ def test_context(spark):
     got = {r["query_id"]: r["prompt"] for r in assemble_context(results, questions).collect()}
     assert got["q"] == "Context:\nfirst\n\nsecond\n\nQuestion: why?\nAnswer:"
     assert got["r"] == "Context:\n\n\nQuestion: what?\nAnswer:"
+    asked = questions.withColumn("history", F.lit("user: hi"))
+    chat = assemble_context(results, asked, "\n", "{context}|{history}|{question}", prefix="Document: ")
+    assert chat.filter("query_id = 'q'").first()["prompt"] == "Document: first\nDocument: second|user: hi|why?"
 
 
 @pytest.mark.parametrize("max_rows", [1, 5, 10**6])

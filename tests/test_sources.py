@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vecweave.operators.ledger import ledger_state
 from vecweave.plans.retrieval import process_incremental
+from vecweave.schemas import MANIFEST
 from vecweave.sources import extract as X
 from vecweave.sources import manifest as M
 
@@ -61,6 +62,14 @@ def test_manifest_reads_no_content(spark, folder):
     assert len(got) == 8 and got["test.txt"]["size"] == 26
     assert got["test.txt"]["content_type"] == "text/plain" and got["slides.pptx"]["content_type"].endswith("presentation")
     assert M.scan_manifest(spark, folder, recursive=False).count() == 6
+    assert found.schema.simpleString() == spark.createDataFrame([], MANIFEST).schema.simpleString()
+    assert got["slides.pptx"]["metadata"]["folder"].endswith("/sub")
+
+
+def test_location_of_objects(spark):
+    df = spark.createDataFrame([("s3a://b/x/y.txt",)], "p string")
+    got = df.select(M.location_metadata(F.col("p"))).first()[0]
+    assert got == {"full_path": "s3a://b/x/y.txt", "folder": "s3a://b/x", "s3_bucket": "b", "s3_key": "x/y.txt"}
 
 
 def test_filter(spark, folder):

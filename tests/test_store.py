@@ -133,3 +133,20 @@ def test_incoming_rows_are_computed_once(spark, store):
     incoming = rows(spark, ("a", "2", [1.0], 0), ("b", "2", [1.0], 0))
     store.upsert(incoming.mapInPandas(count, incoming.schema))
     assert contents(store) == [("a", "2"), ("b", "2")] and seen.value == 2
+
+
+def test_columns_of_a_snapshot_agree(spark, store):
+    store.append(rows(spark, ("a", "1", [1.0], 0)))
+    wider = rows(spark, ("b", "1", [1.0], 0)).withColumn("page", F.lit(3))
+    with pytest.raises(ValueError, match="no column page"):
+        store.append(wider)
+    store.upsert(wider)
+    store.append(rows(spark, ("c", "1", [1.0], 0)).drop("seq"))
+    got = {r["id"]: (r["page"], r["seq"]) for r in store.read().collect()}
+    assert got == {"a": (None, 0), "b": (3, 0), "c": (None, None)}
+
+
+def test_by_time(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "id string, n int").withColumn("created_at", F.timestamp_seconds("n"))
+    assert [r["id"] for r in S.by_time(df).collect()] == ["b", "c", "a"]
+    assert [r["id"] for r in S.by_time(df, newest_first=False).collect()] == ["a", "c", "b"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecweave.catalogue.base import documents, query, table
+from vecweave.operators.ledger import fingerprint
 from vecweave.plans.retrieval import process_incremental
 from vecweave.session import shared_dir
 from vecweave.sources import extract as X
@@ -84,6 +85,17 @@ def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_files(spark, sf_dir).select("doc_id", M.infer_content_type(F.col("name")).alias("content_type"))
 
 
+@query(
+    "fingerprint",
+    f"""WITH {SQL_FILES}
+SELECT doc_id, substr(sha256(path || ':' || (doc_id * 1000003 + 1704067200000000) || ':' || size), 1, 16) AS fingerprint FROM f""",
+)
+def fingerprint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modified = F.timestamp_micros(F.col("doc_id") * 1000003 + 1704067200000000)
+    files = document_files(spark, sf_dir)
+    return files.select("doc_id", fingerprint(F.col("source_path"), modified, F.col("size")).alias("fingerprint"))
+
+
 @query(
     "classify_uris",
     r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/?(.*)$', 1) AS rest FROM pages),

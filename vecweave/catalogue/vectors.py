@@ -162,7 +162,25 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ann.lsh_search(centroids(spark, sf_dir), rows, ann.train_lsh(rows, bucket_length=0.5, tables=4)))
 
 
-@query("recall_at_k")
+@query(
+    "recall_at_k",
+    f"""WITH {SQL_INPUTS},
+p AS (
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS c_rank,
+         row_number() OVER (PARTITION BY query_id ORDER BY d DESC, id) AS d_rank
+  FROM (SELECT query_id, id, round({COSINE}, 9) AS c, round(-{L2}, 9) AS d FROM q, s) x)
+SELECT query_id, count(*) AS n_exact, count(*) FILTER (d_rank <= 10) AS n_found,
+       round(count(*) FILTER (d_rank <= 10) / count(*), 6) AS recall
+FROM p WHERE c_rank <= 10 GROUP BY 1""",
+)
+def recall_of_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ten best by cosine a search by distance finds."""
+    queries, rows = centroids(spark, sf_dir), store(spark, sf_dir).drop("metadata")
+    found = recall_at_k(search(queries, rows, metric="euclidean"), search(queries, rows))
+    return found.withColumn("recall", r("recall"))
+
+
+@query("ivf_recall")
 def recall_of_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store(spark, sf_dir).drop("metadata")
     index = ann.train_ivf(rows, lists=20)

@@ -59,16 +59,18 @@ def assemble_context(
     questions: DataFrame,
     sep: str = "\n\n",
     template: str = QUESTION_PROMPT,
+    prefix: str = "",
 ) -> DataFrame:
-    """Per query: contents in rank order and the question prompt around them.
+    """Per query: contents in rank order, each after ``prefix``, and the question prompt around them.
 
     ``results`` is ranked search output (at most k rows per query); ``questions`` has
-    ``query_id, question``.
+    ``query_id, question`` and may have more columns, such as a history, for the template.
     """
-    contents = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda r: r["content"])
+    contents = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda r: F.concat(F.lit(prefix), r["content"]))
     context = results.groupBy("query_id").agg(F.array_join(contents, sep).alias("context"))
     joined = questions.join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    prompt = template_column(template, {"context": F.col("context"), "question": F.col("question")})
+    values = {c: F.col(c) for c in joined.columns if c not in ("query_id", "prompt")}
+    prompt = template_column(template, values)
     return joined.withColumn("prompt", prompt)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecweave.plans.blocks import BLOCK, MAX_KEY_ROWS, carry_in, in_block, large_keys
+from vecweave.plans.blocks import BLOCK, MAX_KEY_ROWS, carry_in, in_block, large_keys, null_safe_join
 
 DEFAULT_MAX_BYTES = 199_000_000
 # A cell covers this many full parts; a super-cell this many cells.
@@ -76,7 +76,7 @@ def split_by_bytes(
         numbered = _pack_small_keys(lines, key, order, max_bytes)
     else:
         numbered = _pack_in_cells(lines, key, order, max_bytes, block_rows)
-    return df.join(numbered, [key, order])
+    return null_safe_join(df, numbered, [key, order], "inner")
 
 
 def _part_numbers(start: np.ndarray, end: np.ndarray, max_bytes: int, first: int, parts: int) -> np.ndarray:

@@ -47,6 +47,12 @@ def delete_rows(current: DataFrame, ids: DataFrame, key: str = "id") -> DataFram
     return current.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def _with_columns_of(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``other`` it lacks, as nulls."""
+    lacking = [f for f in other.schema.fields if f.name not in rows.columns]
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in lacking])
+
+
 class VectorStore:
     """Snapshots ``snapshot=<n>/`` of one dataset; the newest finished one is current.
 
@@ -101,9 +107,19 @@ class VectorStore:
         writer.parquet(target)
 
     def append(self, chunks: DataFrame) -> None:
-        """Add embedded chunks to the current snapshot; repeated ids stay side by side."""
-        current = self.location()
-        self._write(to_store_rows(chunks), current or self._next(), "append" if current else "overwrite")
+        """Add embedded chunks to the current snapshot; repeated ids stay side by side.
+
+        A snapshot has one set of columns: a new column needs an upsert.
+        """
+        rows, current = to_store_rows(chunks), self.location()
+        if current is None:
+            self._write(rows, self._next(), "overwrite")
+            return
+        stored = self.read()
+        unknown = [c for c in rows.columns if c not in stored.columns]
+        if unknown:
+            raise ValueError(f"the store has no column {', '.join(unknown)}")
+        self._write(_with_columns_of(rows, stored), current, "append")
 
     def missing(self, chunks: DataFrame) -> DataFrame:
         """Chunks whose id is not stored yet, each id once. Reads only the stored ids."""
@@ -121,10 +137,11 @@ class VectorStore:
         if current is None:
             self._write(fresh, target, "overwrite")
             return
+        stored = self.read()
+        fresh = _with_columns_of(fresh, stored)
         self._write(fresh, target, "overwrite", finished=False)
         replaced = self.spark.read.schema(fresh.schema).parquet(target).select("id")
-        kept = delete_rows(self.read(), replaced)
-        self._write(kept, target, "append")
+        self._write(_with_columns_of(delete_rows(stored, replaced), fresh), target, "append")
 
     def compact(self) -> None:
         """Rewrite the current snapshot, whose appends left many small files, as a new one."""
@@ -175,6 +192,12 @@ def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(pairs.alias("_f")).groupBy("_f.facet", "_f.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def by_time(rows: DataFrame, newest_first: bool = True) -> DataFrame:
+    """Ordered by ``created_at``, then id: a range-partitioned sort."""
+    at = F.desc("created_at") if newest_first else F.asc("created_at")
+    return rows.orderBy(at, "id")
+
+
 def export(df: DataFrame, path: str, format: str = "jsonl") -> None:
     """Write as JSON lines or Parquet."""
     require(format, OUTPUT_FORMATS, "output format")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 MANIFEST = (
-    "name string, source_path string, content_type string, content binary, size bigint, "
-    "last_modified timestamp, metadata map<string,string>, encoding string"
+    "name string, source_path string, content_type string, size bigint, last_modified timestamp, "
+    "metadata map<string,string>"
 )
 
 CHUNK = (

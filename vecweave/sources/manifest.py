@@ -41,6 +41,19 @@ def infer_content_type(name: Column) -> Column:
     return F.coalesce(F.element_at(known, extension(name)), F.lit(DEFAULT_CONTENT_TYPE))
 
 
+def location_metadata(path: Column) -> Column:
+    """Where a file is: its folder, and bucket and key for an object store."""
+    bucket = F.regexp_extract(path, "^s3[an]?://([^/]+)/", 1)
+    parts = {
+        "full_path": path,
+        "folder": F.regexp_extract(path, "(?s)^(.*)/[^/]*$", 1),
+        "s3_bucket": bucket,
+        "s3_key": F.regexp_extract(path, "(?s)^s3[an]?://[^/]+/(.*)$", 1),
+    }
+    every = F.create_map(*[x for name, value in parts.items() for x in (F.lit(name), value)])
+    return F.map_filter(every, lambda k, v: v != "")
+
+
 def _files(spark: SparkSession, path: str | list[str], recursive: bool, glob: str | None) -> DataFrame:
     reader = (
         spark.read.format("binaryFile")
@@ -58,6 +71,7 @@ def _manifest_columns(files: DataFrame) -> list[Column]:
         infer_content_type(name).alias("content_type"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("last_modified"),
+        location_metadata(F.col("path")).alias("metadata"),
     ]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vecweave.operators.chunking import build_chunks, chunk
 from vecweave.operators.ledger import fingerprint
 from vecweave.operators.store import VectorStore
-from vecweave.sources.manifest import file_name, infer_content_type
+from vecweave.sources.manifest import file_name, infer_content_type, location_metadata
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -32,6 +32,7 @@ def stream_files(spark: SparkSession, path: str, glob: str | None = None, max_fi
         infer_content_type(name).alias("content_type"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("last_modified"),
+        location_metadata(F.col("path")).alias("metadata"),
         "content",
     )
 
