@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vecweave.operators import stats as T
@@ -72,3 +73,9 @@ def test_run_summary(spark):
     got = {r["model"]: r for r in T.run_summary(df, at, at + F.expr("interval 90 seconds")).collect()}
     assert got["m"]["chunks_processed"] == 2 and got["m"]["embeddings_generated"] == 1 and got["m"]["seconds"] == 90.0
     assert got["unknown"]["embeddings_generated"] == 0
+
+
+def test_rows_are_counted_on_the_way(spark):
+    seen = Observation("stage")
+    assert T.observed_counts(spark.range(7), seen).filter("id < 3").count() == 3
+    assert seen.get == {"rows": 7}

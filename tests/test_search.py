@@ -69,6 +69,19 @@ def test_grid_equals_scan(data, metric, monkeypatch):
     assert ids(search(q, s, 10, metric, max_components=40, max_queries=5)) == brute(queries, store, metric)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_copies_go_by_id(spark, metric, monkeypatch):
+    from vecweave.plans import topk
+
+    monkeypatch.setattr(topk, "MAX_SLICE_SCORES", 50)
+    rng = np.random.default_rng(1)
+    names = [f"n{i:04d}" for i in rng.permutation(500)]
+    s = spark.createDataFrame([(n, [0.3, 0.7]) for n in names] + [("best", [1.0, 0.0])], "id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.3, 0.7])], "query_id int, embedding array<double>")
+    got = ids(search(q, s.repartition(3), 6, metric))
+    assert got == {1: ["best"] + [f"n{i:04d}" for i in range(5)], 2: [f"n{i:04d}" for i in range(6)]}
+
+
 def test_small_slices(data, monkeypatch):
     from vecweave.plans import topk
 

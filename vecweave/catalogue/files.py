@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecweave.catalogue.base import documents, query, table
+from vecweave.catalogue.base import documents, query, spread, table
 from vecweave.operators.ledger import fingerprint
 from vecweave.plans.retrieval import process_incremental
 from vecweave.session import shared_dir
@@ -241,7 +241,7 @@ def extract_pptx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_files(spark: SparkSession, sf_dir: str) -> str:
     """Each page's HTML as one text file in the shared folder."""
     path = shared_dir(spark, "page-files")
-    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    spread(table(spark, sf_dir, "pages")).select("page_id", "html").write.partitionBy("page_id").text(path)
     return path
 
 

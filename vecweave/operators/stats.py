@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,6 @@ def run_summary(embedded: DataFrame, started_at: Column, finished_at: Column) ->
     )
 
 
-def observed_counts(df: DataFrame, name: str) -> DataFrame:
-    """The same rows; the query's listener and its ``Observation`` report how many passed this stage."""
+def observed_counts(df: DataFrame, name: str | Observation) -> DataFrame:
+    """The same rows; a query listener or the given ``Observation`` learns how many passed this stage."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"))

@@ -123,7 +123,7 @@ class VectorStore:
 
     def missing(self, chunks: DataFrame) -> DataFrame:
         """Chunks whose id is not stored yet, each id once. Reads only the stored ids."""
-        return chunks.dropDuplicates(["id"]).join(self.read().select("id"), "id", "left_anti")
+        return chunks.dropDuplicates(["id"]).join(self.read().select("id").distinct(), "id", "left_anti")
 
     def upsert(self, chunks: DataFrame, order: list[Column] | None = None) -> None:
         """Insert or replace by id; among incoming rows of one id the last in ``order`` wins.

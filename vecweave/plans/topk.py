@@ -52,6 +52,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    ids = column.to_numpy(zero_copy_only=False)
+    return ids.astype(str) if ids.dtype == object else ids
+
+
 @dataclass
 class LocalTopK:
     """The k best rows per query among the batches one task has seen."""
@@ -66,10 +71,13 @@ class LocalTopK:
     query_codes: np.ndarray | None = None
     code_column: str | None = None
     held: pa.Table | None = None
+    # Score and id of the k-th best row of each query so far.
     floor: np.ndarray = field(init=False)
+    floor_ids: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.floor = np.full(len(self.queries), -np.inf)
+        self.floor_ids = np.empty(len(self.queries), dtype=object)
         self.dim = self.queries.shape[1]
         if self.metric == "cosine":
             self.side = _unit(self.queries)
@@ -121,9 +129,22 @@ class LocalTopK:
         lowest = self.floor[which]
         if self.threshold is not None:
             lowest = np.maximum(lowest, self.threshold)
-        good = found >= lowest
+        good = np.flatnonzero(found >= lowest)
+        good = good[self._not_beaten(part, rows[good], which[good], found[good])]
         self._merge(part, rows[good], which[good], found[good] + 0.0)
 
+    def _not_beaten(self, part: pa.Table, rows: np.ndarray, which: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Drop candidates that tie with the k-th best but have a larger id.
+
+        Without this a store full of copies would bring every copy into every merge.
+        """
+        tied = np.flatnonzero(found == self.floor[which])
+        keep = np.ones(len(rows), dtype=bool)
+        if len(tied):
+            ids = np.array(_ids(part.column(self.id_column)), dtype=object)[rows[tied]]
+            keep[tied] = ids < self.floor_ids[which[tied]]
+        return keep
+
     def _pair_scores(self, vectors: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Scores of single (row, query) pairs."""
         out = np.empty(len(rows))
@@ -158,9 +179,7 @@ class LocalTopK:
         both = fresh if self.held is None else pa.concat_tables([self.held, fresh])
         q = both.column("_q").to_numpy()
         score = both.column("_score").to_numpy()
-        ids = both.column(self.id_column).to_numpy(zero_copy_only=False)
-        if ids.dtype == object:
-            ids = ids.astype(str)
+        ids = _ids(both.column(self.id_column))
         order = np.lexsort((ids, -score, q))
         sorted_q = q[order]
         starts = np.r_[0, np.flatnonzero(np.diff(sorted_q)) + 1]
@@ -170,6 +189,7 @@ class LocalTopK:
         full = lengths >= self.k
         last = order[starts[full] + self.k - 1]
         self.floor[sorted_q[starts[full]]] = score[last]
+        self.floor_ids[sorted_q[starts[full]]] = ids[last]
 
     def result(self, query_ids: pa.Array, schema: pa.Schema) -> pa.Table:
         if self.held is None:
