@@ -8,6 +8,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from vecweave.functions.binding import once
 from vecweave.functions.vectors import normalize
 from vecweave.operators.search import DEFAULT_K, filter_condition, shape_results
-from vecweave.plans.topk import top_k
+from vecweave.plans.topk import top_k, vector_matrix
 from vecweave.schemas import METRICS, require
 
 DEFAULT_LISTS = 100
@@ -37,34 +39,54 @@ def _coarse_vector(df: DataFrame, metric: str) -> DataFrame:
 
 
 def train_ivf(
-    store: DataFrame, lists: int = DEFAULT_LISTS, metric: str = "cosine", seed: int = 42, max_iter: int = 10
+    store: DataFrame,
+    lists: int = DEFAULT_LISTS,
+    metric: str = "cosine",
+    seed: int = 42,
+    max_iter: int = 10,
+    fraction: float = 1.0,
 ) -> IvfIndex:
-    """K-means centroids of the store's vectors, trained on Spark."""
-    require(metric, METRICS, "metric")
-    train = _coarse_vector(store.filter(F.size("embedding") > 0).select("embedding"), metric)
-    model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="list_id").fit(train)
-    return IvfIndex(np.array(model.clusterCenters()), metric)
-
-
-def assign_lists(store: DataFrame, index: IvfIndex) -> DataFrame:
-    """Add ``list_id``, the nearest centroid."""
-    from pyspark.sql.pandas.functions import pandas_udf
+    """K-means centroids of the store's vectors, trained on Spark.
 
-    centroids = index.centroids
+    The training set is read once and kept for the iterations. ``fraction`` trains on a
+    part of a very large store: centroids only decide which lists are near a query, every
+    row is still assigned and searched.
+    """
+    require(metric, METRICS, "metric")
+    vectors = store.filter(F.size("embedding") > 0).select("embedding")
+    if fraction < 1.0:
+        vectors = vectors.sample(fraction, seed)
+    train = _coarse_vector(vectors, metric).select("_v").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="list_id").fit(train)
+        return IvfIndex(np.array(model.clusterCenters()), metric)
+    finally:
+        train.unpersist()
+
+
+def _ranked_lists(index: IvfIndex, n: int):
+    """A function from a batch of vectors to the n nearest lists of each, nearest first."""
+    centroids, unit = index.centroids, index.metric == "cosine"
     squares = (centroids * centroids).sum(axis=1)
-    unit = index.metric == "cosine"
-
-    @pandas_udf("int")
-    def nearest(vectors):
-        import pandas as pd
 
-        if len(vectors) == 0:
-            return pd.Series([], dtype="int32")
-        m = np.stack(vectors.to_numpy()).astype(np.float64)
+    def ranked(vectors: pa.Array) -> np.ndarray:
+        m = vector_matrix(vectors, centroids.shape[1])
         if unit:
             length = np.sqrt((m * m).sum(axis=1, keepdims=True))
             m = np.divide(m, length, out=m.copy(), where=length > 0)
-        return pd.Series((squares[None, :] - 2.0 * (m @ centroids.T)).argmin(axis=1).astype("int32"))
+        far = squares[None, :] - 2.0 * (m @ centroids.T)
+        return far.argmin(axis=1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
+
+    return ranked
+
+
+def assign_lists(store: DataFrame, index: IvfIndex) -> DataFrame:
+    """Add ``list_id``, the nearest centroid."""
+    ranked = _ranked_lists(index, 1)
+
+    @F.arrow_udf("int")
+    def nearest(vectors: pa.Array) -> pa.Array:
+        return pa.array(ranked(vectors)[:, 0].astype(np.int32))
 
     return store.filter(F.size("embedding") > 0).withColumn("list_id", once(nearest)("embedding"))
 
@@ -80,25 +102,14 @@ def write_lists(listed: DataFrame, path: str) -> None:
 
 def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
     """Add ``codes``: the nprobe nearest lists of each query."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    centroids = index.centroids
-    squares = (centroids * centroids).sum(axis=1)
-    unit = index.metric == "cosine"
-    n = min(nprobe, len(centroids))
-
-    @pandas_udf("array<bigint>")
-    def nearest(vectors):
-        import pandas as pd
-
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        m = np.stack(vectors.to_numpy()).astype(np.float64)
-        if unit:
-            length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            m = np.divide(m, length, out=m.copy(), where=length > 0)
-        far = squares[None, :] - 2.0 * (m @ centroids.T)
-        return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :n]))
+    n = min(nprobe, len(index.centroids))
+    ranked = _ranked_lists(index, n)
+
+    @F.arrow_udf("array<bigint>")
+    def nearest(vectors: pa.Array) -> pa.Array:
+        lists = ranked(vectors).astype(np.int64)
+        ends = np.arange(len(lists) + 1, dtype=np.int32) * n
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.ravel()))
 
     return queries.filter(F.size("embedding") > 0).withColumn("codes", once(nearest)("embedding"))
 

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A query block sent to all tasks holds at most this many vector components (32 MB as doubles) ...
 MAX_BLOCK_COMPONENTS = 4_000_000
@@ -209,13 +210,6 @@ def _result_type(queries: DataFrame, store: DataFrame, leave_out: set[str]) -> T
     return T.StructType(fields)
 
 
-def _query_arrays(rows: list) -> np.ndarray:
-    lengths = {len(r["embedding"]) for r in rows}
-    if len(lengths) > 1:
-        raise ValueError(f"query vectors differ in length: {sorted(lengths)}")
-    return np.array([r["embedding"] for r in rows], dtype=np.float64)
-
-
 def top_k(
     queries: DataFrame,
     store: DataFrame,
@@ -238,27 +232,25 @@ def top_k(
     if code_column:
         wanted.append(F.col("codes"))
     queries = queries.filter(F.size("embedding") > 0).select(*wanted)
-    block = queries.limit(max_queries + 1).collect()
-    small = len(block) <= max_queries and sum(len(r["embedding"]) for r in block) <= max_components
+    block = queries.limit(max_queries + 1).toArrow()
+    components = pc.sum(pc.list_value_length(block.column("embedding"))).as_py() or 0
+    small = block.num_rows <= max_queries and components <= max_components
     leave_out = {"embedding"} | ({code_column} if code_column else set())
     result_type = _result_type(queries, store, leave_out)
     if small:
-        local = _scan_store(block, queries, store, result_type, k, metric, threshold, id_column, code_column)
+        local = _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column)
     else:
         local = _grid(queries, store, result_type, k, metric, threshold, id_column, code_column, max_queries)
     return merge_top_k(local, k, id_column)
 
 
-def _scan_store(block, queries, store, result_type, k, metric, threshold, id_column, code_column) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
-
+def _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column) -> DataFrame:
     schema = to_arrow_schema(result_type)
-    if not block:
+    if block.num_rows == 0:
         return store.sparkSession.createDataFrame([], result_type)
-    id_type = to_arrow_type(queries.schema["query_id"].dataType)
-    vectors = _query_arrays(block)
-    codes = np.array([r["codes"] for r in block], dtype=np.int64) if code_column else None
-    names = [r["query_id"] for r in block]
+    vectors = vector_matrix(block.column("embedding"))
+    codes = vector_matrix(block.column("codes")).astype(np.int64) if code_column else None
+    names = block.column("query_id").combine_chunks()
     sent = store.sparkSession.sparkContext.broadcast((names, vectors, codes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,14 +260,12 @@ def _scan_store(block, queries, store, result_type, k, metric, threshold, id_col
         )
         for batch in batches:
             best.feed(batch)
-        yield from best.result(pa.array(query_names, id_type), schema).to_batches()
+        yield from best.result(query_names, schema).to_batches()
 
     return store.mapInArrow(scan, result_type)
 
 
 def _grid(queries, store, result_type, k, metric, threshold, id_column, code_column, max_queries) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = to_arrow_schema(result_type)
     query_blocks = ceil(queries.count() / max_queries)
     store_blocks = max(1, ceil(store.count() / GRID_STORE_ROWS))
