@@ -84,9 +84,19 @@ def test_files_once_each(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     for i in range(1, 6):
         (tmp_path / "in" / f"{i}.txt").write_text("x" * i)
+        # Times far apart: an old file that comes after a new one is not late.
+        os.utime(tmp_path / "in" / f"{i}.txt", (1_600_000_000 + 10**7 * i,) * 2)
     seen = run_to_end(stream_manifest(spark, f"{tmp_path}/in", "*.txt", max_files=2))
     assert sorted((r["name"], r["size"]) for r in seen.collect()) == [(f"{i}.txt", i) for i in range(1, 6)]
     assert run_to_end(stream_files(spark, f"{tmp_path}/in").select("name", "content")).count() == 5
+    state, out = f"{tmp_path}/state", f"{tmp_path}/out"
+    for old in (None, "0.txt"):
+        if old:
+            (tmp_path / "in" / old).write_text("late copy")
+            os.utime(tmp_path / "in" / old, (1_000_000_000, 1_000_000_000))
+        writer = stream_manifest(spark, f"{tmp_path}/in", "*.txt").writeStream.trigger(availableNow=True)
+        writer.option("checkpointLocation", state).option("path", out).start().awaitTermination()
+    assert sorted(r["name"] for r in spark.read.parquet(out).collect()) == [f"{i}.txt" for i in range(6)]
 
 
 def test_ingest_picks_up_new_files_and_repeats_nothing(spark, tmp_path):

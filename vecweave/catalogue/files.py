@@ -282,9 +282,9 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = process_incremental(spark, path, None, shared_dir(spark, "extracted"), now)
     second = process_incremental(spark, path, first.transitions, shared_dir(spark, "extracted"), now)
     run1 = first.chunks.groupBy(page_of("source").alias("page_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    done = first.transitions.filter("status = 'completed'").agg(F.count(F.lit(1)).alias("done")).select(F.lit(1).alias("k"), "done")
-    again = second.chunks.agg(F.count(F.lit(1)).alias("again")).select(F.lit(1).alias("k"), "again")
-    run2 = done.join(again, "k").select(
-        F.lit(2).alias("run"), F.lit(-1).cast("bigint").alias("page_id"), (F.col("done") - F.col("again")).alias("n_chunks")
+    done = first.transitions.filter("status = 'completed'").agg(F.count(F.lit(1)).alias("n"))
+    again = second.chunks.agg((-F.count(F.lit(1))).alias("n"))
+    run2 = done.unionByName(again).agg(F.sum("n").alias("n_chunks")).select(
+        F.lit(2).alias("run"), F.lit(-1).cast("bigint").alias("page_id"), "n_chunks"
     )
     return run1.select(F.lit(1).alias("run"), "page_id", "n_chunks").unionByName(run2)

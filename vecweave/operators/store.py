@@ -167,9 +167,9 @@ class VectorStore:
             .load(current)
             .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
         )
-        # Both sides are one aggregate row.
-        one = F.lit(1).alias("_one")
-        return store_stats(self.read()).withColumn("_one", F.lit(1)).join(sizes.select("*", one), "_one").drop("_one")
+        # Two single rows become one.
+        both = store_stats(self.read()).unionByName(sizes, allowMissingColumns=True)
+        return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def store_stats(rows: DataFrame) -> DataFrame:

@@ -16,13 +16,21 @@ from vecweave.sources.manifest import file_name, infer_content_type, location_me
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def stream_files(spark: SparkSession, path: str, glob: str | None = None, max_files: int = 1000) -> DataFrame:
-    """A stream of files with their bytes; the source's checkpoint remembers what it has read."""
+def stream_files(
+    spark: SparkSession, path: str, glob: str | None = None, max_files: int = 1000, max_age: str = "36500d"
+) -> DataFrame:
+    """A stream of files with their bytes; the source's checkpoint remembers what it has read.
+
+    Spark ignores files whose modification time lies more than ``max_age`` behind the
+    newest one. The default ignores none; a shorter age keeps the source's memory of
+    seen files small where old files cannot arrive.
+    """
     reader = (
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", str(max_files))
+        .option("maxFileAge", max_age)
     )
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     name = file_name(F.col("path"))
@@ -40,10 +48,16 @@ def stream_files(spark: SparkSession, path: str, glob: str | None = None, max_fi
 def stream_manifest(
     spark: SparkSession, path: str, glob: str | None = None, delay: str = "1 hour", max_files: int = 1000
 ) -> DataFrame:
-    """Each file version once: a fingerprint seen again within ``delay`` is dropped."""
+    """Each file version once: a fingerprint that arrives again within ``delay`` is dropped.
+
+    The watermark follows ``seen_at``, the time of arrival. Modification times may be old
+    (a copy keeps them), and a file must not be dropped as late for that.
+    """
     files = stream_files(spark, path, glob, max_files).drop("content")
-    marked = files.withColumn("fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size")))
-    return marked.withWatermark("last_modified", delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    marked = files.withColumn(
+        "fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size"))
+    ).withColumn("seen_at", F.current_timestamp())
+    return marked.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
 def stream_documents(
