@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecweave.plans.blocks import MAX_KEY_ROWS, carry_in, in_block, into_blocks
+from vecweave.schemas import JOB_STATUSES, require
 
 MAX_RETRIES = 3
 PROCESSING_TIMEOUT_SECONDS = 3600
@@ -149,7 +150,7 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
 
 
 def files_by_status(ledger: DataFrame, status: str) -> DataFrame:
-    return ledger.filter(F.col("status") == status)
+    return ledger.filter(F.col("status") == require(status, JOB_STATUSES, "status"))
 
 
 def completed_files(manifest: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ per query, so what is shuffled is k rows per query and task, never the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -295,9 +295,9 @@ def _grid(queries, store, result_type, k, metric, threshold, id_column, code_col
     )
 
 
-def merge_top_k(local: DataFrame, k: int, id_column: str, order: Callable[[], list[Column]] | None = None) -> DataFrame:
+def merge_top_k(local: DataFrame, k: int, id_column: str) -> DataFrame:
     """Merge per-task results in two steps, so that many tasks do not meet in one."""
-    by = order() if order else [F.desc("_score"), F.col(id_column)]
+    by = [F.desc("_score"), F.col(id_column)]
     salted = local.withColumn("_way", F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)))
     first = Window.partitionBy("query_id", "_way").orderBy(*by)
     final = Window.partitionBy("query_id").orderBy(*by)

@@ -33,7 +33,6 @@ API_DOC = (
 
 # The domains of the string columns.
 CHUNKING_STRATEGIES = ("semantic", "fixed", "sentence")
-DOC_TYPES = ("pdf", "txt", "json", "api", "pptx")
 JOB_STATUSES = ("pending", "processing", "completed", "failed")
 OUTPUT_FORMATS = ("jsonl", "parquet")
 METRICS = ("cosine", "euclidean", "dot_product")
