@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm import exact_dedup, quality
+from vecweave.llm import exact_dedup, minhash, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = quality.apply_policy(rows, "base", "_base_kept").withColumn("base_failed", ~F.col("_base_kept")).drop("_base_kept")
     return quality.apply_policy(rows, "v1")
+
+
+@query("op10_dart_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# In production a secret of the owner of the data; the queries need one that is always the same.
+PII_KEY = b"a key for the named queries only"
+
+
+@query("op8_pii_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+    return rows.select("doc_id", "text", F.size("_kinds").cast("bigint").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"))
