@@ -14,6 +14,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,39 +39,60 @@ MAX_SENT = 100_000
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;]{6,}))"
-    r"|(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{12,}\b)"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
+# In the order in which they are tried.
+_PARTS = {
+    "email": r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+)",
+    "secret": r"(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;]{6,}))",
+    "key": r"(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{12,}\b)",
+    "number": r"(?=[0-9+(A-Z])(?:(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<![\d.-])\d{13,19}(?!\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3,4}[ .-]\d{4}|(?<=\d[ .-])\d{6,12})(?!\d)"
-    r"|\+\d{8,14}(?!\d)|(?<![\w.-])\d{3}-\d{4}(?![\d-]))"
-    rf"|(?P<title>\b(?:{_TITLE})\b)\.? (?P<name>[^\W\d_a-z][\w'-]+(?: [^\W\d_a-z][\w'-]+)?)"
-)
-_DIGIT_OR_AT = re.compile("[0-9@]")
-_WORDY = re.compile(rf"(?i:password|passwd|pwd|secret|token|api[_-]?key)|\b(?:{_TITLE})\b")
+    r"|\+\d{8,14}(?!\d)|(?<![\w.-])\d{3}-\d{4}(?![\d-])))",
+    "name": rf"(?P<title>\b(?:{_TITLE})\b)\.? (?P<name>[^\W\d_a-z][\w'-]+(?: [^\W\d_a-z][\w'-]+)?)",
+}
+_KINDS = ("email", "key", "ip", "iban", "ssn", "card", "phone")
+_SECRETS = ("password", "passwd", "pwd", "secret", "token", "api")
+_DIGIT = re.compile("[0-9]")
+
+
+@lru_cache
+def _pattern(parts: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(_PARTS[p] for p in parts))
+
+
+def _parts(text: str) -> tuple[str, ...]:
+    """The parts of the pattern that the text can match at all, told by plain searches."""
+    low = text.lower()
+    digit = _DIGIT.search(text) is not None
+    held = {
+        "email": "@" in text,
+        "secret": any(w in low for w in _SECRETS),
+        "key": digit and ("AKIA" in text or "ASIA" in text),
+        "number": digit,
+        "name": any(t in text for t in _GENDER),
+    }
+    return tuple(p for p in _PARTS if held[p])
 
 
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, canonical form)`` of each entity, in order, never overlapping."""
-    if not (_DIGIT_OR_AT.search(text) or _WORDY.search(text)):
-        return []
+    parts = _parts(text)
     found = []
-    for m in _PATTERN.finditer(text):
-        if m["name"] is not None:
+    for m in _pattern(parts).finditer(text) if parts else ():
+        held = m.groupdict()
+        if held.get("name"):
             gender, at = _GENDER[m["title"]], m.start("name")
-            parts = m["name"].split(" ")
-            for i, part in enumerate(parts):
-                found.append((at, at + len(part), f"name_{'s' if i == len(parts) - 1 else gender}", part.casefold()))
+            names = m["name"].split(" ")
+            for i, part in enumerate(names):
+                found.append((at, at + len(part), f"name_{'s' if i == len(names) - 1 else gender}", part.casefold()))
                 at += len(part) + 1
-        elif m["secret"] is not None:
+        elif held.get("secret"):
             found.append((*m.span("value"), "secret", m["value"]))
         else:
-            kind = next(k for k in ("email", "key", "ip", "iban", "ssn", "card", "phone") if m[k] is not None)
-            value = m[kind]
+            kind = next(k for k in _KINDS if held.get(k))
+            value = held[kind]
             canon = value.lower() if kind == "email" else value if kind in ("ip", "key") else re.sub(r"[\W_]", "", value)
             found.append((*m.span(kind), kind, canon))
     return found
