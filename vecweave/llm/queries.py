@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm import exact_dedup, minhash, pii, quality
+from vecweave.llm import bpe, exact_dedup, minhash, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,19 @@ PII_KEY = b"a key for the named queries only"
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
     return rows.select("doc_id", "text", F.size("_kinds").cast("bigint").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"))
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_bpe_round_trip")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op7_online_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
