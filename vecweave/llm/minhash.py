@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.llm.arrays import Rolling, mix, owners, text_slices, windows, words_of
@@ -165,9 +165,15 @@ def _similar(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
     left = units.select(F.col("node").alias("a"), F.col("units").alias("ua"))
     right = units.select(F.col("node").alias("b"), F.col("units").alias("ub"))
-    common = F.size(F.array_intersect("ua", "ub"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return joined.withColumn("c", common).filter(F.col("c") >= threshold * (F.size("ua") + F.size("ub") - F.col("c"))).select("a", "b")
+    return joined.filter(_reaches(F.col("ua"), F.col("ub"), threshold)).select("a", "b")
+
+
+def _reaches(x: Column, y: Column, threshold: float) -> Column:
+    """Is the Jaccard similarity of two sets at least the threshold; sizes are compared first."""
+    total = F.size(x) + F.size(y)
+    enough = F.size(F.array_intersect(x, y)) * (1 + threshold) >= threshold * total
+    return (F.least(F.size(x), F.size(y)) * (1 + threshold) >= threshold * total) & enough
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -178,9 +184,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     Documents of equal shingles are one node from the start. In a bucket (documents equal in
     one band) nodes are first compared with the bucket's hub only, a node drawn by hash; in the
-    rounds that follow only with nodes of other classes. What is left in the last round is
-    compared with every such node of the bucket whose bit sketch allows the threshold. So a
-    bucket of thousands of copies costs a few links each, and no link between classes is skipped.
+    round that follows only with hubs of other classes. In the last round nodes are compared
+    with every node of another class in their bucket whose bit sketch allows the threshold. So
+    close copies cost a few links each, and no link between classes is skipped.
 
     A document without words is a class of its own. A row without doc_id is not linked
     and has a null class, kept. Rows repeated with one doc_id share its fate. Other columns are
@@ -210,15 +216,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     # Round 2: the other hubs, where they belong to another class.
     links, comps = _more(links, comps, stars, units, threshold)
     # Round 3: all nodes of other classes in the same bucket, if their sketches are close enough.
+    # The join's own condition compares them, so it makes a row for a link only.
     left = _classed(buckets.select("key", "node", "s0", "s1", "s2"), comps, "node", "comp")
     split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    open_rows = stored(left.join(split, "key"), "open")
+    open_rows = stored(left.join(split, "key").join(units, "node"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     agree = F.lit(192) - sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("s0", "s1", "s2")), F.lit(0))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    cross = x.join(y, near & (agree >= SKETCH_BITS + 24)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    tested = stars.select("a", "b")
-    links, comps = _more(links, comps, cross.distinct().join(tested, ["a", "b"], "left_anti"), units, threshold)
+    other = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    near = other & (agree >= SKETCH_BITS + 24) & _reaches(F.col("x.units"), F.col("y.units"), threshold)
+    found = stored(x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    if not found.isEmpty():
+        comps = components(links.union(found))
 
     out = signed.join(nodes, prints, "left")
     out = _classed(out, comps, "node", "class_id")
