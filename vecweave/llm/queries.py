@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm import bpe, exact_dedup, minhash, packing, pii, quality
+from vecweave.llm import bpe, exact_dedup, license, minhash, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_TEMPLATE_ROWS = ", ".join(
+    "('{}', {})".format(k, license._words(v)) for k, v in license.TEMPLATES.items()
+)
+SQL_OP1 = r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+b AS (
+  SELECT doc_id, i - 1 AS pos,
+         CASE WHEN ws[i] = 'cc' AND ws[i + 1] = 'by' THEN 'cc-by'
+              WHEN ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license' THEN 'gpl'
+              WHEN ws[i] = 'all' AND ws[i + 1] = 'rights' AND ws[i + 2] = 'reserved' THEN 'reserved' END AS label
+  FROM p),
+bb AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS ls FROM b WHERE label IS NOT NULL GROUP BY 1),
+tpl(label, words) AS (VALUES TEMPLATES),
+l AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+m AS (SELECT doc_id, label, max(len(list_intersect(l.ws, tpl.words)) / len(tpl.words)) AS c FROM l, tpl
+      WHERE len(list_intersect(l.ws, tpl.words)) >= ceil(0.8 * len(tpl.words) - 1e-9) GROUP BY 1, 2),
+mm AS (SELECT doc_id, list(label) AS ls, max(c) AS best FROM m GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(bb.ls, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.ls, []), coalesce(mm.ls, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN bb USING (doc_id) LEFT JOIN mm USING (doc_id)
+""".replace("TEMPLATES", _TEMPLATE_ROWS)
+
+
+@query("op1_license_scan", SQL_OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 SQL_OP2 = r"""
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
