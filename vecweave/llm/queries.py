@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm import bpe, exact_dedup, license, minhash, packing, pii, quality, warc
+from vecweave.llm import bpe, exact_dedup, license, minhash, packing, pii, quality, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,8 @@ FROM g
 @query("op4_warc_packages", SQL_OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op9_suffix_levels")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
