@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm import bpe, exact_dedup, license, minhash, packing, pii, quality, suffix, warc
+from vecweave.llm import bpe, exact_dedup, license, lm, minhash, packing, pii, quality, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_levels")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
+@query("op5_context_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
