@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.llm.arrays import LEAD, Rolling, text_slices
+from vecweave.llm.components import stored
 
 LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 64
@@ -365,14 +366,31 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The most frequent words of a stored count table, at most ``limit``.
+
+    Counts are cut at a level (an eighth of a power of two), found from how many words each
+    level has, so no task or driver ever holds more than the words that stay.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    held = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
+    total, least = 0, 1 << 30
+    for at in sorted(held, reverse=True):
+        total += held[at]
+        if total > limit:
+            break
+        least = at
+    return counts.filter(level >= least)
+
+
 def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
     """Compiles the ``words`` most frequent words of ``docs`` and sends the file to all executors.
 
     Returns its name there. The file's size is bounded by ``words``, each of at most
     ``LEXICON_BYTES`` bytes; which words it holds changes how fast a word is encoded, never how.
     """
-    counts = word_counts(docs, path, text).filter(F.length("word") <= LEXICON_BYTES)
-    top = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = stored(word_counts(docs, path, text).filter(F.length("word") <= LEXICON_BYTES), "words")
+    top = [bytes(w) for w in frequent(counts, words).select("word").toArrow()["word"].to_pylist()]
     name = f"lexicon-{uuid.uuid4().hex}"
     place = os.path.join(tempfile.mkdtemp(prefix="vecweave-"), name)
     Lexicon.write(place, top, Vocabulary(path).merge)
