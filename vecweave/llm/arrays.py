@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 # White space of all contracts here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)

@@ -29,7 +29,7 @@ from vecweave.llm.components import stored
 
 LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 64
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 _LETTER, _NUMBER, _OTHER, _BLANK, _WHITE = range(5)
 
 
