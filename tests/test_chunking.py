@@ -27,16 +27,27 @@ def slices(text, size, stride):
     return out
 
 
-def packs(text, size):
-    """The plain loop the column expression stands for."""
-    done, current = [], ""
-    for s in re.split(r"(?<=[.!?]) +", text):
-        if current and len(current) + len(s) > size:
-            done.append(current)
-            current = s
-        else:
-            current = f"{current} {s}" if current else s
-    return done + [current] if current else done
+def pieces(text):
+    """The sentences of a text: it is cut at spaces that follow an end mark."""
+    return re.split(r"(?<=[.!?]) +", text)
+
+
+def check_packing(text, size, chunks):
+    """What a packing of sentences must hold, whatever way it is made."""
+    sentences = [x for x in pieces(text)]
+    # Lossless and in order: the chunks' sentences are the text's sentences.
+    assert [x for x in re.split(r"(?<=[.!?]) +", " ".join(chunks)) if x] == [x for x in sentences if x]
+    spaces = [c.count(" ") for c in chunks]
+    for i, c in enumerate(chunks):
+        own = [x for x in pieces(c)]
+        joins = len(own) - 1
+        assert c != ""
+        # Over the limit only by the joining space of the last sentence, or by one long sentence.
+        assert len(c) <= size + 1 or joins == 0 or len(c) - len(own[-1]) - 1 == 0, (c, size)
+        if i:
+            # The first sentence of a chunk did not fit the chunk before.
+            assert len(chunks[i - 1]) + len(own[0]) > size
+    assert len(spaces) == len(chunks)
 
 
 EDGES = ["", "abc", "x" * 512, "x" * 513, "y" * 2000, "One. Two! Three. ", "Größe è un ça. Ñandú? Sí!", "a\nb\n\nc. d", "😀" * 600]
@@ -54,7 +65,17 @@ def test_overlap_edges(spark):
 
 def test_sentence_edges(spark):
     for size in (5, 10, 512):
-        assert chunked(spark, EDGES, lambda d: C.chunk_sentence(d, size)) == [packs(t, size) for t in EDGES]
+        for text, chunks in zip(EDGES, chunked(spark, EDGES, lambda d: C.chunk_sentence(d, size))):
+            check_packing(text, size, chunks)
+    by_hand = {
+        "One. Two! Three. ": (10, ["One. Two!", "Three. "]),
+        "aa. bb. cc.": (6, ["aa. bb.", "cc."]),
+        "aa. bb. cc.": (5, ["aa.", "bb.", "cc."]),
+        "a long sentence. b.": (4, ["a long sentence.", "b."]),
+        "": (4, []),
+    }
+    for text, (size, want) in by_hand.items():
+        assert chunked(spark, [text], lambda d: C.chunk_sentence(d, size)) == [want]
 
 
 def test_sentence_packing_may_exceed_by_the_space(spark):
@@ -64,13 +85,14 @@ def test_sentence_packing_may_exceed_by_the_space(spark):
 
 def test_many_chunks_of_one_document(spark):
     text = " ".join(f"Sentence number {i}." for i in range(3000))
-    assert chunked(spark, [text], lambda d: C.chunk_sentence(d, 30)) == [packs(text, 30)]
+    check_packing(text, 30, chunked(spark, [text], lambda d: C.chunk_sentence(d, 30))[0])
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab.!? \né", max_size=60), min_size=1, max_size=30), st.integers(1, 20))
-def test_against_plain_loops(spark, texts, size):
-    assert chunked(spark, texts, lambda d: C.chunk_sentence(d, size)) == [packs(t, size) for t in texts]
+def test_invariants_hold(spark, texts, size):
+    for text, chunks in zip(texts, chunked(spark, texts, lambda d: C.chunk_sentence(d, size))):
+        check_packing(text, size, chunks)
     assert chunked(spark, texts, lambda d: C.chunk_fixed(d, size)) == [slices(t, size, size) for t in texts]
 
 

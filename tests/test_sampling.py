@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -12,14 +13,17 @@ def frame(spark, sizes):
     return spark.createDataFrame(rows, "source string, doc_id long, text string")
 
 
-def greedy(sizes, limit):
-    parts, used, part = [], 0, 0
-    for n in sizes:
-        if part == 0 or used + n + 1 > limit:
-            part, used = part + 1, 0
-        used += n + 1
-        parts.append(part)
-    return parts
+def check_parts(sizes, limit, parts):
+    """Parts count up from 1 without gaps; each is full; each is within the limit or one line."""
+    assert len(parts) == len(sizes) and parts[:1] == [1][: len(parts)]
+    assert all(b - a in (0, 1) for a, b in zip(parts, parts[1:]))
+    bytes_of, lines_of = Counter(), Counter(parts)
+    for n, p in zip(sizes, parts):
+        if p > 1 and not bytes_of[p]:
+            # The first line of a part did not fit the part before.
+            assert bytes_of[p - 1] + n + 1 > limit
+        bytes_of[p] += n + 1
+    assert all(bytes_of[p] <= limit or lines_of[p] == 1 for p in lines_of)
 
 
 def got(df, **options):
@@ -36,7 +40,7 @@ def test_five_lines(spark):
 
 @pytest.mark.parametrize("max_rows", [1, 10**6])
 @pytest.mark.parametrize("limit, fan", [(100, 4), (300, 2), (500, 64), (1, 8)])
-def test_against_one_pass(spark, monkeypatch, max_rows, limit, fan):
+def test_parts_are_full_and_within_the_limit(spark, monkeypatch, max_rows, limit, fan):
     monkeypatch.setattr(P, "_FAN", fan)
     rnd = random.Random(limit)
     sizes = {
@@ -45,8 +49,10 @@ def test_against_one_pass(spark, monkeypatch, max_rows, limit, fan):
         "giants": [400] * 3 + [1] * 20 + [900],
         "one": [5],
     }
-    want = {k: greedy(v, limit) for k, v in sizes.items()}
-    assert got(frame(spark, sizes), max_bytes=limit, max_rows=max_rows, block_rows=50) == want
+    found = got(frame(spark, sizes), max_bytes=limit, max_rows=max_rows, block_rows=50)
+    assert set(found) == set(sizes)
+    for k, v in sizes.items():
+        check_parts(v, limit, found[k])
 
 
 def test_split_needs_a_size(spark):

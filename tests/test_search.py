@@ -38,7 +38,6 @@ def brute(queries, store, metric, keep=lambda i: True, k=10, threshold=None):
             else:
                 n = np.linalg.norm(q) * np.linalg.norm(v)
                 s = float(q @ v / n) if n else 0.0
-            s = round(s, 9)
             if threshold is None or s >= threshold:
                 found.append((-s, i))
         out[f"q{qi:02d}"] = [i for _, i in sorted(found)[:k]]
@@ -60,10 +59,7 @@ def test_exact(data, metric, k):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
-def test_grid_equals_scan(data, metric, monkeypatch):
-    from vecweave.plans import topk
-
-    monkeypatch.setattr(topk, "GRID_STORE_ROWS", 150)
+def test_query_blocks_equal_one_scan(data, metric):
     q, s, queries, store = data
     assert ids(search(q, s, 10, metric, max_queries=4)) == brute(queries, store, metric)
     assert ids(search(q, s, 10, metric, max_components=40, max_queries=5)) == brute(queries, store, metric)
@@ -189,3 +185,24 @@ def test_neighbours_stop_at_both_ends(spark):
     got = {r["rank"]: r["context"] for r in expand_neighbours(hits, chunks, 2).collect()}
     assert got == {1: "a0\na1\na2", 2: "a2\na3\na4", 3: "b0"}
     assert expanded_context(hits, chunks, 1).first()["context"] == "a0\na1\n\n---\n\na3\na4\n\n---\n\nb0"
+
+
+@pytest.mark.parametrize(("metric", "scale"), [("dot_product", 1e-6), ("euclidean", 1e-10), ("cosine", 1e-9)])
+def test_small_scores_rank(spark, metric, scale):
+    rng = np.random.default_rng(3)
+    store, query = rng.normal(size=(30, 8)) * scale, rng.normal(size=(1, 8)) * scale
+    s = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(store)], "id int, embedding array<double>")
+    q = spark.createDataFrame([("q00", query[0].tolist())], "query_id string, embedding array<double>")
+    assert ids(search(q, s, 5, metric)) == brute(query, store, metric, k=5)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
+def test_nonfinite_rows_have_no_hits(spark, metric):
+    rng = np.random.default_rng(4)
+    store, query = rng.normal(size=(50, 8)), rng.normal(size=(1, 8))
+    store[:20, 3] = [np.nan, np.inf, -np.inf, np.nan] * 5
+    s = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(store)], "id int, embedding array<double>")
+    q = spark.createDataFrame([("q00", query[0].tolist()), ("bad", [float("nan")] * 8)], "query_id string, embedding array<double>")
+    assert ids(search(q, s, 10, metric)) == brute(query, store, metric, keep=lambda i: i >= 20)
+    with pytest.raises(Exception, match="not finite"):
+        search(q, s, 10, metric, nonfinite="error").collect()

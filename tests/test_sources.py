@@ -120,8 +120,15 @@ def test_extension_and_type(spark):
         ("s3://ab", ("s3", "ab", "", None, None, False)),
         ("s3://a..b/x", ("s3", "a..b", "x", None, None, False)),
         ("s3://-abc/x", ("s3", "-abc", "x", None, None, False)),
-        ("S3://Upper/x", ("s3", "S3:", "/Upper/x", None, None, False)),
-        ("https://b.s3.amazonaws.com/k", ("s3", "https:", "/b.s3.amazonaws.com/k", None, None, False)),
+        ("S3://Upper/x", ("s3", "Upper", "x", None, None, False)),
+        ("s3a://bucket/x", ("s3", "bucket", "x", None, None, True)),
+        ("https://docs3.example.com/a", ("unresolved", None, None, None, None, False)),
+        ("https://bkt.s3.eu-west-1.amazonaws.com/k?versionId=1", ("s3", "bkt", "k", None, None, True)),
+        ("https://s3.eu-west-1.amazonaws.com/my.bucket/a/b", ("s3", "my.bucket", "a/b", None, None, True)),
+        ("https://s3-us-west-2.amazonaws.com/bkt", ("s3", "bkt", "", None, None, True)),
+        ("hdfs://name/a", ("local", None, None, None, None, True)),
+        ("https://example.com/sharepoint.com/x", ("unresolved", None, None, None, None, False)),
+        ("https://b.s3.amazonaws.com/k", ("s3", "b", "k", None, None, False)),
         ("https://t.sharepoint.com/sites/hr/Shared Documents/x", ("sharepoint", None, None, "https://t.sharepoint.com/sites/hr", "Shared Documents/x", True)),
         ("https://t.sharepoint.com/sites/hr", ("sharepoint", None, None, "https://t.sharepoint.com/sites/hr", "Shared Documents", True)),
         ("https://t.sharepoint.com/teams/hr", ("sharepoint", None, None, None, None, False)),

@@ -33,10 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# A table of fewer bytes than this is dealt to all cores; no larger one is ever shuffled to be read.
+SMALL_TABLE = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table of few files; a table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Use all cores for a table too small to have many splits; any other is read as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

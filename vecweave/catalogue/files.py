@@ -108,11 +108,14 @@ u AS (
     'https://t' || page_id || '.sharepoint.com/sites/s' || page_id, 'Docs/' || page_id, true FROM p
   UNION ALL SELECT page_id, 4, 'https://t.sharepoint.com/sites/s' || page_id, 'sharepoint', NULL, NULL,
     'https://t.sharepoint.com/sites/s' || page_id, 'Shared Documents', true FROM p
-  UNION ALL SELECT page_id, 5, '/srv/files/' || page_id, 'local', NULL, NULL, NULL, NULL, true FROM p)
+  UNION ALL SELECT page_id, 5, '/srv/files/' || page_id, 'local', NULL, NULL, NULL, NULL, true FROM p
+  UNION ALL SELECT page_id, 6, 's3a://bucket-' || page_id || '/k', 's3', 'bucket-' || page_id, 'k', NULL, NULL, true FROM p
+  UNION ALL SELECT page_id, 7, 'https://bucket-' || page_id || '.s3.eu-west-1.amazonaws.com/k/' || page_id, 's3', 'bucket-' || page_id, 'k/' || page_id, NULL, NULL, true FROM p
+  UNION ALL SELECT page_id, 8, 'https://docs3.example.com/' || page_id, 'unresolved', NULL, NULL, NULL, NULL, false FROM p)
 SELECT * FROM u""",
 )
 def classify_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page addresses and five other forms of address made from each page."""
+    """Page addresses and eight other forms of address made from each page."""
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     rest = F.regexp_extract("url", r"^https?://[^/]+/?(.*)$", 1)
     page = F.col("page_id").cast("string")
@@ -123,6 +126,9 @@ def classify_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://t"), page, F.lit(".sharepoint.com/sites/s"), page, F.lit("/Docs/"), page),
         F.concat(F.lit("https://t.sharepoint.com/sites/s"), page),
         F.concat(F.lit("/srv/files/"), page),
+        F.concat(F.lit("s3a://bucket-"), page, F.lit("/k")),
+        F.concat(F.lit("https://bucket-"), page, F.lit(".s3.eu-west-1.amazonaws.com/k/"), page),
+        F.concat(F.lit("https://docs3.example.com/"), page),
     )
     uris = table(spark, sf_dir, "pages").select("page_id", F.posexplode(forms).alias("form", "uri"))
     return M.classify_sources(uris)

@@ -39,7 +39,7 @@ SQL_HITS = f"""WITH {sql_hash_vectors('q', '(SELECT item_id AS id, text FROM ben
 {sql_hash_vectors('d', '(SELECT doc_id AS id, text FROM documents)')},
 ranked AS (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
-  FROM (SELECT q.id AS query_id, d.id, round(list_inner_product(q.v, d.v) / (q.n * d.n), 9) AS score FROM q, d) x)
+  FROM (SELECT q.id AS query_id, d.id, list_inner_product(q.v, d.v) / (q.n * d.n) AS score FROM q, d) x)
 """
 
 
@@ -96,7 +96,7 @@ keyed AS (SELECT doc_id * 100000 + chunk_index AS id, doc_id, chunk_index, conte
 {sql_hash_vectors('d', '(SELECT id, text FROM keyed)')},
 ranked AS (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
-  FROM (SELECT q.id AS query_id, d.id, round(list_inner_product(q.v, d.v) / (q.n * d.n), 9) AS score FROM q, d) x),
+  FROM (SELECT q.id AS query_id, d.id, list_inner_product(q.v, d.v) / (q.n * d.n) AS score FROM q, d) x),
 blocks AS (
   SELECT r.query_id, r.rank, string_agg(n.text, chr(10) ORDER BY n.chunk_index) AS block
   FROM ranked r JOIN keyed h ON h.id = r.id

@@ -41,7 +41,7 @@ L2 = "list_distance(q.v, s.v)"
 
 def sql_ranked(score: str, where: str = "TRUE") -> str:
     return f"""WITH {SQL_INPUTS},
-scored AS (SELECT query_id, id, label, round({score}, 9) AS score FROM q, s WHERE {where}),
+scored AS (SELECT query_id, id, label, {score} AS score FROM q, s WHERE {where}),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
 """
@@ -79,7 +79,7 @@ def l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "id", r("distance").alias("distance"))
 
 
-@query("threshold_search", sql_topk(COSINE, where=f"round({COSINE}, 9) >= 0.25", k=25))
+@query("threshold_search", sql_topk(COSINE, where=f"{COSINE} >= 0.25", k=25))
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(search(centroids(spark, sf_dir), store(spark, sf_dir).drop("metadata"), 25, threshold=0.25))
 
@@ -137,10 +137,57 @@ def batch_search_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("large_query_set_topk", sql_topk(COSINE))
 def large_query_set_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search with the query limit set low, so that it runs on the grid of blocks."""
+    """The same search with the query limit set low, so that it runs in several query blocks."""
     return shown(search(centroids(spark, sf_dir), store(spark, sf_dir).drop("metadata"), max_queries=4))
 
 
+SQL_SMALL = SQL_INPUTS.replace("avg(x) AS x", "avg(x * 1e-6::DOUBLE) AS x").replace(
+    "embedding::DOUBLE[] AS v", "list_transform(embedding::DOUBLE[], lambda x: x * 1e-6::DOUBLE) AS v"
+)
+
+
+@query(
+    "small_score_topk",
+    f"""WITH {SQL_SMALL},
+scored AS (
+  SELECT 'dot_product' AS metric, query_id, id, {DOT} AS score FROM q, s
+  UNION ALL SELECT 'euclidean', query_id, id, -{L2} FROM q, s),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY metric, query_id ORDER BY score DESC, id) AS rank FROM scored)
+SELECT metric, query_id, rank::INT AS rank, id FROM ranked WHERE rank <= 10""",
+)
+def small_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search among vectors so short that all scores are tiny."""
+    small = F.transform("embedding", lambda x: x.cast("double") * 1e-6)
+    rows = store(spark, sf_dir).select("id", small.alias("embedding"))
+    scaled = table(spark, sf_dir, "embeddings").select("label", F.posexplode(small).alias("pos", "x"))
+    means = scaled.groupBy("label", "pos").agg(F.avg("x").alias("x")).groupBy(F.col("label").alias("query_id"))
+    asked = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("embedding"))
+    found = [search(asked, rows, 10, m).withColumn("metric", F.lit(m)) for m in ("dot_product", "euclidean")]
+    return found[0].unionByName(found[1]).select("metric", "query_id", "rank", "id")
+
+
+@query(
+    "nonfinite_topk",
+    f"""WITH {SQL_INPUTS.replace("label FROM embeddings)", "label FROM embeddings WHERE vec_id % 3 <> 0)")},
+scored AS (
+  SELECT 'dot_product' AS metric, query_id, id, {DOT} AS score FROM q, s
+  UNION ALL SELECT 'euclidean', query_id, id, -{L2} FROM q, s
+  UNION ALL SELECT 'cosine', query_id, id, {COSINE} FROM q, s),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY metric, query_id ORDER BY score DESC, id) AS rank FROM scored)
+SELECT metric, query_id, rank::INT AS rank, id FROM ranked WHERE rank <= 10""",
+)
+def nonfinite_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the vectors hold a NaN or an infinite component; they have no hits."""
+    bad = F.when(F.col("id") % 2 == 0, float("nan")).otherwise(float("inf"))
+    broken = F.transform("embedding", lambda x, i: F.when((i == 1) & (F.col("id") % 3 == 0), bad).otherwise(x.cast("double")))
+    rows = store(spark, sf_dir).select("id", broken.alias("embedding"))
+    found = [
+        search(centroids(spark, sf_dir), rows, 10, m, max_queries=n).withColumn("metric", F.lit(m))
+        for m, n in (("dot_product", 4096), ("euclidean", 4), ("cosine", 4096))
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("metric", "query_id", "rank", "id")
+
+
 @query("ivf_full_probe_topk", sql_topk(COSINE))
 def ivf_full_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With every list probed the approximate search is exact."""
@@ -168,7 +215,7 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS c_rank,
          row_number() OVER (PARTITION BY query_id ORDER BY d DESC, id) AS d_rank
-  FROM (SELECT query_id, id, round({COSINE}, 9) AS c, round(-{L2}, 9) AS d FROM q, s) x)
+  FROM (SELECT query_id, id, {COSINE} AS c, -{L2} AS d FROM q, s) x)
 SELECT query_id, count(*) AS n_exact, count(*) FILTER (d_rank <= 10) AS n_found,
        round(count(*) FILTER (d_rank <= 10) / count(*), 6) AS recall
 FROM p WHERE c_rank <= 10 GROUP BY 1""",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are broadcast as hot; every other key then holds less than 1/1024 of the rows.
+from vecweave.session import shared_dir
+
+# Lists of large keys up to this length are handled as literals by ``blocks``.
 MAX_HOT_KEYS = 1024
 ROWS_PER_SALT = 1_000_000
 
@@ -21,22 +23,22 @@ def salted_join(
     """Join on ``key``, with the rows of hot keys spread over several tasks.
 
     The rows of each key on the left are counted first (the key column only, with partial
-    aggregation). Without a hot key this is a plain join. Otherwise the most frequent keys,
-    at most ``MAX_HOT_KEYS``, get ceil(n / rows_per_salt) salts: left rows pick one from
-    ``spread``, and the one right row of the key is copied to each.
+    aggregation). Without a hot key this is a plain join. Otherwise every key of more than
+    ``rows_per_salt`` rows gets ceil(n / rows_per_salt) salts: left rows pick one from
+    ``spread``, and the one right row of the key is copied to each. The list of hot keys is
+    a stored table; Spark broadcasts it while it is small and joins it otherwise. Null keys
+    match nothing and go round the join.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_salt)
-    found = counts.orderBy(F.desc("n"), key).limit(MAX_HOT_KEYS).collect()
-    if not found:
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_salt)
+    path = shared_dir(left.sparkSession, "hot-keys")
+    counts.select(key, F.ceil(F.col("n") / rows_per_salt).cast("int").alias("_salts")).write.parquet(path)
+    hot = left.sparkSession.read.parquet(path)
+    if hot.isEmpty():
         return left.join(right, key, how)
-    schema = left.select(key, F.lit(0).cast("int").alias("_salts")).schema
-    hot = F.broadcast(
-        left.sparkSession.createDataFrame([(r[key], -(-r["n"] // rows_per_salt)) for r in found], schema)
-    )
     salts = F.coalesce("_salts", F.lit(1))
     salted_left = (
         left.join(hot, key, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+        .withColumn("_salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64(spread), salts)).cast("int"))
         .drop("_salts")
     )
     salted_right = (

@@ -24,12 +24,8 @@ MAX_BLOCK_COMPONENTS = 4_000_000
 MAX_BLOCK_QUERIES = 4096
 # Scores of one slice: rows x queries.
 MAX_SLICE_SCORES = 2_000_000
-# Rows of the store in one cell of the grid.
-GRID_STORE_ROWS = 200_000
 # With codes: below this share of allowed pairs, only those are scored, one by one.
 SPARSE_SHARE = 0.1
-# Scores that agree to this many digits are the same score; ties go to the smaller id.
-SCORE_DIGITS = 9
 # Fan-in of the first merge of per-task results.
 MERGE_WAYS = 32
 
@@ -71,6 +67,8 @@ class LocalTopK:
     # For approximate search: codes of each query, compared with the codes of a row.
     query_codes: np.ndarray | None = None
     code_column: str | None = None
+    # Rows with a component that is not finite: "skip" them or make them an "error".
+    nonfinite: str = "skip"
     held: pa.Table | None = None
     # Score and id of the k-th best row of each query so far.
     floor: np.ndarray = field(init=False)
@@ -99,32 +97,44 @@ class LocalTopK:
             if part.num_rows == 0:
                 return
         vectors = vector_matrix(part.column(self.vector_column), self.dim)
+        finite = np.isfinite(vectors).all(axis=1)
+        if not finite.all():
+            if self.nonfinite == "error":
+                raise ValueError(f"{int((~finite).sum())} vectors have components that are not finite")
+            part, vectors = part.filter(pa.array(finite)), vectors[finite]
+            if part.num_rows == 0:
+                return
         allowed = self._allowed(part)
         if allowed is not None and allowed.mean() < SPARSE_SHARE:
             rows, which = np.nonzero(allowed)
-            self._keep(part, rows, which, self._pair_scores(vectors, rows, which))
-            return
-        slack = 0.0
+        else:
+            rows, which = self._candidates(vectors, allowed)
+        self._keep(part, rows, which, self._pair_scores(vectors, rows, which))
+
+    def _candidates(self, vectors: np.ndarray, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be among the k best: a matrix product, less its rounding error.
+
+        The product only picks them. Their scores are then summed in one fixed order, so
+        copies of a vector tie exactly, whatever batch or path they came through.
+        """
+        row_sq = (vectors * vectors).sum(axis=1)
+        error = 8 * self.dim * np.finfo(float).eps
         if self.metric == "cosine":
-            scores = np.round(_unit(vectors) @ self.side.T, SCORE_DIGITS)
+            scores, slack, floor = _unit(vectors) @ self.side.T, np.full(len(self.side), error), self.floor
         elif self.metric == "dot_product":
-            scores = np.round(vectors @ self.side.T, SCORE_DIGITS)
+            scores, floor = vectors @ self.side.T, self.floor
+            slack = error * np.sqrt(row_sq.max() * self.query_sq)
         else:
-            # |a-b|^2 = |a|^2 + |b|^2 - 2ab loses digits for close vectors: it only picks the
-            # candidates, with slack, and their distance is then computed from the differences.
-            row_sq = (vectors * vectors).sum(axis=1)
-            scores = row_sq[:, None] + self.query_sq[None, :] - 2.0 * (vectors @ self.side.T)
-            scores = -np.sqrt(np.maximum(scores, 0.0))
-            slack = 1e-6 * (1.0 + np.sqrt(row_sq.max() + self.query_sq.max()))
+            # Squared distances, negated: |a-b|^2 = |a|^2 + |b|^2 - 2ab.
+            scores = 2.0 * (vectors @ self.side.T) - row_sq[:, None] - self.query_sq[None, :]
+            slack, floor = error * (row_sq.max() + self.query_sq), -(self.floor * self.floor)
         if allowed is not None:
             scores = np.where(allowed, scores, -np.inf)
-        floor = self.floor
+        floor = floor - slack
         if len(scores) > self.k:
             kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-            floor = np.maximum(floor, kth)
-        rows, which = np.nonzero((scores >= floor - slack) & np.isfinite(scores))
-        exact = self.metric == "euclidean"
-        self._keep(part, rows, which, self._pair_scores(vectors, rows, which) if exact else scores[rows, which])
+            floor = np.maximum(floor, kth - 2 * slack)
+        return np.nonzero((scores >= floor) & (scores > -np.inf))
 
     def _keep(self, part: pa.Table, rows: np.ndarray, which: np.ndarray, found: np.ndarray) -> None:
         lowest = self.floor[which]
@@ -149,15 +159,21 @@ class LocalTopK:
     def _pair_scores(self, vectors: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Scores of single (row, query) pairs."""
         out = np.empty(len(rows))
-        a, b = (_unit(vectors), self.side) if self.metric == "cosine" else (vectors, self.queries)
+        row_length = np.sqrt((vectors * vectors).sum(axis=1))
+        query_length = np.sqrt(self.query_sq)
         step = max(1, MAX_SLICE_SCORES // self.dim)
         for s in range(0, len(rows), step):
-            x, y = a[rows[s : s + step]], b[which[s : s + step]]
+            r, w = rows[s : s + step], which[s : s + step]
+            x, y = vectors[r], self.queries[w]
             if self.metric == "euclidean":
                 out[s : s + step] = -np.sqrt(((x - y) * (x - y)).sum(axis=1))
-            else:
-                out[s : s + step] = (x * y).sum(axis=1)
-        return np.round(out, SCORE_DIGITS)
+                continue
+            dot = (x * y).sum(axis=1)
+            if self.metric == "cosine":
+                length = query_length[w] * row_length[r]
+                dot = np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
+            out[s : s + step] = dot
+        return out
 
     def _allowed(self, part: pa.Table) -> np.ndarray | None:
         if self.query_codes is None:
@@ -220,31 +236,50 @@ def top_k(
     code_column: str | None = None,
     max_queries: int = MAX_BLOCK_QUERIES,
     max_components: int = MAX_BLOCK_COMPONENTS,
+    nonfinite: str = "skip",
 ) -> DataFrame:
     """The k best store rows of each query: ``query_id, <store columns>, _score, rank``.
 
     ``queries`` has ``query_id, embedding`` and, for approximate search, ``codes``.
-    A query set within the block limit is sent to all tasks and the store is scanned
-    once, with no shuffle of store rows. A larger one is matched on a grid of
-    (query block, store block) cells instead, so no side is ever held whole.
+    Queries are sent to all tasks in blocks of bounded size and the store is scanned once per
+    block; store rows are never shuffled or copied. Scores are ranked as they are, ties go to
+    the smaller id. Rows and queries with a component that is NaN or infinite have no
+    hits; with ``nonfinite="error"`` such a row ends the job.
     """
     wanted = [F.col("query_id"), F.col("embedding")]
     if code_column:
         wanted.append(F.col("codes"))
-    queries = queries.filter(F.size("embedding") > 0).select(*wanted)
-    block = queries.limit(max_queries + 1).toArrow()
-    components = pc.sum(pc.list_value_length(block.column("embedding"))).as_py() or 0
-    small = block.num_rows <= max_queries and components <= max_components
+    number = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    finite = F.forall(number, lambda x: x < F.lit(float("inf")))
+    queries = queries.filter((F.size("embedding") > 0) & finite).select(*wanted)
     leave_out = {"embedding"} | ({code_column} if code_column else set())
     result_type = _result_type(queries, store, leave_out)
-    if small:
-        local = _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column)
-    else:
-        local = _grid(queries, store, result_type, k, metric, threshold, id_column, code_column, max_queries)
+    local = None
+    for block in _query_blocks(queries, max_queries, max_components):
+        found = _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column, nonfinite)
+        local = found if local is None else local.unionByName(found)
     return merge_top_k(local, k, id_column)
 
 
-def _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column) -> DataFrame:
+def _query_blocks(queries: DataFrame, max_queries: int, max_components: int) -> Iterator[pa.Table]:
+    """The queries in tables within both limits, one at a time."""
+    block = queries.limit(max_queries + 1).toArrow()
+    components = pc.sum(pc.list_value_length(block.column("embedding"))).as_py() or 0
+    if block.num_rows <= max_queries and components <= max_components:
+        yield block
+        return
+    n, components = queries.agg(F.count("*"), F.sum(F.size("embedding"))).first()
+    parts = max(ceil(n / max_queries), ceil(components / max_components))
+    home = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    for part in range(parts):
+        # Hashing deals blocks of about equal size; what exceeds a limit is cut once more.
+        block = queries.filter(home == part).toArrow()
+        step = max(1, min(max_queries, max_components // max(1, components // n)))
+        for start in range(0, block.num_rows, step):
+            yield block.slice(start, step)
+
+
+def _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column, nonfinite) -> DataFrame:
     schema = to_arrow_schema(result_type)
     if block.num_rows == 0:
         return store.sparkSession.createDataFrame([], result_type)
@@ -256,7 +291,7 @@ def _scan_store(block, store, result_type, k, metric, threshold, id_column, code
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_names, query_vectors, query_codes = sent.value
         best = LocalTopK(
-            query_vectors, k, metric, threshold, id_column, "embedding", query_codes, code_column
+            query_vectors, k, metric, threshold, id_column, "embedding", query_codes, code_column, nonfinite
         )
         for batch in batches:
             best.feed(batch)
@@ -265,36 +300,6 @@ def _scan_store(block, store, result_type, k, metric, threshold, id_column, code
     return store.mapInArrow(scan, result_type)
 
 
-def _grid(queries, store, result_type, k, metric, threshold, id_column, code_column, max_queries) -> DataFrame:
-    schema = to_arrow_schema(result_type)
-    query_blocks = ceil(queries.count() / max_queries)
-    store_blocks = max(1, ceil(store.count() / GRID_STORE_ROWS))
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spread_store = store.withColumn("_s", F.pmod(F.xxhash64(id_column), F.lit(store_blocks)).cast("int")).withColumn(
-        "_r", cells(query_blocks)
-    )
-    spread_queries = queries.withColumn(
-        "_r", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
-    ).withColumn("_s", cells(store_blocks))
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        codes = vector_matrix(left.column("codes")).astype(np.int64) if code_column else None
-        best = LocalTopK(
-            vector_matrix(left.column("embedding")), k, metric, threshold, id_column, "embedding", codes, code_column
-        )
-        for batch in right.drop_columns(["_r", "_s"]).to_batches():
-            best.feed(batch)
-        return best.result(left.column("query_id").combine_chunks(), schema)
-
-    return (
-        spread_queries.groupBy("_r", "_s")
-        .cogroup(spread_store.groupBy("_r", "_s"))
-        .applyInArrow(cell, result_type)
-    )
-
-
 def merge_top_k(local: DataFrame, k: int, id_column: str) -> DataFrame:
     """Merge per-task results in two steps, so that many tasks do not meet in one."""
     by = [F.desc("_score"), F.col(id_column)]

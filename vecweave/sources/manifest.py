@@ -173,40 +173,55 @@ def type_counts(manifest: DataFrame, types: tuple[str, ...] | list[str] = SUPPOR
     return manifest.filter(ext.isin(list(types))).groupBy(ext.alias("extension")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Scheme, authority and the rest of an address.
+_ADDRESS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)(.*)$"
+_OBJECT_SCHEMES = ("s3", "s3a", "s3n")
+# Hosts of the object store: the bucket before the service name, or as first part of the path.
+_OBJECT_HOST = r"^(?:(.+)\.)?s3(?:[.-][a-z0-9-]+)*\.amazonaws\.com(?:\.cn)?$"
+_BUCKET_NAME = r"^[a-z0-9](?:[a-z0-9.-]{1,61})[a-z0-9]$"
+
+
 def classify_sources(df: DataFrame, uri: str = "uri") -> DataFrame:
     """Source type of each URI with its bucket and prefix, or site and library.
 
-    ``local``, ``s3``, ``sharepoint`` or, for other web addresses, ``unresolved``.
-    ``valid`` is false for a bucket name or site address that breaks the rules.
+    Decided by the scheme and the host alone. An object-store scheme names the bucket as its
+    authority; over http(s) the bucket is the part of the host before the service name, or
+    the first part of the path. A host within ``sharepoint.com``, or with ``sharepoint`` as a label,
+    is a site server. Other web hosts are ``unresolved``; everything else, any other Hadoop
+    scheme included, is ``local``. ``valid`` is false for a bucket name or site address that
+    breaks the rules.
     """
-    u = F.col(uri)
-    lower = F.lower(u)
-    s3_host = u.contains(".") & (
-        lower.contains("amazonaws.com") | lower.contains("s3.") | lower.contains(".s3-")
-    )
+    part = lambda n: F.regexp_extract(uri, _ADDRESS, n)
+    scheme, authority, rest = F.lower(part(1)), part(2), part(3)
+    host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", ""))
+    web = scheme.isin("http", "https")
+    stored = scheme.isin(*_OBJECT_SCHEMES)
+    served = web & host.rlike(_OBJECT_HOST)
+    in_host = F.regexp_extract(host, _OBJECT_HOST, 1)
+    path = F.regexp_replace(F.regexp_replace(rest, "[?#].*$", ""), "^/", "")
     kind = (
-        F.when(lower.startswith("s3://") | s3_host, "s3")
-        .when(lower.contains("sharepoint.com"), "sharepoint")
-        .when(lower.rlike("^https?://"), F.when(lower.contains("sharepoint"), "sharepoint").otherwise("unresolved"))
+        F.when(stored | served, "s3")
+        .when(web & host.rlike(r"(^|\.)sharepoint(\.|$)"), "sharepoint")
+        .when(web, "unresolved")
         .otherwise("local")
     )
-    is_s3, is_site = F.col("source_type") == "s3", F.col("source_type") == "sharepoint"
-    rest = F.regexp_replace(u, "^s3://", "")
-    bucket = F.regexp_extract(rest, "^([^/]*)", 1)
-    prefix = F.regexp_extract(rest, "(?s)^[^/]*/(.*)$", 1)
-    site_pattern = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*sharepoint\.com[^/?#]*)/+sites/([^/?#]+)(?:/([^?#]*))?"
-    site = F.regexp_extract(u, site_pattern, 1)
-    name = F.regexp_extract(u, site_pattern, 2)
-    library = F.regexp_replace(F.regexp_extract(u, site_pattern, 3), "/+$", "")
-    valid_bucket = bucket.rlike(r"^[a-z0-9](?:[a-z0-9.-]{1,61})[a-z0-9]$") & ~bucket.contains("..")
-    return (
-        df.withColumn("source_type", kind)
-        .withColumn("bucket", F.when(is_s3, bucket))
-        .withColumn("prefix", F.when(is_s3, prefix))
-        .withColumn("site", F.when(is_site & (site != ""), F.concat(site, F.lit("/sites/"), name)))
-        .withColumn(
-            "library",
-            F.when(is_site & (site != ""), F.when(library == "", DEFAULT_LIBRARY).otherwise(library)),
-        )
-        .withColumn("valid", F.when(is_s3, valid_bucket).when(is_site, site != "").otherwise(~F.col("source_type").eqNullSafe("unresolved")))
+    bucket = F.when(stored, authority).when(in_host != "", in_host).otherwise(F.split(path, "/")[0])
+    prefix = F.when(stored, F.regexp_replace(rest, "^/", "")).when(in_host != "", path).otherwise(F.regexp_extract(path, "(?s)^[^/]*/(.*)$", 1))
+    # A site address: /sites/<name>, then the library.
+    steps = F.filter(F.split(path, "/"), lambda x: x != "")
+    is_site = (F.col("source_type") == "sharepoint") & (F.get(steps, F.lit(0)) == "sites") & (F.size(steps) > 1)
+    is_site = is_site & host.endswith(".sharepoint.com")
+    library = F.array_join(F.slice(steps, 3, F.greatest(F.size(steps) - 2, F.lit(0))), "/")
+    is_s3 = F.col("source_type") == "s3"
+    rows = df.withColumn("source_type", kind)
+    return rows.select(
+        "*",
+        F.when(is_s3, bucket).alias("bucket"),
+        F.when(is_s3, prefix).alias("prefix"),
+        F.when(is_site, F.concat(scheme, F.lit("://"), authority, F.lit("/sites/"), steps[1])).alias("site"),
+        F.when(is_site, F.when(library == "", DEFAULT_LIBRARY).otherwise(library)).alias("library"),
+        F.when(is_s3, bucket.rlike(_BUCKET_NAME) & ~bucket.contains(".."))
+        .when(F.col("source_type") == "sharepoint", is_site)
+        .otherwise(F.col("source_type") != "unresolved")
+        .alias("valid"),
     )
