@@ -90,3 +90,21 @@ def test_quota(spark):
     assert len(got) == 13
     assert not got["conservative"]["fits"] and got["balanced"]["fits"] and not got["balanced"]["fits_burst"]
     assert got["local_providers"]["fits"] and got["local_providers"]["fits_burst"]
+
+
+def test_counts_are_one_pass(spark):
+    """Twice the requests of one caller in one minute must not take four times as long."""
+    import time
+
+    def took(n):
+        df = spark.range(n).select(
+            F.col("id").cast("int").alias("request_id"), F.lit("k").alias("key"), F.timestamp_micros(F.col("id") * 50).alias("ts"),
+            F.lit(1).cast("bigint").alias("tokens"), F.lit(1.0).alias("response_time"),
+        )
+        start = time.perf_counter()
+        top = U.trailing_usage(df, 60).agg(F.max("requests_in_window")).first()[0]
+        assert top == n
+        return time.perf_counter() - start
+
+    took(20_000)
+    assert took(400_000) < 4 * took(200_000)
