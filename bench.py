@@ -40,7 +40,6 @@ HEADLINE = [
     "store_upsert",
     "extract_mixed",
     "stream_tumbling",
-    "stream_token_bucket",
 ]
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -206,3 +207,45 @@ def test_incremental_run_retries_only_what_failed(spark, folder, tmp_path_factor
         f.write("fresh")
     third = process_incremental(spark, folder, done, work(), now)
     assert [r["content"] for r in third.chunks.collect()] == ["fresh"]
+
+
+def test_incremental_run_never_reads_what_it_excludes(spark, tmp_path):
+    from vecweave.plans.retrieval import claim
+
+    files = tmp_path / "files"
+    files.mkdir()
+    (files / "a.TXT").write_text("small")
+    (files / "b.txt").write_text("x" * 5000)
+    (files / "huge.bin").write_bytes(b"0" * 50_000)
+    now = F.lit("2030-01-01").cast("timestamp")
+    work = str(tmp_path / "work")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 2000)
+    try:
+        for _ in range(2):
+            run = process_incremental(spark, str(files), None, work, now, max_size=1000)
+            assert [r["content"] for r in run.chunks.collect()] == ["small"] and run.transitions.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    # A claim is in the log before the work; another instance then finds nothing due.
+    due, claims = claim(spark, str(files), None, work, now, "one")
+    assert due.count() == 2 and {r["status"] for r in claims.collect()} == {"processing"}
+    claims.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert claim(spark, str(files), log, str(tmp_path / "other"), now, "two")[0].count() == 0
+    done = process_incremental(spark, str(files), log, work, now, "one", due=spark.read.parquet(f"{work}/due"))
+    assert {r["status"]: r["n"] for r in ledger_state(log.unionByName(done.transitions)).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()} == {"completed": 2}
+
+
+def test_files_that_vanish_are_recorded_as_failed(spark, tmp_path):
+    from vecweave.plans.retrieval import claim
+
+    files = tmp_path / "files"
+    files.mkdir()
+    for name in ("stays.txt", "goes.txt"):
+        (files / name).write_text(name)
+    now = F.lit("2030-01-01").cast("timestamp")
+    due, _ = claim(spark, str(files), None, str(tmp_path / "work"), now)
+    os.remove(files / "goes.txt")
+    run = process_incremental(spark, str(files), None, str(tmp_path / "work2"), now, due=due)
+    ends = {r["error_message"] for r in run.transitions.filter("seq = 1").collect()}
+    assert ends == {None, "the file could not be read"} and [r["content"] for r in run.chunks.collect()] == ["stays.txt"]

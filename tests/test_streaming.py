@@ -11,7 +11,7 @@ from vecweave.operators.store import VectorStore
 from vecweave.schemas import RESULT
 from vecweave.streaming.ingest import stream_documents, stream_files, stream_manifest
 from vecweave.streaming.stats import run_to_end, stream_stats
-from vecweave.streaming.usage import stream_token_bucket, stream_usage
+from vecweave.streaming.usage import stream_usage
 
 LOG = "request_id long, key string, ts timestamp, tokens long"
 
@@ -57,29 +57,6 @@ def test_sliding_windows(spark, tmp_path):
     assert got == {30: (2, 7), 60: (2, 7)}
 
 
-def bucket(rows, rate, capacity):
-    level, last, out = {}, {}, {}
-    for i, k, s, _ in rows:
-        have = min(capacity, level.get(k, capacity) + (s - last.get(k, s)) * rate)
-        out[i] = have >= 1
-        level[k], last[k] = have - (1 if have >= 1 else 0), s
-    return out
-
-
-def test_token_bucket_over_several_batches(spark, tmp_path):
-    rows = [(i, "hot" if i % 3 else "cold", float(i // 2), 1) for i in range(60)]
-    log = write_batches(spark, tmp_path, [rows[0:20][::-1], rows[20:40][::-1], rows[40:60]])
-    done = run_to_end(stream_token_bucket(log, 0.5, 3.0))
-    got = {r["request_id"]: r["admitted"] for r in done.collect()}
-    assert got == bucket(rows, 0.5, 3.0) and not all(got.values())
-
-
-def test_token_bucket_can_start_empty_and_charge_a_cost(spark, tmp_path):
-    log = write_batches(spark, tmp_path, [[(0, "k", 0.0, 2), (1, "k", 1.0, 2), (2, "k", 2.0, 2)]])
-    done = run_to_end(stream_token_bucket(log, 1.0, 5.0, initial_tokens=0.0, cost="tokens"))
-    assert [r["admitted"] for r in done.orderBy("request_id").collect()] == [False, False, True]
-
-
 def test_files_once_each(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     for i in range(1, 6):

@@ -279,18 +279,19 @@ def load_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "process_incremental",
     """WITH c AS (SELECT page_id, unnest(range((length(html) + 1 + 511) // 512)) AS i FROM pages)
-SELECT 1 AS run, page_id, count(*) AS n_chunks FROM c GROUP BY 2
-UNION ALL SELECT 2, -1, count(DISTINCT page_id) FROM c""",
+SELECT 1 AS run, page_id, count(*) AS n_chunks, md5(any_value(html) || chr(10)) AS digest FROM c JOIN pages USING (page_id) GROUP BY 2
+UNION ALL SELECT 2, -1, count(DISTINCT page_id), '' FROM c""",
 )
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run chunks every file; a second run over the same files finds them completed."""
     path, now = page_files(spark, sf_dir), F.lit("2024-02-01").cast("timestamp")
     first = process_incremental(spark, path, None, shared_dir(spark, "extracted"), now)
     second = process_incremental(spark, path, first.transitions, shared_dir(spark, "extracted"), now)
-    run1 = first.chunks.groupBy(page_of("source").alias("page_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), "")
+    run1 = first.chunks.groupBy(page_of("source").alias("page_id")).agg(F.count(F.lit(1)).alias("n_chunks"), F.md5(text).alias("digest"))
     done = first.transitions.filter("status = 'completed'").agg(F.count(F.lit(1)).alias("n"))
     again = second.chunks.agg((-F.count(F.lit(1))).alias("n"))
     run2 = done.unionByName(again).agg(F.sum("n").alias("n_chunks")).select(
-        F.lit(2).alias("run"), F.lit(-1).cast("bigint").alias("page_id"), "n_chunks"
+        F.lit(2).alias("run"), F.lit(-1).cast("bigint").alias("page_id"), "n_chunks", F.lit("").alias("digest")
     )
-    return run1.select(F.lit(1).alias("run"), "page_id", "n_chunks").unionByName(run2)
+    return run1.select(F.lit(1).alias("run"), "page_id", "n_chunks", "digest").unionByName(run2)

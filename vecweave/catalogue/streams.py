@@ -13,7 +13,7 @@ from vecweave.operators.store import VectorStore
 from vecweave.session import shared_dir
 from vecweave.streaming.ingest import stream_documents, stream_manifest
 from vecweave.streaming.stats import run_to_end, stream_stats
-from vecweave.streaming.usage import stream_token_bucket, stream_usage
+from vecweave.streaming.usage import stream_usage
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,28 +51,6 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("key", F.unix_seconds("start").alias("start_s"), "requests", "tokens")
 
 
-RATE, CAPACITY = 1.0 / 43200, 2.0
-
-
-@query(
-    "stream_token_bucket",
-    f"""WITH RECURSIVE {SQL_REQUEST_LOG},
-n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, request_id) AS rn FROM log),
-b AS (
-  SELECT key, request_id, us, rn, true AS admitted, {CAPACITY}::DOUBLE - 1.0::DOUBLE AS level FROM n WHERE rn = 1
-  UNION ALL
-  SELECT n.key, n.request_id, n.us, n.rn,
-         least({CAPACITY}::DOUBLE, b.level + (n.us - b.us) / 1e6 * {RATE!r}::DOUBLE) >= 1.0,
-         least({CAPACITY}::DOUBLE, b.level + (n.us - b.us) / 1e6 * {RATE!r}::DOUBLE)
-           - CASE WHEN least({CAPACITY}::DOUBLE, b.level + (n.us - b.us) / 1e6 * {RATE!r}::DOUBLE) >= 1.0 THEN 1.0 ELSE 0.0 END::DOUBLE
-  FROM b JOIN n ON n.key = b.key AND n.rn = b.rn + 1)
-SELECT key, request_id, admitted, round(level, 6) + 0.0 AS tokens_left FROM b""",
-)
-def stream_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = run_to_end(stream_token_bucket(stream_log(spark, sf_dir), RATE, CAPACITY))
-    return done.withColumn("tokens_left", F.round("tokens_left", 6) + F.lit(0.0))
-
-
 @query("stream_stats", SQL_STATS.format(keys="event_type,", group="GROUP BY event_type"))
 def stats_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("event_type") != "error"

@@ -169,14 +169,31 @@ def reset_failed_transitions(transitions: DataFrame) -> DataFrame:
     return transitions.join(failed, "fingerprint", "left_anti")
 
 
+def claim_transitions(due: DataFrame, instance: str, now: Column, seq: Column | int = 0) -> DataFrame:
+    """A ``processing`` transition for each due file (``fingerprint``), to append before the work starts."""
+    seq = F.lit(seq) if isinstance(seq, int) else seq
+    return due.select(
+        "fingerprint",
+        seq.cast("bigint").alias("seq"),
+        now.cast("timestamp").alias("ts"),
+        F.lit(instance).alias("instance_id"),
+        F.lit("processing").alias("status"),
+        F.lit(None).cast("string").alias("error_message"),
+    )
+
+
 def outcome_transitions(outcomes: DataFrame, instance: str, started: Column, finished: Column) -> DataFrame:
-    """Start and end transitions of processed files (``fingerprint, error``) to append to the log."""
+    """Start and end transitions of processed files (``fingerprint, error``) to append to the log.
+
+    A column ``seq`` of ``outcomes`` is the number of a file's first new transition.
+    """
+    base = F.col("seq") if "seq" in outcomes.columns else F.lit(0)
     end = F.when(F.col("error").isNull(), "completed").otherwise("failed")
     none = F.lit(None).cast("string")
 
     def entry(seq: int, at: Column, status: Column, message: Column) -> Column:
         return F.struct(
-            F.lit(seq).cast("bigint").alias("seq"),
+            (base + seq).cast("bigint").alias("seq"),
             at.alias("ts"),
             F.lit(instance).alias("instance_id"),
             status.alias("status"),

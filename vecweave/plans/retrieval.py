@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil
 
@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecweave.operators.chunking import build_chunks, chunk
-from vecweave.operators.ledger import fingerprint, ledger_state, outcome_transitions, pending
+from vecweave.operators.ledger import claim_transitions, fingerprint, ledger_state, outcome_transitions, pending
 from vecweave.operators.prompts import QUESTION_PROMPT, assemble_context
 from vecweave.operators.search import search
 from vecweave.sources.extract import Parser, extract
-from vecweave.sources.manifest import filter_manifest, load_content, scan_manifest
+from vecweave.sources.manifest import MAX_FILE_SIZE, extension, filter_manifest, load_content, scan_manifest, type_glob, unreadable
 
 # Names of files to read that are listed at once.
 FILES_PER_GROUP = 20_000
+UNREADABLE = "the file could not be read"
 
 
 def answer_prompts(
@@ -42,25 +43,65 @@ class Processed:
     transitions: DataFrame
 
 
-def _due_files(spark: SparkSession, path: str, manifest: DataFrame, due: DataFrame) -> Iterator[DataFrame]:
-    """The files to process with their bytes, without opening many that are not due.
+def claim(
+    spark: SparkSession,
+    path: str,
+    transitions: DataFrame | None,
+    work_dir: str,
+    now: Column,
+    instance: str = "spark",
+    types: tuple[str, ...] = ("txt", "json", "pptx"),
+    max_size: int = MAX_FILE_SIZE,
+) -> tuple[DataFrame, DataFrame]:
+    """The files this instance may process now, and the transitions that claim them.
 
-    Where most files are due they are read in one pass. Otherwise the due ones are read
-    by name, in groups whose names are few enough to list.
+    Append the claims to the log before the work starts, so that other instances leave the files
+    alone. The list is written once, to ``due`` in ``work_dir``; a run again replaces it.
     """
-    n_all, n_due = manifest.count(), due.count()
-    if 2 * n_due >= n_all:
-        yield load_content(spark, path, wanted=due)
-        return
-    groups = ceil(n_due / FILES_PER_GROUP)
-    group = F.pmod(F.xxhash64("source_path"), F.lit(groups))
-    for g in range(groups):
-        names = [r["source_path"] for r in due.filter(group == g).select("source_path").collect()]
-        if names:
-            yield load_content(spark, names)
-    if n_due == 0:
-        # No bytes are read: this only gives the output its columns.
-        yield load_content(spark, path).limit(0)
+    manifest = filter_manifest(scan_manifest(spark, path), types=types, max_size=max_size)
+    manifest = manifest.withColumn(
+        "fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size"))
+    )
+    if transitions is None:
+        due = manifest.withColumn("seq", F.lit(0).cast("bigint"))
+    else:
+        due = pending(manifest, ledger_state(transitions), now, instance)
+        # New transitions of a file follow its old ones, also where the clock stands still.
+        last = transitions.groupBy("fingerprint").agg((F.max("seq") + 1).alias("seq"))
+        due = due.join(last, "fingerprint", "left").withColumn("seq", F.coalesce("seq", F.lit(0)))
+    due.write.mode("overwrite").parquet(f"{work_dir}/due")
+    due = spark.read.parquet(f"{work_dir}/due")
+    return due, claim_transitions(due, instance, now, F.col("seq"))
+
+
+def _extract_due(spark, path, due, work_dir, types, max_size, parsers) -> DataFrame:
+    """The due files' texts and errors, in one folder that a run again replaces.
+
+    Where most files are due they are read in one scan, which type and size filters reach.
+    Otherwise the due ones are read by name, in groups whose names are few enough to list.
+    """
+    n_all = filter_manifest(scan_manifest(spark, path), types=types, max_size=max_size).count()
+    n_due = due.count()
+    parts = []
+    if n_due and 2 * n_due >= n_all:
+        parts.append(load_content(spark, path, glob=type_glob(types), wanted=due, max_size=max_size))
+    elif n_due:
+        groups = ceil(n_due / FILES_PER_GROUP)
+        group = F.pmod(F.xxhash64("source_path"), F.lit(groups))
+        for g in range(groups):
+            names = [r["source_path"] for r in due.filter(group == g).select("source_path").collect()]
+            if names:
+                parts.append(load_content(spark, names, max_size=max_size))
+    keys = due.select("source_path", "fingerprint", "seq")
+    written = []
+    for i, files in enumerate(parts):
+        folder = f"{work_dir}/texts/part={i}"
+        extract(files, parsers).select("source_path", "name", "size", "text", "error").write.mode("overwrite").parquet(folder)
+        written.append(folder)
+    schema = "source_path string, name string, size bigint, text string, error string"
+    texts = spark.read.parquet(*written) if written else spark.createDataFrame([], schema)
+    lost = unreadable(due, texts).select("source_path", "name", "size", F.lit(None).cast("string").alias("text"), F.lit(UNREADABLE).alias("error"))
+    return texts.unionByName(lost).join(keys, "source_path")
 
 
 def process_incremental(
@@ -74,28 +115,24 @@ def process_incremental(
     size: int = 512,
     types: tuple[str, ...] = ("txt", "json", "pptx"),
     parsers: dict[str, Parser] | None = None,
+    max_size: int = MAX_FILE_SIZE,
+    due: DataFrame | None = None,
 ) -> Processed:
     """Extract and chunk the files the ledger says are pending.
 
-    A file that cannot be read or parsed is recorded as failed and the others go on.
-    The extracted text is written once to ``work_dir`` (a folder all executors see), and
-    both results read it, so no file is parsed twice and a lost executor costs a re-read.
+    A file that cannot be read or parsed is recorded as failed and the others go on; bytes of
+    files of other types or above ``max_size`` are never read. ``due`` is the list of an earlier
+    ``claim``; without it the run claims for itself. The extracted text is written once to
+    ``work_dir`` (a folder of this run that all executors see), and both results read it, so no
+    file is parsed twice and a lost executor costs a re-read. The same call again replaces it.
     """
-    manifest = filter_manifest(scan_manifest(spark, path), types=types)
-    manifest = manifest.withColumn(
-        "fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size"))
-    )
-    due = manifest if transitions is None else pending(manifest, ledger_state(transitions), now, instance)
-    for files in _due_files(spark, path, manifest, due):
-        marked = files.withColumn(
-            "fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size"))
-        )
-        extract(marked, parsers).write.mode("append").parquet(work_dir)
-    extracted = spark.read.parquet(work_dir)
+    if due is None:
+        due, _ = claim(spark, path, transitions, work_dir, now, instance, types, max_size)
+    extracted = _extract_due(spark, path, due, work_dir, types, max_size, parsers)
     good = extracted.filter(F.col("error").isNull()).select(
-        F.col("source_path").alias("source"), "text", "size", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("doc_type")
+        F.col("source_path").alias("source"), "text", "size", extension(F.col("name")).alias("doc_type")
     )
     chunks = build_chunks(
         chunk(good, strategy, size), strategy, F.col("doc_type"), file_size=F.col("size"), created_at=now.cast("timestamp")
     ).drop("size", "doc_type")
-    return Processed(chunks, outcome_transitions(extracted.select("fingerprint", "error"), instance, now, now))
+    return Processed(chunks, outcome_transitions(extracted.select("fingerprint", "seq", "error"), instance, now, now))

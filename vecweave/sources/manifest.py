@@ -91,16 +91,32 @@ def load_content(
     recursive: bool = True,
     glob: str | None = None,
     wanted: DataFrame | None = None,
+    max_size: int | None = None,
 ) -> DataFrame:
-    """Manifest rows with their bytes; files that vanish meanwhile are left out.
+    """Manifest rows with their bytes; files that vanish or cannot be read are left out.
 
-    ``path`` may be a list of files. ``wanted`` keeps only the files of another manifest.
+    ``path`` may be a list of files. ``wanted`` keeps only the files of another manifest, and
+    ``unreadable`` tells which of them are missing here. ``glob`` and ``max_size`` reach the
+    scan: bytes of other files are not read, whatever their size.
     """
     files = _files(spark, path, recursive, glob)
+    if max_size is not None:
+        files = files.filter(F.col("length") <= max_size)
     rows = files.select(*_manifest_columns(files), F.col("content"))
     return rows if wanted is None else rows.join(wanted.select("source_path"), "source_path", "left_semi")
 
 
+def unreadable(wanted: DataFrame, loaded: DataFrame) -> DataFrame:
+    """The rows of a manifest whose file gave no content."""
+    return wanted.join(loaded.select("source_path"), "source_path", "left_anti")
+
+
+def type_glob(types: tuple[str, ...] | list[str]) -> str:
+    """A file glob for extensions in any case."""
+    each = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in t) for t in types]
+    return "*.{" + ",".join(each) + "}"
+
+
 def glob_regex(pattern: str) -> str:
     """A path glob as a regular expression: ``**`` crosses folders, ``*`` and ``?`` do not.
 

@@ -1,13 +1,9 @@
-"""Usage windows and admission over a stream of requests ``key, ts, tokens``."""
+"""Usage windows over a stream of requests ``key, ts, tokens``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_usage(
@@ -26,54 +22,3 @@ def stream_usage(
         .agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens"))
         .select("key", F.col("span.start").alias("start"), F.col("span.end").alias("end"), "requests", "tokens")
     )
-
-
-def stream_token_bucket(
-    log: DataFrame,
-    rate_per_second: float,
-    capacity: float,
-    initial_tokens: float | None = None,
-    cost: str | None = None,
-    id_column: str = "request_id",
-) -> DataFrame:
-    """Admit or refuse each request of a caller from a refilling bucket.
-
-    The bucket starts full unless told otherwise, refills with time up to ``capacity``
-    and is charged only for admitted requests (one token, or the ``cost`` column). Only
-    id, time and cost travel; bound the micro-batch with the source's
-    ``maxFilesPerTrigger``.
-    """
-    full = capacity if initial_tokens is None else initial_tokens
-    slim = log.select(
-        "key",
-        F.col(id_column).alias("request_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost"),
-    )
-
-    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Rows of a caller come in no order and in several frames.
-        rows = pd.concat(list(frames)).sort_values(["us", "request_id"])
-        level, last = state.get if state.exists else (full, None)
-        admitted, levels = [], []
-        for us, need in zip(rows["us"], rows["cost"]):
-            if last is not None and us > last:
-                level = min(capacity, level + (us - last) / 1e6 * rate_per_second)
-            last = us if last is None else max(last, us)
-            ok = level >= need
-            level -= need if ok else 0.0
-            admitted.append(ok)
-            levels.append(level)
-        state.update((float(level), int(last)))
-        yield pd.DataFrame(
-            {"key": key[0], "request_id": rows["request_id"].to_numpy(), "admitted": admitted, "tokens_left": levels}
-        )
-
-    types = dict(slim.dtypes)
-    return slim.groupBy("key").applyInPandasWithState(
-        admit,
-        f"key {types['key']}, request_id {types['request_id']}, admitted boolean, tokens_left double",
-        "level double, last bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
