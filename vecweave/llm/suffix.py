@@ -115,8 +115,8 @@ class SuffixIndex:
         """Merges the last two levels while they are equal in size; repeats go."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, b), (m, a) = self.levels.pop(), self.levels.pop()
-            both = a.unionByName(b).groupBy("key", "ctx", "n").agg(F.min(F.struct("doc", "at")).alias("f"))
-            both = both.select("key", "ctx", "f.doc", "f.at", "n").repartition("key").sortWithinPartitions("key", "ctx")
+            both = a.unionByName(b).repartition("key").groupBy("key", "ctx", "n").agg(F.min(F.struct("doc", "at")).alias("f"))
+            both = both.select("key", "ctx", "f.doc", "f.at", "n").sortWithinPartitions("key", "ctx")
             self.levels.append((n + m, stored(both, "level")))
 
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
