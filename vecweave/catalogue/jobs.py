@@ -249,6 +249,14 @@ def trailing_usage_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trailing(spark, sf_dir, max_rows=1)
 
 
+@query("trailing_usage_one_caller", SQL_TRAILING.replace("PARTITION BY key", "PARTITION BY 1"))
+def trailing_usage_one_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests as those of one caller, cut into slices of rows."""
+    log = request_log(spark, sf_dir).withColumn("key", F.lit(1))
+    used = usage.trailing_usage(log, HOUR, requests_limit=1, tokens_limit=600, max_rows=1000)
+    return used.select("request_id", "requests_in_window", "tokens_in_window", "over_limit", r("wait_seconds").alias("wait_seconds"))
+
+
 @query(
     "burst_usage",
     f"""WITH {SQL_REQUEST_LOG}

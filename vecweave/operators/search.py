@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecweave.plans.skew import checked_broadcast
 from vecweave.plans.topk import top_k
 from vecweave.schemas import METRICS, require
 
@@ -80,6 +81,17 @@ def search(
     return shape_results(ranked, metric, score_scale)
 
 
+def fetch(found: DataFrame, store: DataFrame) -> DataFrame:
+    """Search results by id with the store's other columns: few results are broadcast, so the
+    store is scanned once and none of it is shuffled."""
+    payload = store.drop("embedding")
+    if "embedding_model" in payload.columns:
+        payload = payload.withColumn("embedding_model", F.coalesce("embedding_model", F.lit(UNKNOWN_MODEL)))
+    rest = [c for c in payload.columns if c != "id"]
+    joined = payload.join(checked_broadcast(found), "id")
+    return joined.select("query_id", "rank", "id", *rest, "similarity_score", "distance")
+
+
 def nest_matches(results: DataFrame, columns: list[str]) -> DataFrame:
     """One row per query with its matches in rank order. Ranked input, so at most k per query."""
     return results.groupBy("query_id").agg(
@@ -95,8 +107,11 @@ def hybrid_search(
     k: int = DEFAULT_K,
     metric: str = "cosine",
 ) -> DataFrame:
-    """Vector top ``pool``, kept where the content contains a keyword in any case, first k."""
-    pooled = search(queries, store, pool, metric)
+    """Vector top ``pool``, kept where the content contains a keyword in any case, first k.
+
+    Only ids and vectors are scored; the contents of the pool are fetched afterwards.
+    """
+    pooled = fetch(search(queries, store.select("id", "embedding"), pool, metric), store)
     words = F.array(*[F.lit(w.lower()) for w in keywords])
     text = F.lower("content")
     kept = pooled.filter(F.exists(words, lambda w: F.contains(text, w)))
@@ -108,13 +123,14 @@ def expand_neighbours(hits: DataFrame, chunks: DataFrame, n: int = 2, joiner: st
     """Each hit with the text of up to n chunks on either side, in document order.
 
     ``hits`` and ``chunks`` carry ``source, chunk_index``. A hit asks for 2n+1 exact
-    (source, chunk_index) keys, so this is an equi-join on a fine key and a source with
+    (source, chunk_index) keys. While these are few they are broadcast and the chunks are
+    scanned once, unshuffled; otherwise it is an equi-join on a fine key, and a source with
     many chunks is no hot key.
     """
     wanted = hits.select("query_id", "rank", "source", F.col("chunk_index").alias("hit_index")).withColumn(
         "chunk_index", F.explode(F.sequence(F.col("hit_index") - n, F.col("hit_index") + n))
     )
-    found = wanted.join(chunks.select("source", "chunk_index", "content"), ["source", "chunk_index"])
+    found = chunks.select("source", "chunk_index", "content").join(checked_broadcast(wanted), ["source", "chunk_index"])
     return found.groupBy("query_id", "rank", "source", "hit_index").agg(
         F.array_join(
             F.transform(

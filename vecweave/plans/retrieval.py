@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecweave.operators.chunking import build_chunks, chunk
 from vecweave.operators.ledger import claim_transitions, fingerprint, ledger_state, outcome_transitions, pending
 from vecweave.operators.prompts import QUESTION_PROMPT, assemble_context
-from vecweave.operators.search import search
+from vecweave.operators.search import fetch, search
 from vecweave.sources.extract import Parser, extract
 from vecweave.sources.manifest import MAX_FILE_SIZE, extension, filter_manifest, load_content, scan_manifest, type_glob, unreadable
 
@@ -31,7 +31,7 @@ def answer_prompts(
 ) -> DataFrame:
     """Questions (``query_id, question``) to prompts with the k best contents as context."""
     queries = embed(questions.select("query_id", F.col("question").alias("text"))).select("query_id", "embedding")
-    hits = search(queries, store.select("id", "content", "embedding"), k, **options)
+    hits = fetch(search(queries, store.select("id", "embedding"), k, **options), store.select("id", "content", "embedding"))
     return assemble_context(hits, questions, template=template)
 
 

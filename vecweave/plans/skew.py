@@ -10,6 +10,8 @@ from vecweave.session import shared_dir
 # Lists of large keys up to this length are handled as literals by ``blocks``.
 MAX_HOT_KEYS = 1024
 ROWS_PER_SALT = 1_000_000
+# A side of at most this many narrow rows is broadcast.
+MAX_SENT_ROWS = 100_000
 
 
 def salted_join(
@@ -47,3 +49,11 @@ def salted_join(
         .drop("_salts")
     )
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+
+
+def checked_broadcast(rows: DataFrame, max_rows: int = MAX_SENT_ROWS) -> DataFrame:
+    """``rows`` computed once and counted: a broadcast side if there are few, else a plain one."""
+    path = shared_dir(rows.sparkSession, "side")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.parquet(path)
+    return F.broadcast(rows) if rows.count() <= max_rows else rows

@@ -26,6 +26,10 @@ MAX_BLOCK_QUERIES = 4096
 MAX_SLICE_SCORES = 2_000_000
 # With codes: below this share of allowed pairs, only those are scored, one by one.
 SPARSE_SHARE = 0.1
+# Scores that agree in this many significant digits, whatever their size, are the same score: what is left
+# is the rounding of sums, which must not decide between equal texts. Ties go to the smaller id.
+DIGITS = 12
+_ROUNDING = 10.0 ** (1 - DIGITS)
 # Fan-in of the first merge of per-task results.
 MERGE_WAYS = 32
 
@@ -49,6 +53,18 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _significant(x: np.ndarray) -> np.ndarray:
+    """``x`` rounded to DIGITS significant digits."""
+    size = np.abs(x)
+    with np.errstate(divide="ignore"):
+        power = np.where(size > 0, np.floor(np.log10(size)), 0.0)
+    # Two steps, as one factor alone may overflow for tiny scores.
+    shift = DIGITS - 1 - power
+    half = np.trunc(shift / 2)
+    up, rest = 10.0**half, 10.0 ** (shift - half)
+    return np.round(x * up * rest) / rest / up
+
+
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     ids = column.to_numpy(zero_copy_only=False)
     return ids.astype(str) if ids.dtype == object else ids
@@ -130,10 +146,11 @@ class LocalTopK:
             slack, floor = error * (row_sq.max() + self.query_sq), -(self.floor * self.floor)
         if allowed is not None:
             scores = np.where(allowed, scores, -np.inf)
-        floor = floor - slack
+        # Scores are told apart to DIGITS digits, which may raise one by that much.
+        floor = floor - slack - _ROUNDING * np.abs(floor)
         if len(scores) > self.k:
             kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-            floor = np.maximum(floor, kth - 2 * slack)
+            floor = np.maximum(floor, kth - 2 * slack - 2 * _ROUNDING * np.abs(kth))
         return np.nonzero((scores >= floor) & (scores > -np.inf))
 
     def _keep(self, part: pa.Table, rows: np.ndarray, which: np.ndarray, found: np.ndarray) -> None:
@@ -173,7 +190,7 @@ class LocalTopK:
                 length = query_length[w] * row_length[r]
                 dot = np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
             out[s : s + step] = dot
-        return out
+        return _significant(out)
 
     def _allowed(self, part: pa.Table) -> np.ndarray | None:
         if self.query_codes is None:
@@ -242,8 +259,8 @@ def top_k(
 
     ``queries`` has ``query_id, embedding`` and, for approximate search, ``codes``.
     Queries are sent to all tasks in blocks of bounded size and the store is scanned once per
-    block; store rows are never shuffled or copied. Scores are ranked as they are, ties go to
-    the smaller id. Rows and queries with a component that is NaN or infinite have no
+    block; store rows are never shuffled or copied. Scores are ranked to twelve significant digits,
+    ties go to the smaller id. Rows and queries with a component that is NaN or infinite have no
     hits; with ``nonfinite="error"`` such a row ends the job.
     """
     wanted = [F.col("query_id"), F.col("embedding")]
