@@ -67,7 +67,7 @@ def test_keep_documents_keeps_columns_and_one_of_repeats(spark):
 def measured(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    count = {w: windows.count(w) for w in set(windows)} if len(windows) < 500 else {}
+    count = {w: windows.count(w) for w in set(windows)} if len(windows) < 5000 else {}
     again = {i + k for i, w in enumerate(windows) if count.get(w, 0) > 1 for k in range(5)}
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return {
