@@ -309,3 +309,39 @@ def test_tree_is_prefix_free():
     codes = ["".join(map(str, bit[a:b])) for a, b in zip(bounds, bounds[1:])]
     assert len(set(codes)) == 5 and not [1 for a in codes for b in codes if a != b and b.startswith(a)] and len(codes[3]) == 1
     assert node.max() == 3
+
+
+def small_tree(tmp_path, total):
+    node, bit, bounds = lm.huffman(total + 1)
+    with open(tmp_path / "tree", "wb") as f:
+        np.savez(f, node=node, bit=bit, bounds=bounds, total=total, count=total)
+    return lm.Tree(str(tmp_path / "tree"))
+
+
+def test_contexts_are_counted_without_collisions(tmp_path):
+    rng = np.random.default_rng(4)
+    # More (context, node) pairs than a table of 2**20 slots holds apart.
+    symbols, bounds = rng.integers(0, 900, 300_000), np.array([0, 100_000, 300_000])
+    tree = small_tree(tmp_path, np.bincount(symbols, minlength=901))
+    keys = tree.keys(symbols, bounds)
+    table, count = np.unique(np.concatenate(keys), return_counts=True)
+    assert len(table) > 1 << 18
+    number, met = tree.answer(table, np.concatenate([[0], np.cumsum(count)]), table)
+    want = Counter()
+    for order in range(1, lm.ORDERS):
+        for a, b in zip(bounds, bounds[1:]):
+            text = [None] * order + symbols[a:b].tolist()
+            for i in range(order, len(text)):
+                s = text[i]
+                path = tree.node[tree.bounds[s] : tree.bounds[s + 1]].tolist()
+                for x in [*path, f"leaf {s}"]:
+                    want[tuple(text[i - order : i]), x] += 1
+    begin = np.concatenate([[0], np.cumsum(number, dtype=np.int64)])
+    for k, order in ((k, k + 1) for k in range(len(keys))):
+        for i in rng.integers(order, 100_000, 200).tolist():
+            s, at = int(symbols[i]), int(np.searchsorted(table, keys[k][i]))
+            path = tree.node[tree.bounds[s] : tree.bounds[s + 1]].tolist()
+            got = met[begin[at] : begin[at + 1]].astype(int).tolist()
+            assert got == [want[tuple(symbols[i - order : i].tolist()), x] for x in [*path, f"leaf {s}"]]
+    # A context that training never met has no counts, and one symbol more in a known context shares only its beginning.
+    assert not tree.answer(table[:0], np.zeros(1, np.int64), table[:5])[0].any()
