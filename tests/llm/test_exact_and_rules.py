@@ -110,3 +110,16 @@ def test_license_edges(spark):
     assert rows[32].n_base == 0 and rows[33].labels == "" and rows[33].score == 0
     assert rows[1].n_words == 0 and rows[1].labels == ""
     assert license.scan(documents(spark, EDGES)).count() == len(EDGES) and license.scan(documents(spark, [])).count() == 0
+
+
+def test_short_notices_get_labels(spark):
+    short = {
+        "Released under the MIT License.": "mit-short", "This is licensed under the MIT license": "mit-short", "// SPDX-License-Identifier: MIT": "mit-spdx",
+        "Released under the BSD 3-Clause License.": "bsd-short", "SPDX-License-Identifier: BSD-2-Clause": "bsd-spdx",
+        "subject to the Mozilla Public License, v. 2.0": "mpl-short", "Licensed under the Apache License, Version 2.0.": "apache-notice", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-notice", "Released under the Sun License.": "", "taught at MIT, no license": "",
+    }
+    docs = documents(spark, [(i, f"some words\n\n{t}\n") for i, t in enumerate(short)])
+    rows = {r.doc_id: r for r in license.scan(docs).collect()}
+    assert [rows[i].labels for i in range(len(short))] == list(short.values())
+    assert all((rows[i].score > 0) == bool(label) for i, label in enumerate(short.values()))

@@ -28,11 +28,17 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    # So few words that each of them is needed.
+    "bsd-short": "under the BSD License",
+    "bsd-spdx": "SPDX-License-Identifier: BSD",
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0",
     "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "gpl-notice": "This work is licensed under the GNU General Public License, version 3",
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-short": "under the MIT License",
+    "mit-spdx": "SPDX-License-Identifier: MIT",
+    "mpl-short": "Mozilla Public License",
     "public-domain-notice": "This work has been released into the public domain",
 }
 
