@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,15 @@ def test_short_notices_get_labels(spark):
     rows = {r.doc_id: r for r in license.scan(docs).collect()}
     assert [rows[i].labels for i in range(len(short))] == list(short.values())
     assert all((rows[i].score > 0) == bool(label) for i, label in enumerate(short.values()))
+
+
+@pytest.mark.parametrize("width", [25, 70, 80])
+@pytest.mark.parametrize("lead", ["", "# "])
+def test_wrapped_notices_get_labels(spark, width, lead):
+    long = {k: v for k, v in license.TEMPLATES.items() if len(v) > width}
+    lines = {k: ("\n" + lead).join(textwrap.wrap(f"{'Copyright 2020 some one else.'} {v} and more words.", width)) for k, v in long.items()}
+    docs = documents(spark, [(i, f"words\n\n{lead}{t}\n{lead}last words\n") for i, t in enumerate(lines.values())])
+    docs = docs.union(documents(spark, [(100, "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of\n\nthis software and associated documentation files")]))
+    rows = {r.doc_id: r for r in license.scan(docs).collect()}
+    assert all("\n" in t for t in lines.values()) and rows[100].labels == ""
+    assert [i for i, k in enumerate(lines) if k not in rows[i].labels.split(",")] == []

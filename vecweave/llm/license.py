@@ -1,7 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a text, as the set of its words. A block meets a template when it holds
-at least ``CONTAINMENT`` of the template's words. Tokens are ordered by how many documents of
+A block is a line of a text, or a run of words over adjacent lines, as long as a template, around
+one of its rarest words; as the set of its words. A block meets a template when it holds at least ``CONTAINMENT`` of the template's words. Tokens are ordered by how many documents of
 the corpus hold them, rarest first; a block can only meet a template if the first tokens of
 both, in that order, meet (prefix filter), if it has enough tokens (length filter), and if
 enough tokens follow the first common one on both sides (positional filter). What passes is
@@ -70,7 +70,10 @@ def document_counts(docs: DataFrame, vocabulary: list[str], text: str = "text")
 
 
 def match_templates(rows: DataFrame, ordered: list[str], templates: Mapping[str, list[str]], containment: float) -> DataFrame:
-    """``_key, label, containment`` of all (block, template) pairs that meet, blocks being ``_line``."""
+    """``_key, label, containment`` of all (block, template) pairs that meet, blocks being ``_line``.
+
+    A block with ``_labels`` is compared with these templates only, one without (null) with all.
+    """
     rank = {w: i for i, w in enumerate(ordered)}
     index = []
     for name, words in templates.items():
@@ -80,10 +83,11 @@ def match_templates(rows: DataFrame, ordered: list[str], templates: Mapping[str,
     spark = rows.sparkSession
     lookup = F.broadcast(spark.createDataFrame(index, "tok string, label string, j int, size int, need int, words array<string>"))
     tokens = F.array_intersect(F.lit(ordered), F.split(F.translate("_line", _UPPER, _LOWER), _APART + "+"))
-    each = rows.withColumn("b", tokens).select("_key", "b", F.posexplode("b").alias("i", "tok"))
+    each = rows.withColumn("b", tokens).select("_key", "_labels", "b", F.posexplode("b").alias("i", "tok"))
     held = F.size("b")
     passes = (
-        (held >= F.col("need"))
+        (F.col("_labels").isNull() | F.array_contains("_labels", F.col("label")))
+        & (held >= F.col("need"))
         & (F.col("i") <= held - F.col("need"))
         & (1 + F.least(held - F.col("i") - 1, F.col("size") - F.col("j") - 1) >= F.col("need"))
     )
@@ -92,6 +96,27 @@ def match_templates(rows: DataFrame, ordered: list[str], templates: Mapping[str,
     return pairs.select("_key", "label", (F.col("common") / F.col("size")).alias("containment"))
 
 
+def wrapped(texts: DataFrame, hint: str, first: Mapping[str, list[str]], length: Mapping[str, int]) -> DataFrame:
+    """``_key, _line, _labels``: runs of words over adjacent lines, around each of a template's ``first`` words.
+
+    A notice that starts in one line and ends in another, of ``length`` words, lies within as
+    many words on both sides of any of its words. An empty line ends a run.
+    """
+    spans: dict[str, dict[int, list[str]]] = {}
+    for name, words in first.items():
+        for w in words:
+            spans.setdefault(w, {}).setdefault(length[name], []).append(name)
+    lookup = F.create_map(*[x for w, of in spans.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(names).alias("names")) for n, names in of.items()]))])
+    runs = texts.select("_key", F.explode(F.split("_text", r"\n[ \t\r]*\n")).alias("_run")).filter(F.col("_run").contains("\n") & F.col("_run").rlike(hint))
+    runs = runs.select("_key", F.split(F.translate("_run", _UPPER, _LOWER), _APART + "+").alias("w"))
+    hits = F.filter(F.transform("w", lambda x, i: F.when(x.isin(list(spans)), i)), lambda i: i.isNotNull())
+    each = runs.select("_key", "w", F.explode(hits).alias("i"))
+    each = each.select("_key", "w", "i", F.explode(F.element_at(lookup, F.element_at("w", F.col("i") + 1))).alias("s"))
+    begin = F.greatest(F.col("i") + 2 - F.col("s.n"), F.lit(1))
+    line = F.array_join(F.slice("w", begin, F.col("i") + 1 + F.col("s.n") - begin), " ")
+    return each.select("_key", line.alias("_line"), F.col("s.names").alias("_labels"))
+
+
 def scan(
     docs: DataFrame,
     text: str = "text",
@@ -103,7 +128,7 @@ def scan(
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``score`` is 1 where a phrase is found, else the highest containment of a template that a
-    line meets, else 0. Labels are distinct, sorted and joined by commas, "" for none. A null
+    line or a run of words over adjacent lines meets, else 0. Labels are distinct, sorted and joined by commas, "" for none. A null
     text is an empty one; repeated rows get equal results; other columns are not read; an
     empty table gives no rows.
     """
@@ -116,11 +141,14 @@ def scan(
     ordered = sorted(vocabulary, key=lambda w: (counts[w], w))
     rank = {w: i for i, w in enumerate(ordered)}
     # Every block that meets a template holds one of the template's first tokens.
-    first = {w for s in sets.values() for w in sorted(s, key=rank.__getitem__)[: len(s) - math.ceil(containment * len(s) - 1e-9) + 1]}
-    hint = any_of([[w] for w in sorted(first)])
+    first = {k: sorted(s, key=rank.__getitem__)[: len(s) - math.ceil(containment * len(s) - 1e-9) + 1] for k, s in sets.items()}
+    hint = any_of([[w] for w in sorted({w for s in first.values() for w in s})])
     key = F.struct("doc_id", F.xxhash64("_text").alias("h"))
-    lines = base.filter(F.col("_text").rlike(hint)).select(key.alias("_key"), F.explode(F.split("_text", "\n")).alias("_line"))
-    matches = match_templates(lines.filter(F.col("_line").rlike(hint)), ordered, sets, containment)
+    texts = base.filter(F.col("_text").rlike(hint)).select(key.alias("_key"), "_text")
+    lines = texts.select("_key", F.explode(F.split("_text", "\n")).alias("_line")).filter(F.col("_line").rlike(hint))
+    lines = lines.withColumn("_labels", F.lit(None).cast("array<string>"))
+    runs = wrapped(texts, hint, first, {k: len(re.findall(_WORD + "+", v)) for k, v in templates.items()})
+    matches = match_templates(lines.unionByName(runs), ordered, sets, containment)
     matches = matches.groupBy("_key").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     matches = matches.select(F.col("_key.doc_id").alias("_d"), F.col("_key.h").alias("_h"), "_more", "_best")
 
