@@ -186,6 +186,26 @@ def test_surrogates_keep_kind_and_hide_values():
     assert re.fullmatch("[А-Яа-я]+", next(text[a:b] for a, b, k, _ in again if k == "name_m"))
 
 
+@pytest.mark.parametrize(
+    "text, kind, values",
+    [
+        ("Call +44 20 7946 0958 or 020 7946 0958, in the US 6195553296.", "phone", ["+44 20 7946 0958", "020 7946 0958", "6195553296"]),
+        ("Appelez le +33 1 23 45 67 89, le 01 23 45 67 89 ou le 01.23.45.67.89.", "phone", ["+33 1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89"]),
+        ("Telefon +49 30 123456, +49 (0)30 123456, 030/1234567 oder 0171 1234567.", "phone", ["+49 30 123456", "+49 (0)30 123456", "030/1234567", "0171 1234567"]),
+        ("Llame al +34 612 345 678 o al +34 91 123 45 67.", "phone", ["+34 612 345 678", "+34 91 123 45 67"]),
+        ("From 2001:db8::1, fe80::a1:2 and 2001:0DB8:0:0:0:0:0:1, also ::ffff:10.1.2.3.", "ip6", ["2001:db8::1", "fe80::a1:2", "2001:0DB8:0:0:0:0:0:1", "::ffff:10.1.2.3"]),
+        ("On 01.02.2023 12:30:45, 03/04/2021 10, 0.12345, at 1700000000, std::a1, 5 + 3.", "none", []),
+    ],
+)
+def test_phones_and_addresses_by_language(text, kind, values):
+    found = pii.find_entities(text)
+    assert [(text[a:b], k) for a, b, k, _ in found] == [(v, kind) for v in values]
+    out, _ = pii.rewrite(text, KEY, {})
+    assert not [v for v in values if v in out] and [e[2] for e in pii.find_entities(out)] == [kind] * len(values)
+    if kind == "ip6":
+        assert found[0][3] == found[2][3]
+
+
 def test_short_formats_stay_distinct(spark):
     # A hundred values of three digits: surrogates collide and meet real values at first.
     values = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(0, 1000, 10)], "kind string, canon string")

@@ -11,6 +11,7 @@ handful among millions, have to be handed to the tasks that rewrite the texts.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -44,15 +45,19 @@ _PARTS = {
     "email": r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+)",
     "secret": r"(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;]{6,}))",
     "key": r"(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{12,}\b)",
+    "ip6": r"(?=[0-9A-Fa-f:])(?P<ip6>(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){6}(?=\d{1,3}\.)\d{1,3}"
+    r"|(?=(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![\w:]))[0-9A-Fa-f:]*::[0-9A-Fa-f:]*)(?:(?:\.\d{1,3}){3})?(?![\w:]))",
     "number": r"(?=[0-9+(A-Z])(?:(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<![\d.-])\d{13,19}(?!\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3,4}[ .-]\d{4}|(?<=\d[ .-])\d{6,12})(?!\d)"
-    r"|\+\d{8,14}(?!\d)|(?<![\w.-])\d{3}-\d{4}(?![\d-])))",
+    # After "+" or a trunk 0 (and no date) the number of digits decides, however they are grouped.
+    r"|(?<!\w)\+\d(?:[ ./()-]{0,2}\d){7,14}(?!\d)|(?<![\w+.,:/-])(?!\d\d?[./-]\d\d?[./-]\d{4}(?!\d))0\d(?:[ ./()-]{0,2}\d){7,13}(?!\d)"
+    r"|(?<![\w.,+-])[2-9]\d{9}(?!\w|[.,-]\d)|\+\d{8,14}(?!\d)|(?<![\w.-])\d{3}-\d{4}(?![\d-])))",
     "name": rf"(?P<title>\b(?:{_TITLE})\b)\.? (?P<name>[^\W\d_a-z][\w'-]+(?: [^\W\d_a-z][\w'-]+)?)",
 }
-_KINDS = ("email", "key", "ip", "iban", "ssn", "card", "phone")
+_KINDS = ("email", "key", "ip6", "ip", "iban", "ssn", "card", "phone")
 _SECRETS = ("password", "passwd", "pwd", "secret", "token", "api")
 _DIGIT = re.compile("[0-9]")
 
@@ -70,6 +75,7 @@ def _parts(text: str) -> tuple[str, ...]:
         "email": "@" in text,
         "secret": any(w in low for w in _SECRETS),
         "key": digit and ("AKIA" in text or "ASIA" in text),
+        "ip6": digit and ("::" in text or text.count(":") >= 6),
         "number": digit,
         "name": any(t in text for t in _GENDER),
     }
@@ -93,11 +99,18 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
         else:
             kind = next(k for k in _KINDS if held.get(k))
             value = held[kind]
-            canon = value.lower() if kind == "email" else value if kind in ("ip", "key") else re.sub(r"[\W_]", "", value)
+            canon = _exploded(value) if kind == "ip6" else value.lower() if kind == "email" else value if kind in ("ip", "key") else re.sub(r"[\W_]", "", value)
             found.append((*m.span(kind), kind, canon))
     return found
 
 
+def _exploded(value: str) -> str:
+    try:
+        return ipaddress.IPv6Address(value).exploded
+    except ValueError:
+        return value.lower()
+
+
 class Draw:
     """A stream of numbers from the key and a value."""
 
@@ -141,16 +154,22 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         return body + draw.pick(("l", "n", "r", "t")) + draw.pick(_END[kind[-1]])
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
+    if kind == "ip6":
+        return ":".join(f"{draw.below(1 << 16):04x}" for _ in range(8))
     keep = {"key": 4, "iban": 2}.get(kind, 0)
     if kind == "card":
         keep = 1
     if kind == "phone" and len(canon) > 10:
         keep = len(canon) - 10  # the country code
+    if kind == "phone" and canon[0] == "0":
+        keep = max(keep, 1)  # the trunk prefix
     if kind == "email":
         keep_tail = len(canon) - canon.rindex(".")
         body = "".join(_same_class(c, draw) for c in canon[:-keep_tail])
         return "".join(chr(97 + draw.below(26)) for _ in range(attempt // 4)) + body + canon[-keep_tail:]
     out = canon[:keep] + "".join(_same_class(c, draw) for c in canon[keep:])
+    if kind == "phone" and len(canon) == 10 and canon[0] > "1" >= out[0]:
+        out = str(2 + draw.below(8)) + out[1:]
     if kind == "card" and _luhn(canon):
         return next(out[:-1] + last for last in "0123456789" if _luhn(out[:-1] + last))
     return out
