@@ -206,6 +206,12 @@ def test_phones_and_addresses_by_language(text, kind, values):
         assert found[0][3] == found[2][3]
 
 
+def test_long_addresses_and_keys_of_letters():
+    long = "x" * 65 + "@mail.example.com"
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    assert [e[2:] for e in pii.find_entities(f"to {long} with {key} only")] == [("email", long), ("key", key)]
+
+
 def test_short_formats_stay_distinct(spark):
     # A hundred values of three digits: surrogates collide and meet real values at first.
     values = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(0, 1000, 10)], "kind string, canon string")
