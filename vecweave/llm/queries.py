@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm import bpe, exact_dedup, license, lm, minhash, packing, pii, quality, suffix, warc
+from vecweave.llm import bpe, exact_dedup, filter_audit, license, lm, minhash, packing, pii, quality, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_context_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+SQL_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+f AS (
+  SELECT doc_id, part,
+         (len(ws) < 50)::INT AS a, (100 * len(list_distinct(ws)) < 65 * len(ws))::INT AS b,
+         (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::INT AS c,
+         regexp_matches(t, '[#$%&*|]')::INT AS d,
+         coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS e
+  FROM w),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+m AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN lab USING (doc_id) GROUP BY 1, 2),
+l AS (SELECT unnest(range(1, 6)) AS i),
+o AS (
+  SELECT [l1.i, l2.i, l3.i, l4.i, l5.i] AS o FROM l l1, l l2, l l3, l l4, l l5
+  WHERE len(list_distinct([l1.i, l2.i, l3.i, l4.i, l5.i])) = 5),
+r AS (
+  SELECT part, fails, n, good, toxic, o,
+         coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda s: fails[o[s]] = 1)), 9) AS gone
+  FROM m, o),
+c AS (
+  SELECT part, o, s.i AS step, sum(CASE WHEN gone > s.i THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = s.i THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone < s.i AND fails[o[s.i]] = 1 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails[o[s.i]] = 1 AND list_sum(fails) = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN gone = s.i THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = s.i THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r, l s GROUP BY 1, 2, 3)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x::INT, 1)), '') AS filter_order, step::INT AS step, kept::BIGINT AS kept,
+       removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley
+FROM c
+"""
+
+
+@query("op12_filter_audit", SQL_OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
