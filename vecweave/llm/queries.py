@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm import bpe, exact_dedup, filter_audit, license, lm, minhash, packing, pii, quality, suffix, warc
+from vecweave.llm import bpe, exact_dedup, filter_audit, license, lm, minhash, packing, pii, quality, secret_scan, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +200,39 @@ FROM c
 @query("op12_filter_audit", SQL_OP12)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _sql_secrets() -> str:
+    """Each rule's matches, marked in the text by two code points that no text holds; places are lengths before them."""
+    each = []
+    for i, rule in enumerate(secret_scan.RULES):
+        pattern, head = (p.replace("'", "''") for p in (rule.pattern, rule.head))
+        tail = f"length(regexp_extract(hit, '^(?:{head})')) + {rule.least} <= length(hit)" if rule.tail else "true"
+        each.append(
+            f"""SELECT doc_id, row_id, {i} AS k, '{rule.kind}' AS kind, pos AS s, pos + length(hit) AS e
+FROM (SELECT doc_id, row_id, hit, (sum(length(hit) + length(rest)) OVER w - length(hit) - length(rest))::BIGINT AS pos
+      FROM (SELECT doc_id, row_id, i, CASE WHEN i = 1 THEN '' ELSE split_part(piece, chr(57345), 1) END AS hit,
+                   CASE WHEN i = 1 THEN piece ELSE split_part(piece, chr(57345), 2) END AS rest
+            FROM (SELECT doc_id, row_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i
+                  FROM (SELECT doc_id, row_id, string_split(regexp_replace(t, '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)) AS pieces FROM d)))
+      WINDOW w AS (PARTITION BY row_id ORDER BY i))
+WHERE hit <> '' AND {tail}"""
+        )
+    return (
+        "WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t FROM documents),\nh AS (\n"
+        + "\nUNION ALL\n".join(each)
+        + """),
+g AS (
+  SELECT row_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM h GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row_id)
+"""
+    )
+
+
+@query("op13_secret_scan", _sql_secrets())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
