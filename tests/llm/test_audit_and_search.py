@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 
-from helpers import EDGES
-from vecweave.llm import filter_audit
+from helpers import EDGES, documents
+from vecweave.llm import filter_audit, lexical
 
 DOCS = "doc_id bigint, text string, source string, _id int, part string, mask int, _copies string, n_words int"
 LABELS = "doc_id bigint, quality int, toxic int, part string, _good int"
@@ -69,3 +72,90 @@ def test_audit_of_empty_tables_and_of_fewer_filters(spark):
     assert got == {("XY", 1): (5, 6, 0, 2, 1, 4, 8), ("XY", 2): (5, 0, 4, 0, 0, 0, 4), ("YX", 1): (7, 4, 0, 0, 0, 4, 4), ("YX", 2): (5, 2, 4, 2, 1, 0, 8)}
     with pytest.raises(ValueError):
         filter_audit.audit(counted, "ABCDEFGH")
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BIG = 1 << 62
+
+
+def terms_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def ranked(docs, items, k):
+    """Every item scored against every document."""
+    counted = [(i, Counter(terms_of(t))) for i, t in docs]
+    counted = [(i, c) for i, c in counted if c]
+    n_docs, words = len(counted), sum(c.total() for _, c in counted)
+    holding = Counter(t for _, c in counted for t in c)
+    wanted = defaultdict(set)
+    for item, text in items:
+        wanted[item].update(terms_of(text))
+    rows = []
+    for item, terms in wanted.items():
+        hits = []
+        for i, c in counted:
+            long = 50 + (50 * c.total() * n_docs) // words
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * holding[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 20 * long)) for t in terms if c[t]
+            )
+            if score > 0:
+                hits.append((-score, i is None, BIG if i is None else i, i))
+        rows += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(hits, key=lambda h: h[:3])[:k], 1)]
+    return sorted(rows, key=str)
+
+
+def corpus(seed, n):
+    rng = random.Random(seed)
+    words = [f"{rng.choice('abcdefgh')}{i}" for i in range(400)]
+    topic = [rng.sample(words, 40) for _ in range(12)]
+    texts = [" ".join(rng.choice(topic[i % 12] if rng.random() < 0.7 else words) for _ in range(rng.choice([1, 20, 80, 200]))) for i in range(n)]
+    texts[: n // 3] = [texts[0] + " copy"] * (n // 3)
+    items = [(i, " ".join(rng.sample(topic[i % 12], 8) + rng.choices(words, k=12))) for i in range(30)]
+    return list(enumerate(texts)), items
+
+
+@pytest.mark.parametrize("shard, block, width, k", [(1024, 32, 256, 50), (64, 4, 16, 3), (50, 8, 100, 10)])
+def test_search_equals_scoring_everything(spark, monkeypatch, shard, block, width, k):
+    for name, value in (("SHARD_DOCS", shard), ("BLOCK_DOCS", block), ("COORDINATES", width)):
+        monkeypatch.setattr(lexical, name, value)
+    docs, items = corpus(shard, 900)
+    docs += EDGES + [(None, docs[5][1]), (5, docs[5][1]), (77, "Häß häß 日本 日本")]
+    items += [(90, None), (91, "  ,"), (92, "nothing_of_this qqqq"), (93, "HÄß 日本 one"), (None, "one two b1"), (3, "a0 a1 one")]
+    rows = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id bigint, text string, doc_id string, rank int")
+    got = lexical.ranked_search(documents(spark, docs), rows, k).collect()
+    assert sorted(map(tuple, got), key=str) == ranked(docs, items, k)
+
+
+def test_items_in_blocks_and_empty_tables(spark, monkeypatch):
+    docs, items = corpus(5, 200)
+    rows = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(lexical, "ITEM_TERMS", 200)
+    monkeypatch.setattr(lexical, "MAX_CELLS", 400)
+    blocks = list(lexical.item_blocks(rows))
+    assert len(blocks) > 3 and sorted(i for b in blocks for i in b.ids) == list(range(30))
+    assert all(len(b.ids) * len(b.terms) <= 400 or len(b.ids) == 1 for b in blocks)
+    few = rows.filter("item_id < 4")
+    assert sorted(map(tuple, lexical.ranked_search(documents(spark, docs), few, 7).collect()), key=str) == ranked(docs, items[:4], 7)
+    assert lexical.ranked_search(documents(spark, []), few, 7).count() == 0
+    assert lexical.ranked_search(documents(spark, docs), rows.limit(0), 7).columns == ["item_id", "rank", "doc_id", "score"]
+    named = few.selectExpr("concat('i', item_id) AS item_id", "text")
+    assert {r.item_id for r in lexical.ranked_search(documents(spark, docs), named, 2).collect()} == {"i0", "i1", "i2", "i3"}
+
+
+def test_bounds_hold_and_blocks_are_skipped(spark):
+    docs, items = corpus(9, 1200)
+    [block] = lexical.item_blocks(spark.createDataFrame(items, "item_id bigint, text string"))
+    index = lexical.build_index(documents(spark, docs[400:]).coalesce(1), block)
+    best = lexical.Best(index.items, index.weights, index.coordinates, 5)
+    for row in index.shards.collect():
+        shard = lexical.Shard.of_row([row[c] for c in lexical._BINARY])
+        doc, item = (x.ravel() for x in np.indices((len(shard.ends) - 1, len(block.ids))))
+        filled = np.diff(shard.ends)[doc] > 0
+        doc, item = doc[filled], item[filled]
+        score = best.scores(shard, doc, item)
+        best.floor[:] = np.sort(score.reshape(-1, len(block.ids)), axis=0)[-5]
+        found = set(zip(*(x.tolist() for x in best.candidates(shard))))
+        assert {(d, i) for d, i, s in zip(doc.tolist(), item.tolist(), score) if s >= best.floor[i]} <= found
+        assert (np.diff(shard.block_ends) > 0).all() and shard.block_ends[-1] == len(shard.terms)
+    assert best.opened < best.blocks / 2

@@ -87,11 +87,11 @@ class Rolling:
         return mix((sums[ends] - sums[starts]) * self.inverse[starts])
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without white space, and where each text's words begin among them."""
+def words_of(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without bytes of ``apart``, and where each text's words begin among them."""
     n = len(data)
     inner = np.zeros(n + 1, bool)
-    inner[1:] = ~SPACE[data]
+    inner[1:] = ~apart[data]
     # A text's end ends its last word.
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm import bpe, exact_dedup, filter_audit, license, lm, minhash, packing, pii, quality, secret_scan, suffix, warc
+from vecweave.llm import bpe, exact_dedup, filter_audit, lexical, license, lm, minhash, packing, pii, quality, secret_scan, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -236,3 +236,30 @@ FROM d LEFT JOIN g USING (row_id)
 @query("op13_secret_scan", _sql_secrets())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+SQL_OP11 = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+d AS (SELECT doc_id, row_id, len(ws)::BIGINT AS n, ws FROM w WHERE len(ws) > 0),
+s AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+t AS (SELECT row_id, term, count(*)::BIGINT AS tf FROM (SELECT row_id, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+x AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, s GROUP BY term, nn),
+v AS (
+  SELECT row_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l))) AS part
+  FROM t JOIN d USING (row_id) JOIN x USING (term), s),
+h AS (SELECT item_id, row_id, sum(part)::BIGINT AS score FROM q JOIN v USING (term) GROUP BY 1, 2),
+r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM h JOIN d USING (row_id) WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
+
+@query("op11_lexical_search", SQL_OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
