@@ -48,9 +48,10 @@ UNIT = 4096
 ITEM_TERMS = 20_000
 MAX_CELLS = 8_000_000
 # Terms of pairs scored at once.
-MAX_EXPANSION = 1_000_000
+MAX_EXPANSION = 200_000
 MERGE_WAYS = 32
-# Shards are rows of a megabyte or two: few of them belong in one row group.
+# A shard's arrays are compressed before they become a row, so that a batch of rows stays small.
+PACKED = "zstd"
 ROW_GROUP_BYTES = 16 << 20
 
 _APART = np.ones(256, bool)
@@ -223,13 +224,16 @@ class Shard:
         return cls(ends, terms, impacts, listed[starts], np.append(starts, len(held)), held, summaries)
 
     def row(self) -> list[bytes]:
-        return [getattr(self, a).astype("<i4").tobytes() for a in self.ARRAYS] + [self.summaries.tobytes()]
+        """The arrays, each behind its length in bytes."""
+        raw = [getattr(self, a).astype("<i4").tobytes() for a in self.ARRAYS] + [self.summaries.tobytes()]
+        return [len(b).to_bytes(8, "little") + pa.compress(b, PACKED, asbytes=True) for b in raw]
 
     @classmethod
     def of_row(cls, row: Sequence[bytes]) -> Shard:
-        arrays = [np.frombuffer(b, "<i4").astype(np.int64) for b in row[:-1]]
+        raw = [pa.decompress(b[8:], int.from_bytes(b[:8], "little"), PACKED) for b in row]
+        arrays = [np.frombuffer(b, "<i4").astype(np.int64) for b in raw[:-1]]
         blocks = len(arrays[3])
-        return cls(*arrays, np.frombuffer(row[-1], np.uint8).reshape(blocks, -1 if blocks else 0))
+        return cls(*arrays, np.frombuffer(raw[-1], np.uint8).reshape(blocks, -1 if blocks else 0))
 
 
 @dataclass
@@ -376,7 +380,7 @@ def search(index: Index, k: int = K) -> DataFrame:
         best = Best(items, weights, coordinates, k)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = [batch.column(c)[i].as_buffer() for c in range(1, batch.num_columns)]
+                row = [batch.column(c)[i].as_py() for c in range(1, batch.num_columns)]
                 best.feed(batch.column(0)[i].values, Shard.of_row(row))
         yield pa.RecordBatch.from_arrays(
             [ids.take(pa.array(best.item)), pa.array(best.id, mask=best.null), pa.array(best.score.astype(np.int64))], names=["item_id", "doc_id", "score"]
