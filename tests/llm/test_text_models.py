@@ -141,6 +141,49 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == documents(spark, []).columns
 
 
+def test_one_id_with_two_texts(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [(1, base + " x"), (5, base), (5, other), (7, other + " y"), (5, "something else")]
+    got = {(r.doc_id, r.n_units): r for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got[5, 96].class_id in (1, 5) and got[7, 97].class_id == 5 and got[1, 97].class_id == 1
+    kept = sorted((r.doc_id, r.text) for r in minhash.keep_documents(documents(spark, rows)).collect())
+    assert kept == sorted([rows[0], rows[2], rows[4]])
+
+
+def near_group(n, edits=3, words=300, seed=6):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(9000)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(edits):
+            copy[rng.randrange(words)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_links_and_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    def counted(n):
+        tried, linked = [], []
+        compare, comps = minhash._class_links, minhash.components
+        with monkeypatch.context() as m:
+            m.setattr(minhash, "_class_links", lambda pairs, *a: (tried.append(pairs.count()), compare(pairs, *a))[1])
+            m.setattr(minhash, "components", lambda links: (linked.append(links.count()), comps(links))[1])
+            rows = minhash.near_duplicates(documents(spark, near_group(n))).collect()
+        return sum(tried), sum(linked), len({r.class_id for r in rows})
+
+    small, large = counted(200), counted(400)
+    assert large[0] <= 2.2 * small[0] and large[1] <= 2.2 * small[1] and small[2] == large[2] == 1
+
+
+def test_near_duplicates_of_given_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert got == classes(sets_of(rows))
+
+
 def test_near_duplicates_edges(spark):
     rows = minhash.near_duplicates(documents(spark, EDGES)).collect()
     assert len(rows) == len(EDGES)

@@ -32,6 +32,8 @@ _STRIPS = [0.0] + [1.6**i / 16 for i in range(60)]
 # A pair of similarity s agrees in a sketch bit with probability (1 + s) / 2. At 0.8 fewer than
 # 136 of 168 bits agree with probability 5e-5.
 SKETCH_BITS = 136
+# Rounds of hubs before the rest is compared pair by pair. They only save comparisons.
+HUB_ROUNDS = 5
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray, hashes: Rolling) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +105,15 @@ def darts(units: np.ndarray, bounds: np.ndarray, coords: int = COORDS) -> np.nda
     return signature
 
 
-_SIGNED = "doc_id bigint, n_units bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>"
+_SIGNED = "doc_id bigint, text_hash bigint, n_units bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>"
+
+
+def prints_of(units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit fingerprints of each set, whatever the order of its units."""
+    sums = np.zeros((2, len(units) + 1), np.uint64)
+    np.cumsum(mix(units ^ np.uint64(0x5851F42D4C957F2D)), out=sums[0, 1:])
+    np.cumsum(mix(units ^ np.uint64(0x14057B7EF767814F)), out=sums[1, 1:])
+    return sums[:, bounds[1:]] - sums[:, bounds[:-1]]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +123,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, end, data, offsets in text_slices(batch.column(1)):
             units, bounds = units_of(data, offsets, hashes)
             size = np.diff(bounds)
-            sums = np.zeros((2, len(units) + 1), np.uint64)
-            np.cumsum(mix(units ^ np.uint64(0x5851F42D4C957F2D)), out=sums[0, 1:])
-            np.cumsum(mix(units ^ np.uint64(0x14057B7EF767814F)), out=sums[1, 1:])
-            prints = sums[:, bounds[1:]] - sums[:, bounds[:-1]]
+            prints = prints_of(units, bounds)
             signature = darts(units, bounds)
             key = np.repeat(band_salt[None, :], end - first, axis=0)
             for r in range(ROWS):
@@ -129,12 +136,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, end - first),
+                    batch.column(2).slice(first, end - first),
                     pa.array(size.astype(np.int64)),
                     *[pa.array(p.view(np.int64)) for p in prints],
                     *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(3)],
                     pa.ListArray.from_arrays(pa.array(offs), pa.array(key[held].reshape(-1).view(np.int64))),
                 ],
-                names=["doc_id", "n_units", "f1", "f2", "s0", "s1", "s2", "bands"],
+                names=["doc_id", "text_hash", "n_units", "f1", "f2", "s0", "s1", "s2", "bands"],
             )
 
 
@@ -146,27 +154,39 @@ def _list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, end - first),
+                    *[pa.array(p.view(np.int64)) for p in prints_of(units, bounds)],
                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(units.view(np.int64))),
                 ],
-                names=["node", "units"],
+                names=["doc_id", "f1", "f2", "units"],
             )
 
 
 def _plain(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    whole = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("text_hash"))
 
 
 def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id``, size, content fingerprint, bit sketch and band keys of each document."""
+    """``doc_id``, size, content fingerprints, bit sketch and band keys of each document."""
     return _plain(docs, text, id_col).mapInArrow(_sign, _SIGNED)
 
 
-def _similar(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
-    left = units.select(F.col("node").alias("a"), F.col("units").alias("ua"))
-    right = units.select(F.col("node").alias("b"), F.col("units").alias("ub"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return joined.filter(_reaches(F.col("ua"), F.col("ub"), threshold)).select("a", "b")
+def _class_links(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: the classes of the pairs (x, y) whose similarity reaches the threshold; one row per two classes."""
+    left = units.select(F.col("node").alias("x"), F.col("units").alias("ux"))
+    right = units.select(F.col("node").alias("y"), F.col("units").alias("uy"))
+    joined = pairs.join(left, "x").join(right, "y").filter(_reaches(F.col("ux"), F.col("uy"), threshold))
+    return joined.groupBy(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).agg(F.count("*").alias("n"))
+
+
+def _contracted(classes: DataFrame, links: DataFrame) -> DataFrame | None:
+    """``classes`` (node, comp) after joining linked classes; None where no link is left."""
+    links = stored(links, "links")
+    if links.isEmpty():
+        return None
+    merged = components(links).select(F.col("node").alias("_was"), F.col("comp").alias("_now"))
+    joined = classes.join(merged, F.col("comp") == F.col("_was"), "left")
+    return stored(joined.select("node", F.coalesce("_now", "comp").alias("comp")), "classes")
 
 
 def _reaches(x: Column, y: Column, threshold: float) -> Column:
@@ -177,83 +197,101 @@ def _reaches(x: Column, y: Column, threshold: float) -> Column:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, class_size, n_words_units, kept``.
+    """One row per row of ``docs``: ``doc_id, class_id, class_size, n_units, kept``.
 
     ``class_id`` is the smallest doc_id of the documents connected by links of similarity
     ``threshold`` or more; ``kept`` marks that document.
+    """
+    return _classified(docs, text, id_col, threshold).drop("text_hash")
+
+
+def _classified(docs: DataFrame, text: str, id_col: str, threshold: float) -> DataFrame:
+    """``near_duplicates`` with a hash of the text, which tells rows of one doc_id apart.
 
-    Documents of equal shingles are one node from the start. In a bucket (documents equal in
-    one band) nodes are first compared with the bucket's hub only, a node drawn by hash; in the
-    round that follows only with hubs of other classes. In the last round nodes are compared
-    with every node of another class in their bucket whose bit sketch allows the threshold. So
-    close copies cost a few links each, and no link between classes is skipped.
+    Documents of equal shingles are one node from the start. In a bucket (documents equal in one
+    band) a hub is drawn, and each node compared with the hub it shares most bands with. In the
+    rounds that follow, every bucket that still holds several classes draws a new hub, and nodes
+    of other classes are compared with it; of what is found one link per two classes is kept,
+    and classes are joined, so the links a round hands on are as many as its classes, not as its
+    similar pairs. What is then still in different classes of one bucket is compared pair by pair,
+    in the first band of the two and where their bit sketches allow the threshold.
 
-    A document without words is a class of its own. A row without doc_id is not linked
-    and has a null class, kept. Rows repeated with one doc_id share its fate. Other columns are
-    not read; an empty table gives no rows.
+    Banding loses a pair at exactly 0.8 with probability 2e-4, the sketch (in the last step only) with 5e-5.
+
+    A document without words is a class of its own. A row without doc_id is not linked and has a
+    null class, kept. Rows of one doc_id and one text share their fate; rows of one doc_id and
+    different texts are different documents. Other columns are not read; an empty table gives no rows.
     """
     signed = stored(signatures(docs, text, id_col), "signatures")
     prints = ["f1", "f2", "n_units"]
     known = signed.filter("n_units > 0 AND doc_id IS NOT NULL")
-    nodes = stored(known.groupBy(*prints).agg(F.min("doc_id").alias("node")), "nodes")
-    first = known.join(nodes.select("node", *[F.col(p).alias(f"_{p}") for p in prints]),
-                       (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")))
-    bands = first.select("node", "s0", "s1", "s2", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("hub")).filter("n > 1")
-    buckets = stored(bands.join(shared.drop("n"), "key"), "buckets")
-    stars = buckets.filter("node <> hub").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count("*").alias("n"))
-    stars = stored(stars, "stars")
-    wanted = buckets.select("node").distinct()
-    texts = _plain(docs, text, id_col).join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
-    units = texts.mapInArrow(_list_units, "node bigint, units array<bigint>").dropDuplicates(["node"])
+    alike = known.groupBy(*prints).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("s0", "s1", "s2", "bands")])
+    # Numbered once, then read from the written table.
+    nodes = stored(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select("node", "s0", "s1", "s2", "bands", F.posexplode("bands").alias("band", "key")).drop("bands")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = stored(bands.join(shared, "key"), "buckets")
+    asked = buckets.select("node").distinct()
+    classes = stored(asked.withColumn("comp", F.col("node")), "classes")
+    asked = nodes.join(asked, "node", "left_semi").select("node", "doc_id", *prints)
+    texts = _plain(docs, text, id_col).join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    listed = texts.mapInArrow(_list_units, "doc_id bigint, f1 bigint, f2 bigint, units array<bigint>")
+    units = asked.join(listed, ["doc_id", "f1", "f2"]).dropDuplicates(["node"]).select("node", "units")
     units = stored(units, "units")
 
-    # Round 1: each node and the hub it shares most bands with.
-    far = F.greatest("a", "b")
-    best = stars.groupBy(far.alias("node")).agg(F.max_by(F.least("a", "b"), F.struct("n", F.xxhash64("a", "b"))).alias("a"))
-    links = stored(_similar(best.select("a", F.col("node").alias("b")), units, threshold), "pairs")
-    comps = components(links)
-    # Round 2: the other hubs, where they belong to another class.
-    links, comps = _more(links, comps, stars, units, threshold)
-    # Round 3: all nodes of other classes in the same bucket, if their sketches are close enough.
-    # The join's own condition compares them, so it makes a row for a link only.
-    left = _classed(buckets.select("key", "node", "s0", "s1", "s2"), comps, "node", "comp")
+    for turn in range(HUB_ROUNDS):
+        pairs = _hub_pairs(buckets, classes, turn)
+        if turn == 0:
+            pairs = pairs.groupBy("x").agg(F.max_by(F.struct("y", "cx", "cy"), F.struct("n", F.xxhash64("x", "y"))).alias("p")).select("x", "p.*")
+        joined = _contracted(classes, _class_links(pairs, units, threshold))
+        if joined is None and turn > 0:
+            break
+        classes = joined or classes
+    left = buckets.join(classes, "node")
     split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    open_rows = stored(left.join(split, "key").join(units, "node"), "open")
+    bandlists = nodes.select("node", "bands")
+    open_rows = stored(left.join(split, "key").join(units, "node").join(bandlists, "node"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     agree = F.lit(192) - sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("s0", "s1", "s2")), F.lit(0))
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    near = other & (agree >= SKETCH_BITS + 24) & _reaches(F.col("x.units"), F.col("y.units"), threshold)
-    found = stored(x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
-    if not found.isEmpty():
-        comps = components(links.union(found))
-
-    out = signed.join(nodes, prints, "left")
-    out = _classed(out, comps, "node", "class_id")
-    alone = F.col("n_units") == 0
-    out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_units", alone.alias("_alone"))
-    sizes = out.filter("NOT _alone").groupBy(F.col("class_id").alias("_k")).agg(F.count("*").alias("class_size"))
-    out = out.join(sizes, (F.col("class_id") == F.col("_k")) & ~F.col("_alone"), "left")
-    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"),
-                      F.coalesce("class_size", F.lit(1)).alias("class_size"), "n_units", kept.alias("kept"))
-
-
-def _classed(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
-    c = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-    return rows.join(c, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_comp", node)).drop("_node", "_comp")
-
-
-def _more(links: DataFrame, comps: DataFrame, pairs: DataFrame, units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    open_pairs = _classed(_classed(pairs.select("a", "b"), comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb")
-    found = stored(_similar(open_pairs, units, threshold), "pairs")
-    if found.isEmpty():
-        return links, comps
-    links = stored(links.union(found), "pairs")
-    return links, components(links)
+    same_band = F.zip_with("x.bands", "y.bands", lambda a, b: a == b)
+    first_band = F.array_position(same_band, True) == F.col("x.band") + 1
+    near = other & (agree >= SKETCH_BITS + 24) & first_band & _reaches(F.col("x.units"), F.col("y.units"), threshold)
+    cx, cy = F.col("x.comp"), F.col("y.comp")
+    found = x.join(y, near).groupBy(F.least(cx, cy).alias("a"), F.greatest(cx, cy).alias("b")).agg(F.count("*").alias("n"))
+    classes = _contracted(classes, found) or classes
+
+    # Classes by their smallest doc_id; a node holds all rows of its shingles.
+    of_node = nodes.select("node", "doc_id", "rows", *prints).join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = of_node.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
+    first = of_node.join(sizes, "comp").select(*prints, "class_id", "class_size")
+    out = signed.join(first, prints, "left")
+    known_id, alone = F.col("doc_id").isNotNull(), F.col("n_units") == 0
+    class_id = F.when(known_id, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")))
+    return out.select(
+        "doc_id",
+        class_id.alias("class_id"),
+        F.when(known_id, F.coalesce("class_size", F.lit(1))).otherwise(1).alias("class_size"),
+        "n_units",
+        (~known_id | (F.col("doc_id") == class_id)).alias("kept"),
+        "text_hash",
+    )
+
+
+def _hub_pairs(buckets: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """``x, y, cx, cy, n``: nodes and hubs of other classes in their buckets; of a class's hubs the one with most bands in common."""
+    rows = buckets.select("key", "node").join(classes, "node")
+    drawn = F.min_by(F.struct("node", "comp"), F.xxhash64("node", "key", F.lit(turn)))
+    hubs = rows.groupBy("key").agg(drawn.alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    met = rows.join(hubs, "key").filter(F.col("comp") != F.col("hub.comp"))
+    each = met.groupBy(F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("hub.node").alias("y"), F.col("hub.comp").alias("cy")).agg(F.count("*").alias("n"))
+    best = each.groupBy("x", "cx", "cy").agg(F.max_by("y", F.struct("n", F.xxhash64("x", "y"))).alias("y"), F.max("n").alias("n"))
+    return best.select("x", "y", "cx", "cy", "n")
 
 
 def keep_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, but one document of each class only."""
-    gone = stored(near_duplicates(docs, text, id_col, threshold).filter("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+    rows = _classified(docs, text, id_col, threshold).filter("NOT kept")
+    gone = stored(rows.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    same = (docs[f"`{id_col}`"] == F.col("_gone")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("_hash"))
+    return docs.join(gone, same, "left_anti")
