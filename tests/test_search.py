@@ -153,12 +153,55 @@ def test_ivf_full_probe_is_exact_and_recall(data):
 
 def test_ivf_prunes_partitions(data, spark, tmp_path):
     q, s, _, _ = data
-    index = ann.train_ivf(s, lists=8)
+    index = ann.train_ivf(s, lists=9)
+    assert len(index.tops) == 3 and 6 <= len(index.centroids) <= 9 and index.bounds[-1] == len(index.centroids)
     ann.write_lists(ann.assign_lists(s, index), f"{tmp_path}/ivf")
-    found = ann.ivf_search(q.limit(1), spark.read.parquet(f"{tmp_path}/ivf"), index, nprobe=1)
+    listed = spark.read.parquet(f"{tmp_path}/ivf")
+    found = ann.ivf_search(q.limit(1), listed, index, nprobe=1)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*list_id#\d+ = \d", plan)
+    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", plan) and "BroadcastNestedLoopJoin" not in plan
     assert found.count() > 0
+    # On the written layout, with every list probed, the search is exact.
+    assert ids(ann.ivf_search(q, listed, index, nprobe=9)) == ids(search(q, s))
+
+
+def test_ivf_lists_are_given_or_near(data):
+    q, s, queries, store = data
+    given = ann.IvfIndex.given(store[:12], "euclidean")
+    lists = {r["id"]: r["list_id"] for r in ann.assign_lists(s, given).collect()}
+    far = ((store[:, None, :] - store[None, :12, :]) ** 2).sum(axis=2)
+    assert all(far[i, c] <= far[i].min() + 1e-9 for i, c in lists.items())
+    near = np.argsort(((queries[:, None, :] - store[None, :12, :]) ** 2).sum(axis=2), axis=1, kind="stable")[:, :3]
+    home = np.array([lists[i] for i in range(len(store))])
+    want = {}
+    for n, probe in enumerate(near):
+        mine = {i for i in range(len(store)) if home[i] in probe}
+        want[f"q{n:02d}"] = brute(queries[n : n + 1], store, "euclidean", keep=mine.__contains__)["q00"]
+    got = ids(ann.ivf_search(q, ann.assign_lists(s, given), given, nprobe=3))
+    assert got == want
+    # In several query blocks, each written before the next is sent.
+    assert ids(ann.ivf_search(q, ann.assign_lists(s, given), given, nprobe=3, max_queries=4)) == want
+
+
+def test_probes_are_chosen_for_recall(spark):
+    rng = np.random.default_rng(11)
+    spread_out = rng.normal(size=(1500, 16))
+    clustered = rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)] * 5 + rng.normal(size=(1500, 16)) * 0.3
+    probes = []
+    for v in (spread_out, clustered):
+        s = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, embedding array<double>")
+        index = ann.train_ivf(s, lists=36)
+        q = s.filter("id % 50 = 1").withColumnRenamed("id", "query_id")
+        recall = recall_at_k(ann.ivf_search(q, ann.assign_lists(s, index), index), search(q, s)).agg(F.avg("recall")).first()[0]
+        assert recall >= 0.9
+        probes.append(index.nprobe)
+    assert probes[1] < probes[0] < 36
+
+
+def test_k_means_of_few_and_equal_rows():
+    assert len(ann.k_means(np.ones((50, 3)), 4)) == 1
+    rows = np.repeat(np.eye(3), 20, axis=0)[np.random.default_rng(0).permutation(60)]
+    assert sorted(map(tuple, ann.k_means(rows, 3).round(6).tolist())) == sorted(map(tuple, np.eye(3).tolist()))
 
 
 def test_lsh_finds_copies_and_close_vectors(data):

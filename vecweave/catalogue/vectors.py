@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecweave.catalogue.base import query, r, spread, table
 from vecweave.functions import vectors as V
 from vecweave.operators import ann
 from vecweave.operators.embedding import check_dimensions
+from vecweave.operators.graph import graph_recall, knn_graph
 from vecweave.operators.search import nest_matches, recall_at_k, search
+from vecweave.plans.topk import unit
+from vecweave.session import shared_dir
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,17 +200,52 @@ def ivf_full_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ann.ivf_search(centroids(spark, sf_dir), ann.assign_lists(rows, index), index, nprobe=20))
 
 
-@query("ivf_topk")
+# The lists of the queries below are the label centroids; a row is in the list of the nearest one, unit vectors compared.
+SQL_LISTS = f"""{SQL_INPUTS},
+u AS (SELECT query_id AS list_id, v FROM q),
+far AS (SELECT s.id, u.list_id, list_distance(list_transform(s.v, lambda x: x / sqrt(list_inner_product(s.v, s.v))), u.v) AS d FROM s, u),
+home AS (SELECT id, list_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, list_id) AS n FROM far) WHERE n = 1),
+near AS (
+  SELECT query_id, list_id
+  FROM (SELECT query_id, list_id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(list_transform(q.v, lambda x: x / sqrt(list_inner_product(q.v, q.v))), u.v), list_id) AS n FROM q, u)
+  WHERE n <= 3)"""
+
+
+@query(
+    "ivf_topk",
+    f"""WITH {SQL_LISTS},
+scored AS (SELECT q.query_id, s.id, s.label, {COSINE} AS score FROM q JOIN near USING (query_id) JOIN home USING (list_id) JOIN s USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, id, label, round(score, 6) + 0.0 AS similarity_score FROM ranked WHERE rank <= 10""",
+)
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store(spark, sf_dir).drop("metadata")
-    index = ann.train_ivf(rows, lists=20)
-    return shown(ann.ivf_search(centroids(spark, sf_dir), ann.assign_lists(rows, index), index, nprobe=5))
+    """Lists that are given, written by list and read back; three of them are probed."""
+    asked = centroids(spark, sf_dir)
+    # One row per label.
+    lists = [row["embedding"] for row in asked.orderBy("query_id").collect()]
+    index = ann.IvfIndex.given(lists)
+    path = shared_dir(spark, "ivf")
+    ann.write_lists(ann.assign_lists(store(spark, sf_dir).drop("metadata"), index), path)
+    return shown(ann.ivf_search(asked, spark.read.parquet(path), index, nprobe=3))
 
 
-@query("lsh_topk")
+@query(
+    "lsh_topk",
+    f"""WITH {SQL_INPUTS},
+axes AS (SELECT query_id AS t, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS a FROM q WHERE query_id < 4),
+qb AS (SELECT query_id, t, floor(list_cosine_similarity(v, a) / 0.2) AS b FROM q, axes),
+sb AS (SELECT id, t, floor(list_cosine_similarity(v, a) / 0.2) AS b FROM s, axes),
+met AS (SELECT DISTINCT query_id, id FROM qb JOIN sb USING (t, b)),
+scored AS (SELECT query_id, id, label, {COSINE} AS score FROM met JOIN q USING (query_id) JOIN s USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, id, label, round(score, 6) + 0.0 AS similarity_score FROM ranked WHERE rank <= 10""",
+)
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store(spark, sf_dir).drop("metadata")
-    return shown(ann.lsh_search(centroids(spark, sf_dir), rows, ann.train_lsh(rows, bucket_length=0.5, tables=4)))
+    """Four directions that are given, the first label centroids, in place of random ones."""
+    asked = centroids(spark, sf_dir)
+    axes = [row["embedding"] for row in asked.filter("query_id < 4").orderBy("query_id").collect()]
+    index = ann.LshIndex(unit(np.array(axes)), 0.2)
+    return shown(ann.lsh_search(asked, store(spark, sf_dir).drop("metadata"), index))
 
 
 @query(
@@ -227,13 +266,57 @@ def recall_of_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("recall", r("recall"))
 
 
-@query("ivf_recall")
+@query(
+    "ivf_recall",
+    "SELECT count(DISTINCT label) AS n_queries, (10 * count(DISTINCT label))::BIGINT AS n_exact, true AS reached FROM embeddings",
+)
 def recall_of_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does the search over trained lists, all settings as they come, find nine of ten exact results?"""
     rows = store(spark, sf_dir).drop("metadata")
-    index = ann.train_ivf(rows, lists=20)
+    index = ann.train_ivf(rows)
+    path = shared_dir(spark, "ivf")
+    ann.write_lists(ann.assign_lists(rows, index), path)
     queries = centroids(spark, sf_dir)
-    approximate = ann.ivf_search(queries, ann.assign_lists(rows, index), index, nprobe=5)
-    return recall_at_k(approximate, search(queries, rows)).withColumn("recall", r("recall"))
+    each = recall_at_k(ann.ivf_search(queries, spark.read.parquet(path), index), search(queries, rows))
+    return each.agg(F.count("*").alias("n_queries"), F.sum("n_exact").alias("n_exact"), (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("reached"))
+
+
+@query(
+    "knn_graph",
+    """SELECT vec_id AS id, least(10, n - 1) AS n_neighbours, least(10, n - 1) AS n_distinct, 0::BIGINT AS n_self,
+       least(10, n - 1) AS n_exact_scores, true AS in_order
+FROM embeddings, (SELECT count(*) AS n FROM embeddings)""",
+)
+def knn_graph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every row of the graph: ten distinct others, best first, with the scores that the vectors have."""
+    rows = store(spark, sf_dir).select("id", "embedding")
+    graph = knn_graph(rows)
+    mine, other = rows.withColumnRenamed("embedding", "_a"), rows.select(F.col("id").alias("neighbour"), F.col("embedding").alias("_b"))
+    exact = F.abs(V.cosine_similarity(F.col("_a"), F.col("_b")) - F.col("score")) < 1e-9
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"])
+    falling = F.forall(F.zip_with(F.slice(scores, 2, 1 << 20), scores, lambda a, b: F.isnull(a) | (a <= b)), lambda ok: ok)
+    return graph.join(mine, "id").join(other, "neighbour").groupBy("id").agg(
+        F.count("*").alias("n_neighbours"),
+        F.count_distinct("neighbour").alias("n_distinct"),
+        F.count_if(F.col("id") == F.col("neighbour")).alias("n_self"),
+        F.count_if(exact).alias("n_exact_scores"),
+        falling.alias("in_order"),
+    )
+
+
+@query(
+    "knn_graph_recall",
+    "SELECT count(*) AS n_rows, (count(*) * least(10, count(*) - 1))::BIGINT AS n_exact, true AS reached FROM embeddings",
+)
+def recall_of_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does the graph hold nine of ten nearest neighbours of all rows? The exact ones come from a search with every row as query."""
+    rows = store(spark, sf_dir).select("id", "embedding")
+    exact = search(rows.withColumnRenamed("id", "query_id"), rows, 11).filter("query_id <> id")
+    others = Window.partitionBy("query_id").orderBy("rank")
+    exact = exact.withColumn("n", F.row_number().over(others)).filter("n <= 10")
+    exact = exact.select(F.col("query_id").alias("id"), F.col("id").alias("neighbour"), F.col("similarity_score").alias("score"))
+    each = graph_recall(knn_graph(rows), exact)
+    return each.agg(F.count("*").alias("n_rows"), F.sum("n_exact").alias("n_exact"), (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("reached"))
 
 
 @query(

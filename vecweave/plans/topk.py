@@ -13,11 +13,14 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from vecweave.session import shared_dir, stored
+
 # A query block sent to all tasks holds at most this many vector components (32 MB as doubles) ...
 MAX_BLOCK_COMPONENTS = 4_000_000
 # ... and this many queries.
@@ -48,12 +51,12 @@ def vector_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, want)
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit(m: np.ndarray) -> np.ndarray:
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _significant(x: np.ndarray) -> np.ndarray:
+def significant(x: np.ndarray) -> np.ndarray:
     """``x`` rounded to DIGITS significant digits."""
     size = np.abs(x)
     with np.errstate(divide="ignore"):
@@ -83,6 +86,8 @@ class LocalTopK:
     # For approximate search: codes of each query, compared with the codes of a row.
     query_codes: np.ndarray | None = None
     code_column: str | None = None
+    # Or the one list a row is in; a query looks into the lists that are its codes.
+    list_column: str | None = None
     # Rows with a component that is not finite: "skip" them or make them an "error".
     nonfinite: str = "skip"
     held: pa.Table | None = None
@@ -95,10 +100,16 @@ class LocalTopK:
         self.floor_ids = np.empty(len(self.queries), dtype=object)
         self.dim = self.queries.shape[1]
         if self.metric == "cosine":
-            self.side = _unit(self.queries)
+            self.side = unit(self.queries)
         else:
             self.side = self.queries
         self.query_sq = (self.queries * self.queries).sum(axis=1)
+        # (list, query) pairs in the order of lists.
+        self.asked = self.askers = np.zeros(0, np.int64)
+        if self.list_column and len(self.queries):
+            codes = self.query_codes
+            order = np.argsort(codes, axis=None, kind="stable")
+            self.asked, self.askers = codes.ravel()[order], order // codes.shape[1]
 
     def feed(self, batch: pa.RecordBatch) -> None:
         step = max(1, MAX_SLICE_SCORES // max(1, len(self.queries)))
@@ -120,30 +131,49 @@ class LocalTopK:
             part, vectors = part.filter(pa.array(finite)), vectors[finite]
             if part.num_rows == 0:
                 return
-        allowed = self._allowed(part)
-        if allowed is not None and allowed.mean() < SPARSE_SHARE:
-            rows, which = np.nonzero(allowed)
+        if self.list_column:
+            rows, which = self._in_lists(vectors, part.column(self.list_column).to_numpy())
         else:
-            rows, which = self._candidates(vectors, allowed)
+            allowed = self._allowed(part)
+            if allowed is not None and allowed.mean() < SPARSE_SHARE:
+                rows, which = np.nonzero(allowed)
+            else:
+                rows, which = self._candidates(vectors, allowed)
         self._keep(part, rows, which, self._pair_scores(vectors, rows, which))
 
-    def _candidates(self, vectors: np.ndarray, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def _in_lists(self, vectors: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate pairs of each list's rows and the queries that look into it: one product per list."""
+        order = np.argsort(lists, kind="stable")
+        names, starts = np.unique(lists[order], return_index=True)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for name, start, end in zip(names, starts, np.append(starts[1:], len(lists))):
+            asks = self.askers[np.searchsorted(self.asked, name) : np.searchsorted(self.asked, name, "right")]
+            if len(asks):
+                mine = order[start:end]
+                rows, which = self._candidates(vectors[mine], None, asks)
+                found.append((mine[rows], asks[which]))
+        rows, which = (np.concatenate(x) for x in zip(*found))
+        return rows, which
+
+    def _candidates(self, vectors: np.ndarray, allowed: np.ndarray | None, asks: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that may be among the k best: a matrix product, less its rounding error.
 
         The product only picks them. Their scores are then summed in one fixed order, so
-        copies of a vector tie exactly, whatever batch or path they came through.
+        copies of a vector tie exactly, whatever batch or path they came through. ``asks`` are
+        the queries to look at; pairs number them as they are there.
         """
         row_sq = (vectors * vectors).sum(axis=1)
         error = 8 * self.dim * np.finfo(float).eps
+        side, floor, query_sq = self.side[asks], self.floor[asks], self.query_sq[asks]
         if self.metric == "cosine":
-            scores, slack, floor = _unit(vectors) @ self.side.T, np.full(len(self.side), error), self.floor
+            scores, slack = unit(vectors) @ side.T, np.full(len(side), error)
         elif self.metric == "dot_product":
-            scores, floor = vectors @ self.side.T, self.floor
-            slack = error * np.sqrt(row_sq.max() * self.query_sq)
+            scores = vectors @ side.T
+            slack = error * np.sqrt(row_sq.max() * query_sq)
         else:
             # Squared distances, negated: |a-b|^2 = |a|^2 + |b|^2 - 2ab.
-            scores = 2.0 * (vectors @ self.side.T) - row_sq[:, None] - self.query_sq[None, :]
-            slack, floor = error * (row_sq.max() + self.query_sq), -(self.floor * self.floor)
+            scores = 2.0 * (vectors @ side.T) - row_sq[:, None] - query_sq[None, :]
+            slack, floor = error * (row_sq.max() + query_sq), -(floor * floor)
         if allowed is not None:
             scores = np.where(allowed, scores, -np.inf)
         # Scores are told apart to DIGITS digits, which may raise one by that much.
@@ -190,7 +220,7 @@ class LocalTopK:
                 length = query_length[w] * row_length[r]
                 dot = np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
             out[s : s + step] = dot
-        return _significant(out)
+        return significant(out)
 
     def _allowed(self, part: pa.Table) -> np.ndarray | None:
         if self.query_codes is None:
@@ -207,7 +237,7 @@ class LocalTopK:
     def _merge(self, part: pa.Table, rows: np.ndarray, which: np.ndarray, found: np.ndarray) -> None:
         if len(rows) == 0:
             return
-        drop = [c for c in (self.vector_column, self.code_column) if c and c in part.column_names]
+        drop = [c for c in (self.vector_column, self.code_column, self.list_column) if c and c in part.column_names]
         fresh = part.drop_columns(drop).take(pa.array(rows))
         fresh = fresh.append_column("_q", pa.array(which.astype(np.int64))).append_column("_score", pa.array(found))
         both = fresh if self.held is None else pa.concat_tables([self.held, fresh])
@@ -254,37 +284,46 @@ def top_k(
     max_queries: int = MAX_BLOCK_QUERIES,
     max_components: int = MAX_BLOCK_COMPONENTS,
     nonfinite: str = "skip",
+    list_column: str | None = None,
 ) -> DataFrame:
     """The k best store rows of each query: ``query_id, <store columns>, _score, rank``.
 
-    ``queries`` has ``query_id, embedding`` and, for approximate search, ``codes``.
-    Queries are sent to all tasks in blocks of bounded size and the store is scanned once per
-    block; store rows are never shuffled or copied. Scores are ranked to twelve significant digits,
-    ties go to the smaller id. Rows and queries with a component that is NaN or infinite have no
+    ``queries`` has ``query_id, embedding`` and, for approximate search, ``codes``: rows are
+    compared with the queries that share a code with ``code_column`` (a list), or whose codes
+    hold ``list_column`` (one number). Queries are sent to all tasks in blocks of bounded size and
+    the store is scanned once per block; store rows are never shuffled or copied. Where there are
+    several blocks, the queries and each block's results are written to the shared folder and the
+    driver holds one block at a time. Scores are ranked to twelve significant digits, ties go to
+    the smaller id. Rows and queries with a component that is NaN or infinite have no
     hits; with ``nonfinite="error"`` such a row ends the job.
     """
     wanted = [F.col("query_id"), F.col("embedding")]
-    if code_column:
+    if code_column or list_column:
         wanted.append(F.col("codes"))
     number = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     finite = F.forall(number, lambda x: x < F.lit(float("inf")))
     queries = queries.filter((F.size("embedding") > 0) & finite).select(*wanted)
-    leave_out = {"embedding"} | ({code_column} if code_column else set())
+    leave_out = {"embedding"} | {c for c in (code_column, list_column) if c}
     result_type = _result_type(queries, store, leave_out)
-    local = None
-    for block in _query_blocks(queries, max_queries, max_components):
-        found = _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column, nonfinite)
-        local = found if local is None else local.unionByName(found)
-    return merge_top_k(local, k, id_column)
+    arguments = (result_type, k, metric, threshold, id_column, code_column, list_column, nonfinite)
+    block = queries.limit(max_queries + 1).toArrow()
+    if block.num_rows <= max_queries and _components(block) <= max_components:
+        return merge_top_k(_scan_store(block, store, *arguments)[0], k, id_column)
+    spark = store.sparkSession
+    path = shared_dir(spark, "found")
+    for block in _query_blocks(stored(queries, "queries"), max_queries, max_components):
+        found, sent = _scan_store(block, store, *arguments)
+        found.write.mode("append").parquet(path)
+        sent.destroy()
+    return merge_top_k(spark.read.schema(result_type).parquet(path), k, id_column)
+
+
+def _components(block: pa.Table) -> int:
+    return pc.sum(pc.list_value_length(block.column("embedding"))).as_py() or 0
 
 
 def _query_blocks(queries: DataFrame, max_queries: int, max_components: int) -> Iterator[pa.Table]:
-    """The queries in tables within both limits, one at a time."""
-    block = queries.limit(max_queries + 1).toArrow()
-    components = pc.sum(pc.list_value_length(block.column("embedding"))).as_py() or 0
-    if block.num_rows <= max_queries and components <= max_components:
-        yield block
-        return
+    """The stored queries in tables within both limits, one at a time."""
     n, components = queries.agg(F.count("*"), F.sum(F.size("embedding"))).first()
     parts = max(ceil(n / max_queries), ceil(components / max_components))
     home = F.pmod(F.xxhash64("query_id"), F.lit(parts))
@@ -296,25 +335,25 @@ def _query_blocks(queries: DataFrame, max_queries: int, max_components: int) ->
             yield block.slice(start, step)
 
 
-def _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column, nonfinite) -> DataFrame:
+def _scan_store(block, store, result_type, k, metric, threshold, id_column, code_column, list_column, nonfinite) -> tuple[DataFrame, Broadcast | None]:
     schema = to_arrow_schema(result_type)
     if block.num_rows == 0:
-        return store.sparkSession.createDataFrame([], result_type)
+        return store.sparkSession.createDataFrame([], result_type), None
     vectors = vector_matrix(block.column("embedding"))
-    codes = vector_matrix(block.column("codes")).astype(np.int64) if code_column else None
+    codes = vector_matrix(block.column("codes")).astype(np.int64) if code_column or list_column else None
     names = block.column("query_id").combine_chunks()
     sent = store.sparkSession.sparkContext.broadcast((names, vectors, codes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_names, query_vectors, query_codes = sent.value
         best = LocalTopK(
-            query_vectors, k, metric, threshold, id_column, "embedding", query_codes, code_column, nonfinite
+            query_vectors, k, metric, threshold, id_column, "embedding", query_codes, code_column, list_column, nonfinite
         )
         for batch in batches:
             best.feed(batch)
         yield from best.result(query_names, schema).to_batches()
 
-    return store.mapInArrow(scan, result_type)
+    return store.mapInArrow(scan, result_type), sent
 
 
 def merge_top_k(local: DataFrame, k: int, id_column: str) -> DataFrame:
