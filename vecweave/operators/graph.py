@@ -64,9 +64,14 @@ def _products(m: np.ndarray, metric: str) -> np.ndarray:
     return 2.0 * dot - square[:, :, None] - square[:, None, :]
 
 
-def _best_pairs(m: np.ndarray, allowed: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group, row and partner of the k best allowed partners of each row."""
-    scores = np.where(allowed, _products(m, metric), -np.inf)
+def _best_pairs(m: np.ndarray, allowed: np.ndarray, k: int, metric: str, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, row and partner of the k best allowed partners of each row, if they score above its floor."""
+    scores = _products(m, metric)
+    if floor is not None:
+        # Products of distances are their squares; what is no better than rounding is no better.
+        least = -(floor * floor) if metric == "euclidean" else floor
+        allowed = allowed & (scores > (least + 1e-9 * np.maximum(1.0, np.where(np.isfinite(least), np.abs(least), 0.0)))[:, :, None])
+    scores = np.where(allowed, scores, -np.inf)
     k = min(k, scores.shape[2])
     partner = np.argpartition(-scores, k - 1, axis=2)[:, :, :k]
     group, row, place = np.nonzero(np.take_along_axis(scores, partner, axis=2) > -np.inf)
@@ -144,7 +149,10 @@ def _edges(ids: pa.Array, m: np.ndarray, row: np.ndarray, partner: np.ndarray, m
 
 
 def _local_joins(groups: DataFrame, k: int, metric: str, id_type: str) -> DataFrame:
-    """Edges between the members of each group (a list of id, fresh, embedding) where one of the two is fresh."""
+    """Edges between the members of each group (a list of id, fresh, floor, embedding) where one of the two is fresh.
+
+    ``floor`` is the score of a member's worst neighbour so far, null while it has too few.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +168,9 @@ def _local_joins(groups: DataFrame, k: int, metric: str, id_type: str) -> DataFr
                 at[np.arange(most) < sizes[:, None]] = np.arange(len(vectors))
                 m = np.where((at >= 0)[:, :, None], vectors[at], 0.0)
                 new = (at >= 0) & fresh[at]
+                floor = flat.field("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)[at]
                 allowed = (new[:, :, None] | new[:, None, :]) & (at >= 0)[:, :, None] & (at >= 0)[:, None, :] & ~np.eye(most, dtype=bool)
-                group, row, partner = _best_pairs(m, allowed, k, metric)
+                group, row, partner = _best_pairs(m, allowed, k, metric, floor)
                 yield _edges(flat.field("id"), vectors, at[group, row], at[group, partner], metric)
 
     return groups.mapInArrow(score, _EDGE.format(id_type))
@@ -223,8 +232,9 @@ def knn_graph(
     for _ in range(rounds):
         if graph.filter("fresh").count() <= TOLERANCE * wide * shape.n:
             break
-        around = _around(graph, wide).join(vectors, "id")
-        members = F.array_sort(F.collect_list(F.struct("id", "fresh", "embedding")))
+        floors = graph.groupBy("id").agg(F.when(F.count("*") >= wide, F.min("score")).alias("floor"))
+        around = _around(graph, wide).join(vectors.join(floors, "id", "left"), "id")
+        members = F.array_sort(F.collect_list(F.struct("id", "fresh", "floor", "embedding")))
         groups = around.groupBy("centre").agg(members.alias("members"), F.max("fresh").alias("any"))
         met = _local_joins(groups.filter("any").select("members"), wide, metric, id_type).withColumn("fresh", F.lit(True))
         known = graph.select("id", "neighbour", "score", F.lit(False).alias("fresh"))
