@@ -164,3 +164,52 @@ def test_python_vectors_are_made_once(frame):
     """A filter on the vector must not run the function a second time."""
     plan = E.embed_hashing(frame, 8).filter(F.size("embedding") > 0).select(F.posexplode("embedding"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 1
+
+
+def test_a_provider_is_asked_once_whatever_is_read(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    class Client:
+        def __call__(self, texts):
+            asked.add(len(texts))
+            return [[float(len(t))] for t in texts]
+
+    E.register_provider("asked", lambda model: Client())
+    df = spark.createDataFrame([(i, f"t{i % 5}") for i in range(40)] + [(99, None)], "id int, text string")
+    done = E.embed_cached(df, None, lambda d: E.embed_with(d, "asked", "m"))
+    assert done.count() == 41 and done.filter("embedding IS NULL").count() == 1
+    cache = E.cache_entries(done)
+    assert cache.count() == 5 and asked.value == 5
+    more = E.embed_cached(df.union(spark.createDataFrame([(100, "new")], df.schema)), cache, lambda d: E.embed_with(d, "asked", "m"))
+    assert more.filter("cache_hit").count() == 40 and E.cache_entries(more).count() == 1 and asked.value == 6
+
+
+def test_accounting_of_calls(spark):
+    def provider(model):
+        def embed(texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            return E.Embedded([[1.0]] * len(texts), {"total_tokens": 7 * len(texts)}) if model == "reports" else [[1.0]] * len(texts)
+
+        return embed
+
+    E.register_provider("told", provider)
+    rows = [(i, "bad" if i == 3 else "two words", {"k": "v"}, [i]) for i in range(10)] + [(10, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, meta map<string,string>, error array<int>").coalesce(1)
+    vectors, calls = E.embed_accounted(df, "told", "reports", 5)
+    got = {r["id"]: r for r in vectors.collect()}
+    assert len(got) == 11 and got[3]["status"] == got[10]["status"] == "failed" and got[4]["meta"] == {"k": "v"} and got[4]["error"] is None
+    done = sorted((r["success"], r["n_embedded"], (r["token_usage"] or {}).get("total_tokens"), r["error"]) for r in calls.collect())
+    assert done == [(False, 0, None, "no")] + [(True, 1, 7, None)] * 4 + [(True, 5, 35, None)]
+    assert calls.select("job_id").distinct().count() == 6 and calls.filter("processing_time >= 0").count() == 6
+    # Without a report, from words: 2 * 1.3, whole.
+    assert {r["token_usage"]["total_tokens"] for r in E.embed_accounted(df.filter("id < 3"), "told", "m", 1)[1].collect()} == {2}
+
+
+def test_the_catalogue_caps_batches(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(130)], "id int, text string").coalesce(1)
+    sizes = lambda model, **o: sorted(r["n_embedded"] for r in E.embed_accounted(df, "mock", model, 100, **o)[1].collect())
+    assert sizes("llamacpp/default") == [30, 50, 50] and sizes("unknown") == [30, 100]
+    assert sizes("llamacpp/default", max_batch_size=60) == [10, 60, 60]
+    with pytest.raises(ValueError):
+        E.embed_with(df, "mock", "m", 0)

@@ -248,4 +248,77 @@ def test_files_that_vanish_are_recorded_as_failed(spark, tmp_path):
     os.remove(files / "goes.txt")
     run = process_incremental(spark, str(files), None, str(tmp_path / "work2"), now, due=due)
     ends = {r["error_message"] for r in run.transitions.filter("seq = 1").collect()}
-    assert ends == {None, "the file could not be read"} and [r["content"] for r in run.chunks.collect()] == ["stays.txt"]
+    assert ends == {None, "missing: the file is no longer there"} and [r["content"] for r in run.chunks.collect()] == ["stays.txt"]
+
+
+def test_read_files_tells_what_happened(spark, tmp_path):
+    from vecweave.sources import files as FS
+
+    for name, size in (("a.txt", 3), ("gone.txt", 3), ("folder.txt", 3), ("big.txt", 50), ("grows.txt", 3), ("empty.txt", 0)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    (tmp_path / "sub" / "deep").mkdir(parents=True)
+    (tmp_path / "sub" / "deep" / "b.txt").write_text("deep")
+    (tmp_path / "_hidden").write_text("no")
+    listed = FS.list_files(spark, str(tmp_path))
+    rows = listed.collect()
+    assert {r["name"]: r["size"] for r in rows} == {"a.txt": 3, "gone.txt": 3, "folder.txt": 3, "big.txt": 50, "grows.txt": 3, "empty.txt": 0, "b.txt": 4}
+    same = {r["source_path"]: r["size"] for r in M.scan_manifest(spark, str(tmp_path)).collect()}
+    assert same == {r["source_path"]: r["size"] for r in rows if r["size"]}
+    manifest = spark.createDataFrame(rows, listed.schema)
+    os.remove(tmp_path / "gone.txt")
+    os.remove(tmp_path / "folder.txt")
+    (tmp_path / "folder.txt").mkdir()
+    (tmp_path / "grows.txt").write_bytes(b"x" * 60)
+    got = {r["name"]: (r["state"], r["content"]) for r in FS.read_files(manifest, max_size=40).collect()}
+    assert got == {
+        "a.txt": ("read", b"xxx"), "gone.txt": ("missing", None), "folder.txt": ("unreadable", None), "big.txt": ("oversized", None),
+        "grows.txt": ("oversized", None), "empty.txt": ("read", b""), "b.txt": ("read", b"deep"),
+    }
+    assert FS.read_files(manifest.limit(0)).count() == 0
+    assert FS.list_files(spark, str(tmp_path / "nowhere")).count() == 0
+    odd = spark.createDataFrame([("x", "nosuch://host/file", 1)], "name string, source_path string, size bigint")
+    assert FS.read_files(odd).first()["state"] == "unreadable"
+
+
+def test_incremental_run_through_spark_reader(spark, tmp_path):
+    from vecweave.plans.retrieval import claim, read_with_spark
+
+    files = tmp_path / "files"
+    files.mkdir()
+    for name in ("stays.txt", "goes.txt"):
+        (files / name).write_text(name)
+    now = F.lit("2030-01-01").cast("timestamp")
+    due, _ = claim(spark, str(files), None, str(tmp_path / "work"), now)
+    os.remove(files / "goes.txt")
+    run = process_incremental(spark, str(files), None, str(tmp_path / "work2"), now, due=due, reader=read_with_spark(str(files)))
+    assert {r["status"] for r in run.transitions.filter("seq = 1").collect()} == {"completed", "failed"}
+    assert [r["content"] for r in run.chunks.collect()] == ["stays.txt"]
+
+
+def test_listing_stream_remembers_one_offset(spark, tmp_path):
+    import json
+
+    from vecweave.sources import files as FS
+
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    (folder / "sub").mkdir(parents=True)
+
+    def arrivals():
+        out = str(tmp_path / "out")
+        stream = FS.stream_listing(spark, str(folder), "*.txt", settle=0.0)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(r["name"] for r in spark.read.parquet(out).collect())
+
+    for i in range(5):
+        (folder / f"a{i}.txt").write_text("one")
+    (folder / "other.bin").write_text("no")
+    assert arrivals() == [f"a{i}.txt" for i in range(5)]
+    for i in range(3):
+        (folder / "sub" / f"b{i}.txt").write_text("two")
+    want = [f"a{i}.txt" for i in range(5)] + [f"b{i}.txt" for i in range(3)]
+    assert arrivals() == want and arrivals() == want
+    (folder / "a1.txt").write_text("a new version")
+    assert arrivals() == sorted(want + ["a1.txt"])
+    offsets = [json.loads((tmp_path / "state" / "offsets" / n).read_text().splitlines()[-1]) for n in os.listdir(tmp_path / "state" / "offsets") if n.isdigit()]
+    assert all(set(o) == {"time", "path"} for o in offsets)

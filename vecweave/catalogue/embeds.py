@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecweave.catalog import MODELS, model_catalog
 from vecweave.catalogue.base import DIM, documents, query, r, sql_hash_vectors
 from vecweave.operators import embedding as E
+from vecweave.operators.stats import embedding_stats
 
 MOCK_DIM = 8
 # The catalogue's demonstration provider refuses texts longer than this.
@@ -98,6 +99,58 @@ def embed_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "embed_cached_vectors",
+    f"""WITH known AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE lang = 'en')
+SELECT doc_id, k IS NOT NULL AS cache_hit, i::INT AS pos,
+       round((('0x' || substr(md5(md5(text) || ':' || i), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1.0::DOUBLE)::DOUBLE, 6) + 0.0 AS x
+FROM (SELECT doc_id, text, unnest(range({MOCK_DIM})) AS i FROM documents) d LEFT JOIN known ON k = md5(text)
+UNION ALL SELECT -1, true, -1, (SELECT count(DISTINCT md5(text)) FROM documents)::DOUBLE""",
+)
+def embed_cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors themselves, and as last row the entries of the cache after the run."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    embed = lambda d: E.embed_mock(d, MOCK_DIM)
+    cache = embed(docs.filter("lang = 'en'").select(F.md5("text").alias("text_key"), "text")).select("text_key", "embedding")
+    done = E.embed_cached(docs, cache, embed, id_column="doc_id")
+    flat = done.select("doc_id", "cache_hit", F.posexplode("embedding").alias("pos", "x")).withColumn("x", r(F.col("x").cast("double")))
+    entries = cache.select("text_key").union(E.cache_entries(done).select("text_key")).agg(F.count_distinct("text_key").cast("double").alias("x"))
+    return flat.unionByName(entries.select(F.lit(-1).cast("bigint").alias("doc_id"), F.lit(True).alias("cache_hit"), F.lit(-1).alias("pos"), "x"))
+
+
+def _counting_provider(model: str, limit: int) -> E.Embedder:
+    def embed(texts: Sequence[str]) -> E.Embedded:
+        if any(len(t) > limit for t in texts):
+            raise ValueError("text too long")
+        return E.Embedded([[float(len(t))] for t in texts], {"total_tokens": sum(len(t.encode()) for t in texts)})
+
+    return embed
+
+
+E.register_provider("counting", _counting_provider)
+
+
+@query(
+    "embed_accounting",
+    f"""SELECT count(*) AS total_chunks, count(*) FILTER (length(text) <= {REFUSED_CHARS}) AS embedded_chunks,
+       count(*) FILTER (length(text) > {REFUSED_CHARS}) AS failed_chunks,
+       sum(CASE WHEN length(text) <= {REFUSED_CHARS} THEN octet_length(encode(text)) ELSE 0 END)::BIGINT AS total_tokens,
+       round(count(*) FILTER (length(text) <= {REFUSED_CHARS}) / count(*) * 100, 6) AS success_rate,
+       true AS has_time, 50 AS largest_call, count(*) FILTER (length(text) <= {REFUSED_CHARS}) AS n_vectors
+FROM documents""",
+)
+def embed_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results table that embedding leaves: tokens as the provider reports them, calls within the model's largest batch."""
+    # Short texts come first, so the first calls of a partition are full ones.
+    docs = documents(spark, sf_dir).select("doc_id", "text").repartition(2, "doc_id").sortWithinPartitions(F.length("text"))
+    vectors, calls = E.embed_accounted(docs, "counting", "llamacpp/default", 1000, limit=REFUSED_CHARS)
+    totals = embedding_stats(calls).select("total_chunks", "embedded_chunks", "failed_chunks", "total_tokens", r("success_rate").alias("success_rate"), (F.col("total_processing_time") > 0).alias("has_time"))
+    largest = calls.agg(F.max("n_embedded").alias("largest_call"))
+    made = vectors.agg(F.count("embedding").alias("n_vectors"))
+    wide = totals.unionByName(largest, True).unionByName(made, True)
+    return wide.agg(*[F.max(c).alias(c) for c in wide.columns])
+
+
 @query(
     "plan_batches",
     f"""WITH b AS (

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from vecweave.catalogue.base import documents, query, spread, table
 from vecweave.operators.ledger import fingerprint
-from vecweave.plans.retrieval import process_incremental
-from vecweave.session import shared_dir
+from vecweave.plans.retrieval import claim, process_incremental
+from vecweave.session import shared_dir, stored
 from vecweave.sources import extract as X
+from vecweave.sources import files as FS
 from vecweave.sources import manifest as M
 
 EXTENSIONS = "element_at(array('txt', 'json', 'pptx', 'PDF', 'docx', 'bin'), int(doc_id % 6) + 1)"
@@ -276,6 +277,59 @@ def load_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_txt(files).select(page_of("source_path").alias("page_id"), F.md5("text").alias("digest"), "error")
 
 
+def _spoiled(name: str):
+    """After the listing, by page: gone, replaced by a folder, emptied, or as it was."""
+
+    def spoil(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, inside, _ = FS.opened(path)
+                if page % 5 == 1:
+                    system.delete_file(inside)
+                elif page % 5 == 2:
+                    system.delete_file(inside)
+                    system.create_dir(inside)
+                elif page % 5 == 3:
+                    system.open_output_stream(inside).close()
+            yield pa.RecordBatch.from_arrays([batch.column(1)], names=[name])
+
+    return spoil
+
+
+@query(
+    "read_states",
+    """SELECT page_id, CASE WHEN octet_length(encode(html)) + 1 > 3000 THEN 'oversized' WHEN page_id % 5 = 1 THEN 'missing'
+       WHEN page_id % 5 = 2 THEN 'unreadable' ELSE 'read' END AS state,
+       CASE WHEN octet_length(encode(html)) + 1 > 3000 OR page_id % 5 IN (1, 2) THEN NULL WHEN page_id % 5 = 3 THEN md5('') ELSE md5(html || chr(10)) END AS digest
+FROM pages""",
+)
+def read_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that vanish, turn into folders or are emptied between listing and reading, and files that are too large."""
+    listed = stored(FS.list_files(spark, page_files(spark, sf_dir), glob="*.txt"), "listed")
+    paged = listed.select("source_path", page_of("source_path").alias("page_id"))
+    paged.mapInArrow(_spoiled("page_id"), "page_id bigint").count()
+    made = FS.read_files(listed, max_size=3000)
+    return made.select(page_of("source_path").alias("page_id"), "state", F.md5("content").alias("digest"))
+
+
+@query(
+    "incremental_failures",
+    """SELECT page_id, CASE WHEN page_id % 5 IN (1, 2) THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN page_id % 5 = 1 THEN 'missing' WHEN page_id % 5 = 2 THEN 'unreadable' END AS reason FROM pages""",
+)
+def incremental_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after a run over files of which some were lost after they were claimed."""
+    path, now, work = page_files(spark, sf_dir), F.lit("2024-02-01").cast("timestamp"), shared_dir(spark, "extracted")
+    due, _ = claim(spark, path, None, work, now)
+    due.select("source_path", page_of("source_path").alias("page_id")).mapInArrow(_spoiled("page_id"), "page_id bigint").count()
+    run = process_incremental(spark, path, None, work, now, due=due)
+    ended = run.transitions.filter(F.col("status").isin("completed", "failed"))
+    pages = due.select("fingerprint", page_of("source_path").alias("page_id"))
+    return ended.join(pages, "fingerprint").select("page_id", "status", F.split("error_message", ":")[0].alias("reason"))
+
+
 @query(
     "process_incremental",
     """WITH c AS (SELECT page_id, unnest(range((length(html) + 1 + 511) // 512)) AS i FROM pages)

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from time import perf_counter
+from uuid import uuid4
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from vecweave.catalog import DEFAULT_MAX_INPUT_TOKENS, model_catalog
+from vecweave.catalog import DEFAULT_MAX_INPUT_TOKENS, MODELS, model_catalog
 from vecweave.functions.hashing import hash32, hashing_vector, mock_vector
 from vecweave.functions.text import estimated_tokens, word_count
 from vecweave.plans.skew import salted_join
+from vecweave.schemas import RESULT
+from vecweave.session import shared_dir, stored
 
-Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
+Embedder = Callable[[Sequence[str]], "Sequence[Sequence[float]] | Embedded"]
+# Fixed value: tokens are estimated from words.
+TOKENS_PER_WORD = 1.3
 ProviderFactory = Callable[..., Embedder]
 
 _providers: dict[str, ProviderFactory] = {}
@@ -105,6 +113,116 @@ def plan_batches(
     )
 
 
+@dataclass(frozen=True)
+class Embedded:
+    """What a provider may return in place of plain vectors: vectors in the order of the texts, and what they cost."""
+
+    vectors: Sequence[Sequence[float]]
+    token_usage: dict[str, int] | None = None
+
+
+class _Caller:
+    """Calls one provider for lists of texts; remembers each call that decides about a text."""
+
+    def __init__(self, embed: Embedder, size: int, on_error: str):
+        self.embed, self.size, self.on_error = embed, size, on_error
+        self.calls: list[tuple] = []
+
+    def __call__(self, texts: list[str | None]) -> list[tuple]:
+        """``vector, status, error, attempts`` of each text."""
+        rows: list[tuple] = [(None, "failed", "text is null", 0)] * len(texts)
+        present = [i for i, t in enumerate(texts) if t is not None]
+        for s in range(0, len(present), self.size):
+            part = present[s : s + self.size]
+            for i, got in zip(part, self._batch([texts[j] for j in part])):
+                rows[i] = got
+        return rows
+
+    def _batch(self, texts: list[str]) -> list[tuple]:
+        try:
+            return [(v, "completed", None, 1) for v in self._call(texts)]
+        except Exception:
+            if self.on_error == "raise":
+                raise
+        out = []
+        for t in texts:
+            started = perf_counter()
+            try:
+                out.append((self._call([t])[0], "completed", None, 2))
+            except Exception as e:  # the error belongs in the row
+                self.calls.append((False, 0, perf_counter() - started, None, str(e)))
+                out.append((None, "failed", str(e), 2))
+        return out
+
+    def _call(self, texts: list[str]) -> Sequence[Sequence[float]]:
+        started = perf_counter()
+        made = self.embed(texts)
+        vectors, usage = (made.vectors, made.token_usage) if isinstance(made, Embedded) else (made, None)
+        vectors = list(vectors)
+        if len(vectors) != len(texts):
+            raise ValueError(f"provider returned {len(vectors)} vectors for {len(texts)} texts")
+        if usage is None:
+            usage = {"total_tokens": int(sum(len(t.split()) for t in texts) * TOKENS_PER_WORD)}
+        self.calls.append((True, len(texts), perf_counter() - started, usage, None))
+        return vectors
+
+
+_ADDED = T.StructType(
+    [
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("embedding_model", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("attempts", T.IntegerType()),
+    ]
+)
+
+
+def _embedding_stage(df, provider, model, batch_size, text, concurrency, on_error, max_batch_size, options, accounted):
+    """Payload rows with what was made of them; with ``accounted`` also a row per provider call, told apart by ``_call``."""
+    if provider not in _providers:
+        raise ValueError(f"unknown provider {provider!r}; registered: {', '.join(provider_names())}")
+    if on_error not in ("mark", "raise"):
+        raise ValueError(f"unknown on_error {on_error!r}")
+    factory = _providers[provider]
+    # What the catalogue says about a model holds unless the caller knows better.
+    cap = max_batch_size or {m[0]: m[5] for m in MODELS}.get(model)
+    size = min(batch_size, cap) if cap else batch_size
+    if size < 1:
+        raise ValueError("batch_size must be at least 1")
+    payload = [f for f in df.schema.fields if f.name not in _ADDED.names]
+    source = df.repartition(concurrency) if concurrency else df
+    if text not in [f.name for f in payload]:
+        raise ValueError(f"no column {text}")
+    fields = payload + _ADDED.fields
+    call_type = T.StructType.fromDDL(RESULT)
+    call_names = call_type.names
+    if accounted:
+        fields = [T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField("_call", call_type)]
+    arrow = to_arrow_schema(T.StructType(fields))
+    names = [f.name for f in payload]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller = _Caller(factory(model, **options), size, on_error)
+        for batch in batches:
+            found = caller(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            vectors, statuses, errors, attempts = zip(*found) if found else ((), (), (), ())
+            models = [model if s == "completed" else None for s in statuses]
+            made = [pa.array(c, f.type) for c, f in zip((vectors, models, statuses, errors, attempts), list(arrow)[len(names) :])]
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in names] + made
+            if not accounted:
+                yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+                continue
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, arrow.field("_call").type)], names=arrow.names)
+            if caller.calls:
+                rows = [dict(zip(call_names, (uuid4().hex, *c))) for c in caller.calls]
+                calls = pa.array([r | {"token_usage": list((r["token_usage"] or {}).items())} for r in rows], arrow.field("_call").type)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), f.type) for f in list(arrow)[:-1]] + [calls], names=arrow.names)
+                caller.calls.clear()
+
+    return source.mapInArrow(run, T.StructType(fields))
+
+
 def embed_with(
     df: DataFrame,
     provider: str,
@@ -118,74 +236,37 @@ def embed_with(
 ) -> DataFrame:
     """Call a registered provider batch by batch inside the tasks.
 
-    Each partition builds one client. Rows keep their order. A batch that fails is
-    retried text by text; a text that still fails keeps a null vector, status
-    ``failed`` and the error. With ``on_error="raise"`` the failure ends the task
-    instead and Spark's task retry applies.
+    Each partition builds one client. Rows keep their order; other columns pass as Arrow arrays
+    and only texts become Python values. A batch holds no more texts than the catalogue
+    allows the model. A batch that fails is retried text by text; a text that still fails keeps a
+    null vector, status ``failed`` and the error. With ``on_error="raise"`` the failure ends
+    the task instead and Spark's task retry applies.
     """
-    if provider not in _providers:
-        raise ValueError(f"unknown provider {provider!r}; registered: {', '.join(provider_names())}")
-    if on_error not in ("mark", "raise"):
-        raise ValueError(f"unknown on_error {on_error!r}")
-    factory = _providers[provider]
-    size = min(batch_size, max_batch_size) if max_batch_size else batch_size
-    source = df.repartition(concurrency) if concurrency else df
-    added = T.StructType(
-        [
-            T.StructField("embedding", T.ArrayType(T.FloatType())),
-            T.StructField("embedding_model", T.StringType()),
-            T.StructField("status", T.StringType()),
-            T.StructField("error", T.StringType()),
-            T.StructField("attempts", T.IntegerType()),
-        ]
-    )
-    names = set(added.names)
-    schema = T.StructType([f for f in df.schema.fields if f.name not in names] + added.fields)
+    return _embedding_stage(df, provider, model, batch_size, text, concurrency, on_error, max_batch_size, options, False)
 
-    def checked(embed: Embedder, texts: list[str]) -> list[list[float]]:
-        vectors = list(embed(texts))
-        if len(vectors) != len(texts):
-            raise ValueError(f"provider returned {len(vectors)} vectors for {len(texts)} texts")
-        return vectors
 
-    def one_by_one(embed: Embedder, texts: list[str]) -> list[tuple]:
-        out = []
-        for t in texts:
-            try:
-                out.append((checked(embed, [t])[0], "completed", None, 2))
-            except Exception as e:  # the error belongs in the row
-                out.append((None, "failed", str(e), 2))
-        return out
+def embed_accounted(
+    df: DataFrame,
+    provider: str,
+    model: str,
+    batch_size: int = 100,
+    text: str = "text",
+    concurrency: int | None = None,
+    on_error: str = "mark",
+    max_batch_size: int | None = None,
+    **options: object,
+) -> tuple[DataFrame, DataFrame]:
+    """``embed_with``, and a results table (``schemas.RESULT``) with one row per provider call.
 
-    def batch(embed: Embedder, texts: list[str]) -> list[tuple]:
-        try:
-            return [(v, "completed", None, 1) for v in checked(embed, texts)]
-        except Exception:
-            if on_error == "raise":
-                raise
-            return one_by_one(embed, texts)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embed = factory(model, **options)
-        for frame in frames:
-            texts = frame[text]
-            present = [i for i, t in enumerate(texts) if t is not None]
-            rows: list[tuple] = [(None, "failed", "text is null", 0)] * len(frame)
-            for s in range(0, len(present), size):
-                part = present[s : s + size]
-                for i, got in zip(part, batch(embed, [texts.iloc[j] for j in part])):
-                    rows[i] = got
-            out = frame.drop(columns=[c for c in frame.columns if c in names])
-            vectors, statuses, errors, attempts = zip(*rows) if rows else ((), (), (), ())
-            yield out.assign(
-                embedding=pd.Series(list(vectors), index=out.index, dtype=object),
-                embedding_model=[model if s == "completed" else None for s in statuses],
-                status=list(statuses),
-                error=pd.Series(list(errors), index=out.index, dtype=object),
-                attempts=list(attempts),
-            )
-
-    return source.mapInPandas(run, schema)
+    Both come from one pass, written to the shared folder by kind, so reading either asks the provider
+    nothing again. Token usage is what the provider reports (``Embedded``), else estimated from words. A
+    batch that failed is in the table as the calls for its single texts.
+    """
+    rows = _embedding_stage(df, provider, model, batch_size, text, concurrency, on_error, max_batch_size, options, True)
+    path = shared_dir(df.sparkSession, "embedded")
+    rows.withColumn("_kind", F.when(F.col("_call").isNull(), "text").otherwise("call")).write.partitionBy("_kind").parquet(path)
+    both = df.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField("_kind", T.StringType())])).parquet(path)
+    return both.filter("_kind = 'text'").drop("_kind", "_call"), both.filter("_kind = 'call'").select("_call.*")
 
 
 def failed_rows(embedded: DataFrame) -> DataFrame:
@@ -203,17 +284,25 @@ def embed_cached(
 
     ``cache`` has ``text_key, embedding``; ``embed`` maps a frame with ``text_key`` and
     the text column to one with ``embedding``. Distinct texts are found with partial
-    aggregation; a text repeated very often is salted when its vector is joined back.
+    aggregation and looked up in one join, in which texts do not travel; only those that are
+    not cached are embedded, and their vectors are written to the shared folder before anything
+    else reads them. So a provider is asked once per distinct text, whatever is done with the
+    result or with ``cache_entries``. A text repeated very often is salted when its vector is joined back.
     """
     keyed = df.withColumn("text_key", F.md5(text))
-    distinct = keyed.groupBy("text_key").agg(F.any_value(text).alias(text))
+    keys = keyed.select("text_key").filter(F.col("text_key").isNotNull()).distinct()
     if cache is None:
         known = None
-        missing = distinct
+        texts = keyed.filter(F.col("text_key").isNotNull())
     else:
-        known = cache.select("text_key", "embedding").dropDuplicates(["text_key"])
-        missing = distinct.join(known, "text_key", "left_anti")
-    made = embed(missing).select("text_key", "embedding").withColumn("cache_hit", F.lit(False))
+        held = cache.filter(F.size("embedding") > 0).groupBy("text_key").agg(F.any_value("embedding").alias("embedding"))
+        looked = stored(keys.join(held, "text_key", "left"), "cache-lookup")
+        known = looked.filter(F.col("embedding").isNotNull())
+        missing = looked.filter(F.col("embedding").isNull()).select("text_key")
+        texts = keyed.join(missing, "text_key", "left_semi")
+    # The key is made of the text, so any row of a key has it.
+    texts = texts.groupBy("text_key").agg(F.any_value(text).alias(text))
+    made = stored(embed(texts).select("text_key", "embedding"), "fresh-vectors").withColumn("cache_hit", F.lit(False))
     vectors = made if known is None else made.unionByName(known.withColumn("cache_hit", F.lit(True)))
     return salted_join(keyed, vectors, "text_key", F.col(id_column))
 

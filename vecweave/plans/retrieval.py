@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +13,9 @@ from vecweave.operators.ledger import claim_transitions, fingerprint, ledger_sta
 from vecweave.operators.prompts import QUESTION_PROMPT, assemble_context
 from vecweave.operators.search import fetch, search
 from vecweave.sources.extract import Parser, extract
-from vecweave.sources.manifest import MAX_FILE_SIZE, extension, filter_manifest, load_content, scan_manifest, type_glob, unreadable
+from vecweave.sources.files import MISSING, READ, read_files
+from vecweave.sources.manifest import MAX_FILE_SIZE, extension, filter_manifest, load_content, scan_manifest
 
-# Names of files to read that are listed at once.
-FILES_PER_GROUP = 20_000
-UNREADABLE = "the file could not be read"
 
 
 def answer_prompts(
@@ -35,6 +32,20 @@ def answer_prompts(
     return assemble_context(hits, questions, template=template)
 
 
+def read_with_spark(root: str) -> Callable[[DataFrame, int], DataFrame]:
+    """A reader of the files under ``root`` through Spark's own file source: any Hadoop path, one scan of the whole
+    folder, and no reason for a file that gives no bytes."""
+
+    def read(manifest: DataFrame, max_size: int) -> DataFrame:
+        spark = manifest.sparkSession
+        spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+        files = load_content(spark, root, wanted=manifest, max_size=max_size).select("source_path", "content")
+        state = F.when(F.col("content").isNull(), MISSING).otherwise(READ)
+        return manifest.join(files, "source_path", "left").withColumn("state", state).withColumn("read_error", F.when(F.col("content").isNull(), "the file gave no bytes"))
+
+    return read
+
+
 @dataclass
 class Processed:
     """What one incremental run makes: chunks, and ledger transitions to append."""
@@ -74,34 +85,16 @@ def claim(
     return due, claim_transitions(due, instance, now, F.col("seq"))
 
 
-def _extract_due(spark, path, due, work_dir, types, max_size, parsers) -> DataFrame:
-    """The due files' texts and errors, in one folder that a run again replaces.
-
-    Where most files are due they are read in one scan, which type and size filters reach.
-    Otherwise the due ones are read by name, in groups whose names are few enough to list.
-    """
-    n_all = filter_manifest(scan_manifest(spark, path), types=types, max_size=max_size).count()
-    n_due = due.count()
-    parts = []
-    if n_due and 2 * n_due >= n_all:
-        parts.append(load_content(spark, path, glob=type_glob(types), wanted=due, max_size=max_size))
-    elif n_due:
-        groups = ceil(n_due / FILES_PER_GROUP)
-        group = F.pmod(F.xxhash64("source_path"), F.lit(groups))
-        for g in range(groups):
-            names = [r["source_path"] for r in due.filter(group == g).select("source_path").collect()]
-            if names:
-                parts.append(load_content(spark, names, max_size=max_size))
-    keys = due.select("source_path", "fingerprint", "seq")
-    written = []
-    for i, files in enumerate(parts):
-        folder = f"{work_dir}/texts/part={i}"
-        extract(files, parsers).select("source_path", "name", "size", "text", "error").write.mode("overwrite").parquet(folder)
-        written.append(folder)
-    schema = "source_path string, name string, size bigint, text string, error string"
-    texts = spark.read.parquet(*written) if written else spark.createDataFrame([], schema)
-    lost = unreadable(due, texts).select("source_path", "name", "size", F.lit(None).cast("string").alias("text"), F.lit(UNREADABLE).alias("error"))
-    return texts.unionByName(lost).join(keys, "source_path")
+def _extract_due(due, work_dir, max_size, parsers, reader) -> DataFrame:
+    """The due files' texts and errors, in one folder that a run again replaces. No other file is opened."""
+    files = reader(due.select("source_path", "name", "size"), max_size)
+    folder = f"{work_dir}/texts"
+    made = extract(files, parsers)
+    unread = F.col("state") != READ
+    text, error = F.when(~unread, F.col("text")), F.when(unread, F.concat_ws(": ", "state", "read_error")).otherwise(F.col("error"))
+    made.select("source_path", "name", "size", text.alias("text"), error.alias("error")).write.mode("overwrite").parquet(folder)
+    texts = due.sparkSession.read.parquet(folder)
+    return texts.join(due.select("source_path", "fingerprint", "seq"), "source_path")
 
 
 def process_incremental(
@@ -117,18 +110,20 @@ def process_incremental(
     parsers: dict[str, Parser] | None = None,
     max_size: int = MAX_FILE_SIZE,
     due: DataFrame | None = None,
+    reader: Callable[[DataFrame, int], DataFrame] = read_files,
 ) -> Processed:
     """Extract and chunk the files the ledger says are pending.
 
-    A file that cannot be read or parsed is recorded as failed and the others go on; bytes of
-    files of other types or above ``max_size`` are never read. ``due`` is the list of an earlier
+    A file that is gone, cannot be read, has grown beyond ``max_size`` or cannot be parsed is
+    recorded as failed with its reason and the others go on; only due files are opened. ``reader``
+    gives their bytes (``read_with_spark`` for paths that only Spark opens). ``due`` is the list of an earlier
     ``claim``; without it the run claims for itself. The extracted text is written once to
     ``work_dir`` (a folder of this run that all executors see), and both results read it, so no
     file is parsed twice and a lost executor costs a re-read. The same call again replaces it.
     """
     if due is None:
         due, _ = claim(spark, path, transitions, work_dir, now, instance, types, max_size)
-    extracted = _extract_due(spark, path, due, work_dir, types, max_size, parsers)
+    extracted = _extract_due(due, work_dir, max_size, parsers, reader)
     good = extracted.filter(F.col("error").isNull()).select(
         F.col("source_path").alias("source"), "text", "size", extension(F.col("name")).alias("doc_type")
     )
