@@ -103,8 +103,30 @@ def test_ingest_picks_up_new_files_and_repeats_nothing(spark, tmp_path):
 @pytest.mark.parametrize("mode", ["complete", "update"])
 def test_running_stats(spark, tmp_path, mode):
     rows = [(str(i), i % 4 != 0, i % 3, i / 8, {"total_tokens": i}, None) for i in range(40)]
-    spark.createDataFrame(rows, RESULT).coalesce(1).write.parquet(f"{tmp_path}/r")
-    stream = spark.readStream.schema(RESULT).parquet(f"{tmp_path}/r")
-    got = run_to_end(stream_stats(stream), mode)
-    want = embedding_stats(spark.read.schema(RESULT).parquet(f"{tmp_path}/r")).first()
-    assert got.select(*want.asDict()).first() == want
+    spark.createDataFrame(rows, RESULT).repartition(4, "job_id").write.parquet(f"{tmp_path}/r")
+    stream = spark.readStream.schema(RESULT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/r")
+    got = run_to_end(stream_stats(stream, ["success"]), mode, ["success"] if mode == "update" else None).collect()
+    want = embedding_stats(spark.read.schema(RESULT).parquet(f"{tmp_path}/r"), by=["success"]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 2
+    with pytest.raises(ValueError):
+        run_to_end(stream_stats(stream), "update")
+    with pytest.raises(ValueError):
+        run_to_end(stream_stats(stream), "append", ["success"])
+
+
+def test_late_rows_are_dropped_and_closed_windows_come_once(spark, tmp_path):
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    files = [[("a", at(1)), ("a", at(2)), ("b", at(65))], [("b", at(66))], [("a", at(3)), ("b", at(67)), ("b", at(200))]]
+    for part in files:
+        df = spark.createDataFrame(part, "key string, ts string").select("key", F.to_timestamp("ts").alias("ts"), F.lit(1).alias("tokens"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    done = stream_usage(stream, "10 minutes", lateness="10 minutes")
+    query = done.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r["key"], r["start"].strftime("%H:%M"), r["requests"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", "00:00", 2), ("b", "01:00", 3)]
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) == 1
+    # What is kept at the end is the open window alone.
+    assert states[-1]["numRowsTotal"] == 1

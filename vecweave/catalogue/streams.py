@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.catalogue.base import SQL_REQUEST_LOG, query, table
+from vecweave.catalogue.base import SQL_REQUEST_LOG, query, spread, table
 from vecweave.catalogue.files import page_files, page_of
 from vecweave.catalogue.jobs import SQL_STATS, shown_stats
 from vecweave.operators.embedding import embed_mock
+from vecweave.operators.ledger import fingerprint
 from vecweave.operators.store import VectorStore
 from vecweave.session import shared_dir
+from vecweave.sources.files import list_files, stream_listing
 from vecweave.streaming.ingest import stream_documents, stream_manifest
 from vecweave.streaming.stats import run_to_end, stream_stats
 from vecweave.streaming.usage import stream_usage
@@ -94,3 +96,102 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.length("content")).alias("n_chars"),
         F.max(F.size("embedding")).alias("dims"),
     )
+
+
+# Three files in the order of their arrival: every tenth request comes only in the last, however old it is. Spark drops
+# rows by the watermark of the micro-batch before, which the first file sets; windows close up to the watermark of all files.
+SQL_CLOSED = f"""{SQL_REQUEST_LOG},
+mark AS (
+  SELECT max(us) FILTER (request_id % 10 > 1) // 1000 * 1000 - 3600000000 AS dropped, max(us) // 1000 * 1000 - 3600000000 AS closed FROM log),
+kept AS (SELECT * FROM log, mark)"""
+
+
+def late_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "late-log")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 10).cast("bigint").alias("tokens")
+    )
+    tenth = F.col("request_id") % 10
+    for part in (rows.filter(tenth > 1), rows.filter(tenth == 1), rows.filter(tenth == 0)):
+        # One file each, so that one micro-batch has all of it.
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+@query(
+    "stream_closed_windows",
+    f"""WITH {SQL_CLOSED}
+SELECT key, us // 3600000000 * 3600 AS start_s, count(*) AS requests, sum(tokens)::BIGINT AS tokens
+FROM kept WHERE (us // 3600000000 + 1) * 3600000000 <= closed AND (request_id % 10 > 0 OR (us // 3600000000 + 1) * 3600000000 > dropped) GROUP BY 1, 2""",
+)
+def stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: windows that the watermark has closed, once each; what comes after that is not counted."""
+    done = run_to_end(stream_usage(late_log(spark, sf_dir), "1 hour", lateness="1 hour"))
+    return done.select("key", F.unix_seconds("start").alias("start_s"), "requests", "tokens")
+
+
+@query(
+    "stream_closed_sliding",
+    f"""WITH {SQL_CLOSED},
+s AS (SELECT *, (us // 1800000000 - o) * 1800 AS start_s FROM kept, (SELECT unnest([0, 1]) AS o) x)
+SELECT key, start_s, count(*) AS requests, sum(tokens)::BIGINT AS tokens
+FROM s WHERE (start_s + 3600) * 1000000 <= closed AND (request_id % 10 > 0 OR (start_s + 3600) * 1000000 > dropped) GROUP BY 1, 2""",
+)
+def stream_closed_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = run_to_end(stream_usage(late_log(spark, sf_dir), "1 hour", "30 minutes", "1 hour"))
+    return done.select("key", F.unix_seconds("start").alias("start_s"), "requests", "tokens")
+
+
+@query("stream_stats_update", SQL_STATS.format(keys="event_type,", group="GROUP BY event_type"))
+def stats_of_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode over several micro-batches: the last row of each key."""
+    ok = F.col("event_type") != "error"
+    path = shared_dir(spark, "result-files")
+    table(spark, sf_dir, "events").repartition(3, "event_id").write.parquet(path)
+    results = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", "1").parquet(path).select(
+        "event_type",
+        ok.alias("success"),
+        F.when(ok, (F.col("event_id") % 5).cast("int")).otherwise(0).alias("n_embedded"),
+        F.col("value").alias("processing_time"),
+        F.when(F.col("event_id") % 7 != 0, F.create_map(F.lit("total_tokens"), F.get_json_object("props", "$.k").cast("bigint"))).alias("token_usage"),
+    )
+    return shown_stats(run_to_end(stream_stats(results, ["event_type"]), "update", ["event_type"]))
+
+
+@query(
+    "stream_arrivals",
+    "SELECT page_id, octet_length(encode(html)) + 1 AS size, (page_id % 3 = 0)::INT + 1 AS arrival, 1::BIGINT AS times, true AS same_fingerprint FROM pages",
+)
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in two parts, streamed by a source that remembers one offset: each file once, in its own run."""
+    path, state, out = (shared_dir(spark, n) for n in ("arrivals", "arrivals-state", "arrivals-seen"))
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", "html")
+    for run, part in enumerate((pages.filter("page_id % 3 <> 0"), pages.filter("page_id % 3 = 0")), 1):
+        part.write.mode("append").partitionBy("page_id").text(path)
+        seen = stream_listing(spark, path, "*.txt", settle=0.0).withColumn("arrival", F.lit(run))
+        query = seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+    mark = lambda df: df.withColumn("fingerprint", fingerprint(F.col("source_path"), F.col("last_modified"), F.col("size")))
+    listed = mark(list_files(spark, path, "*.txt")).select("source_path", F.col("fingerprint").alias("listed"))
+    each = mark(spark.read.parquet(out)).groupBy("source_path").agg(F.max("size").alias("size"), F.max("arrival").alias("arrival"), F.count("*").alias("times"), F.max("fingerprint").alias("seen"))
+    return each.join(listed, "source_path", "full").select(
+        page_of("source_path").alias("page_id"), "size", "arrival", "times", (F.col("seen") == F.col("listed")).alias("same_fingerprint")
+    )
+
+
+@query(
+    "stream_ingest_replace",
+    """WITH c AS (SELECT DISTINCT source, i, substr(text, i * 512 + 1, 512) AS content
+  FROM (SELECT source, text, unnest(range((length(text) + 511) // 512)) AS i FROM documents) d)
+SELECT source, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars, 4 AS dims FROM c GROUP BY 1""",
+)
+def stream_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents streamed again for another model: its vectors replace those of the first."""
+    store = VectorStore(spark, shared_dir(spark, "stream-store"))
+    docs = stream_table(spark, sf_dir, "documents").select("source", "text")
+    for dim in (8, 4):
+        embed = lambda c, dim=dim: embed_mock(c, dim, text="content")
+        stream_documents(docs, store, embed, shared_dir(spark, "stream-state"), replace=True).awaitTermination()
+    return store.read().groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"), F.max(F.size("embedding")).alias("dims")
+    )

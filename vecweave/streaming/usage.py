@@ -11,7 +11,9 @@ def stream_usage(
 ) -> DataFrame:
     """Requests and tokens per caller and tumbling or sliding window.
 
-    Rows later than the watermark are dropped. Counts are aggregated in part before the
+    A window is final once the watermark (the latest time seen less ``lateness``) has passed its
+    end. In append mode it is given out then and its state is dropped, so what a stream holds is
+    the open windows; rows that come later still are dropped. Counts are aggregated in part before the
     shuffle, so a busy caller costs one row per window and task.
     """
     timed = log.withColumn("ts", F.col("ts").cast("timestamp"))
