@@ -77,3 +77,20 @@ def test_large_sample_is_the_same(spark):
     for n in (1, 700, 5000):
         plain = {r[0] for r in P.sample_exact(df, n).collect()}
         assert {r[0] for r in P.sample_exact(df, n, small=0).collect()} == plain and len(plain) == n
+
+
+def test_sparse_ids_are_cut_into_equal_blocks(spark, tmp_path):
+    rnd = random.Random(8)
+    ids = sorted(rnd.sample(range(10**15), 300)) + [10**15 + i for i in range(200)]
+    sizes = [rnd.choice([3, 20, 60]) for _ in ids]
+    rows = [("one" if i % 5 else "two", n, "x" * size) for i, (n, size) in enumerate(zip(ids, sizes))]
+    df = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(6)
+    lines = P._line_bytes(df, "source", "doc_id", "text").withColumn("b", P._equal_blocks(df, "doc_id", 50))
+    per_block = [r["n"] for r in lines.groupBy("b").count().withColumnRenamed("count", "n").collect()]
+    assert len(per_block) == 10 and max(per_block) <= 60
+    assert got(df, max_bytes=200, max_rows=1, block_rows=50) == got(df, max_bytes=200)
+    P.write_parts(P.split_by_bytes(df, 200, max_rows=1, block_rows=50), f"{tmp_path}/parts")
+    files = spark.read.text(f"{tmp_path}/parts", wholetext=True).collect()
+    assert all(len(r["value"]) <= 200 for r in files) and len(files) == sum(max(p) for p in got(df, max_bytes=200).values())
+    text = "".join(r["value"] for r in sorted(files, key=lambda r: r["part"]) if r["source"] == "two")
+    assert text == "".join(t + "\n" for s, _, t in rows if s == "two")

@@ -9,6 +9,7 @@ from vecweave.catalog import QUOTA_PRESETS
 from vecweave.catalogue.base import SQL_REQUEST_LOG, documents, query, r, request_log, table
 from vecweave.operators import ledger as L
 from vecweave.operators import sampling, stats, usage
+from vecweave.session import shared_dir
 
 # --- statistics: each event is one result; errors are failures.
 
@@ -361,6 +362,20 @@ def split_by_bytes_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split_by_bytes(docs, MAX_BYTES, max_rows=1).select("source", "doc_id", "part")
 
 
+@query(
+    "split_parts_written",
+    SQL_SPLIT.replace("SELECT source, doc_id, part::BIGINT AS part FROM p", "") + """SELECT source, part::INT AS part, sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest
+FROM p JOIN documents USING (source, doc_id) GROUP BY 1, 2""",
+)
+def split_parts_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as files, read back whole; ids are made sparse and far apart on the way."""
+    docs = documents(spark, sf_dir).select("source", (F.col("doc_id") * F.col("doc_id") * 1_000_003).alias("doc_id"), "text")
+    path = shared_dir(spark, "parts")
+    sampling.write_parts(sampling.split_by_bytes(docs, MAX_BYTES, max_rows=1, block_rows=20), path)
+    files = spark.read.text(path, wholetext=True)
+    return files.select("source", "part", F.octet_length("value").cast("bigint").alias("n_bytes"), F.md5("value").alias("digest"))
+
+
 @query("sample_exact", "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 100")
 def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")

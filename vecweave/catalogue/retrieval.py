@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from vecweave.catalogue.base import DIM, documents, query, r, sql_hash_vectors, table
 from vecweave.catalogue.chunks import SIZE, SQL_FIXED
+from vecweave.operators.buckets import BucketedVectors
 from vecweave.operators.chunking import chunk_fixed
 from vecweave.operators.embedding import embed_hashing
 from vecweave.operators.prompts import history_window, render_prompt
 from vecweave.operators.search import expanded_context, hybrid_search, search
-from vecweave.plans.retrieval import answer_prompts
+from vecweave.plans.retrieval import answer_prompts, process_incremental
+from vecweave.session import shared_dir
 
 # Fixed values of the example queries.
 KEYWORDS = ["the", "une", "der"]
@@ -161,3 +163,32 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     done = render_prompt(chunks, TEMPLATE, {"domain": "legal"})
     return done.select("doc_id", "chunk_index", F.md5("prompt").alias("prompt"))
+
+
+@query(
+    "files_to_context",
+    f"""WITH f AS (SELECT doc_id, text || chr(10) AS t FROM documents),
+c AS (SELECT doc_id, i, substr(t, i * 2000 + 1, 2000) AS content FROM (SELECT doc_id, t, unnest(range((length(t) + 1999) // 2000)) AS i FROM f)),
+keyed AS (SELECT doc_id * 100000 + i AS id, content AS text FROM c),
+{sql_hash_vectors('q', '(SELECT item_id AS id, text FROM benchmark)')},
+{sql_hash_vectors('d', 'keyed')},
+ranked AS (
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT q.id AS query_id, d.id, list_inner_product(q.v, d.v) / (q.n * d.n) AS score FROM q, d) x),
+best AS (
+  SELECT r.query_id, string_agg(k.text, chr(10) || chr(10) ORDER BY r.rank) AS context FROM ranked r JOIN keyed k USING (id) WHERE r.rank <= 5 GROUP BY 1)
+SELECT b.item_id AS query_id, length(coalesce(context, ''))::INT AS context_chars,
+       md5('Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || 'Answer:') AS prompt
+FROM benchmark b LEFT JOIN best ON best.query_id = b.item_id""",
+)
+def files_to_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to prompts: list, read, extract and chunk what the ledger says is due, embed, store by bucket, search, assemble."""
+    path, now = shared_dir(spark, "text-files"), F.lit("2024-02-01").cast("timestamp")
+    documents(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    run = process_incremental(spark, path, None, shared_dir(spark, "extracted"), now, size=2000)
+    doc = F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint")
+    chunks = run.chunks.withColumn("id", F.format_string("%020d", doc * 100000 + F.col("chunk_index")))
+    store = BucketedVectors(spark, shared_dir(spark, "vectors"), 16)
+    store.upsert(embed_hashing(chunks, DIM, text="content"))
+    made = answer_prompts(questions(spark, sf_dir), store.read(), lambda d: embed_hashing(d, DIM), k=5)
+    return made.select("query_id", F.length("context").alias("context_chars"), F.md5("prompt").alias("prompt"))

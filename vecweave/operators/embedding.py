@@ -25,6 +25,9 @@ Embedder = Callable[[Sequence[str]], "Sequence[Sequence[float]] | Embedded"]
 TOKENS_PER_WORD = 1.3
 ProviderFactory = Callable[..., Embedder]
 
+# Rows that one task numbers.
+ROWS_PER_BUCKET = 250_000
+
 _providers: dict[str, ProviderFactory] = {}
 
 
@@ -71,13 +74,13 @@ def number_batches(
     """Give each row a ``batch_id`` and its place in the batch.
 
     Rows are numbered inside hash buckets of their id, so no task numbers the whole
-    table; only the last batch of a bucket may be short. ``max_batch_size`` is the
-    provider's own limit.
+    table; only the last batch of a bucket may be short. Buckets hold about ``ROWS_PER_BUCKET`` rows, so
+    batch ids depend on the rows and not on the cluster. ``max_batch_size`` is the provider's own limit.
     """
     size = min(batch_size, max_batch_size) if max_batch_size else batch_size
     if size < 1:
         raise ValueError("batch_size must be at least 1")
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(1, -(-df.count() // ROWS_PER_BUCKET))
     key = F.col(id_column).cast("string")
     in_bucket = Window.partitionBy("_bucket").orderBy(id_column)
     return (

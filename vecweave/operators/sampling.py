@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecweave.functions.binding import once
 from vecweave.plans.blocks import BLOCK, MAX_KEY_ROWS, carry_in, in_block, large_keys, null_safe_join
 
 DEFAULT_MAX_BYTES = 199_000_000
@@ -20,12 +22,30 @@ def _line_bytes(df: DataFrame, key: str, order: str, line: str) -> DataFrame:
     return df.select(key, order, (F.octet_length(line) + 1).cast("bigint").alias("_bytes"))
 
 
+def _equal_blocks(lines: DataFrame, order: str, block_rows: int) -> Column:
+    """The number of the block of each line. The cuts come from a quantile sketch: as many as there are blocks."""
+    n = lines.count()
+    blocks = max(1, -(-n // block_rows))
+    if blocks == 1:
+        return F.lit(0).cast("bigint")
+    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    accuracy = max(10_000, 10 * blocks)
+    cuts = np.unique(np.array(lines.agg(F.percentile_approx(order, shares, accuracy).alias("c")).first()["c"]))
+
+    @F.arrow_udf("bigint")
+    def block(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, values.to_numpy(zero_copy_only=False), "right").astype(np.int64))
+
+    return once(block)(order)
+
+
 def byte_offsets(lines: DataFrame, key: str, order: str, block_rows: int) -> DataFrame:
     """``key, order, _start, _end``: the bytes each line takes in its key's file.
 
-    ``order`` is a whole number; ranges of it are the blocks of the running sum.
+    The blocks of the running sum are ranges of ``order`` with about ``block_rows`` lines each, cut
+    at quantiles, so it does not matter how its values are spread.
     """
-    rows = lines.withColumn(BLOCK, F.floor(F.col(order) / block_rows))
+    rows = lines.withColumn(BLOCK, _equal_blocks(lines, order, block_rows))
     here = in_block([key]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = carry_in(
         rows.withColumn("_sum", F.sum("_bytes").over(here)),
@@ -79,6 +99,12 @@ def split_by_bytes(
     return null_safe_join(df, numbered, [key, order], "inner")
 
 
+def write_parts(parted: DataFrame, path: str, key: str = "source", order: str = "doc_id", line: str = "text") -> None:
+    """One text file per key and part under ``path``, its lines in order. A part is bounded in bytes, so one task writes it."""
+    dealt = parted.select(key, "part", order, F.coalesce(F.col(line), F.lit("")).alias("value")).repartition(key, "part")
+    dealt.sortWithinPartitions(key, "part", order).drop(order).write.partitionBy(key, "part").text(path)
+
+
 def _part_numbers(start: np.ndarray, end: np.ndarray, max_bytes: int, first: int, parts: int) -> np.ndarray:
     """Part of each line, when ``first`` is the first line that starts one and ``parts`` came before."""
     following = _next_starts(start, end, max_bytes)
