@@ -265,6 +265,72 @@ def test_short_formats_stay_distinct(spark):
     assert moved and len(set(out.values())) == 100 and not set(out.values()) & set(out)
 
 
+def test_permutations_are_bijections():
+    for sizes in ([10], [10, 10], [2, 3, 5], [1, 7, 1], [26, 10, 10], [9, 10, 10, 1, 4]):
+        every = [list(d) for d in np.ndindex(*sizes)]
+        out = {tuple(pii.permuted(KEY, "t", d, sizes)) for d in every}
+        assert len(out) == len(every) and all(0 <= x < n for d in out for x, n in zip(d, sizes))
+    assert pii.permuted(KEY, "t", [1, 2, 3], [10] * 3) != pii.permuted(KEY, "u", [1, 2, 3], [10] * 3)
+    for kind, width in (("phone", 4), ("ssn", 3), ("secret", 2)):
+        values = [f"{i:0{width}d}" for i in range(10**width)]
+        assert len({pii.surrogate(KEY, kind, v) for v in values}) == len(values)
+
+
+def test_check_digits_stay_right_and_wrong_ones_wrong():
+    rng = random.Random(3)
+    for _ in range(50):
+        body = str(rng.choice([3, 4, 5])) + "".join(rng.choice("0123456789") for _ in range(14))
+        right = body + pii._check_digit(body)
+        wrong = body + str((int(right[-1]) + 1) % 10)
+        a, b = pii.surrogate(KEY, "card", right), pii.surrogate(KEY, "card", wrong)
+        assert pii._luhn(a) and not pii._luhn(b) and a[0] == right[0] and a != right
+    iban = "DE89370400440532013000"
+    out = pii.surrogate(KEY, "iban", iban)
+    number = int("".join(str(int(c, 36)) for c in out[4:] + out[:4]))
+    assert number % 97 == 1 and out[:2] == "DE" and out != iban and len(out) == len(iban)
+    assert pii.surrogate(KEY, "iban", "DE00370400440532013000")[4:] != iban[4:]
+
+
+def test_a_full_format_ends_and_stays_distinct(spark):
+    # Every four-digit value occurs: no surrogate could be one that does not.
+    values = spark.createDataFrame([("ssn", f"{i:04d}") for i in range(10_000)] + [("email", "a@b.org"), ("name_s", "smith")], "kind string, canon string")
+    moved = {(r.kind, r.canon): r.attempt for r in pii.resolve_collisions(values, KEY).collect()}
+    out = {pii.surrogate(KEY, "ssn", f"{i:04d}", moved.get(("ssn", f"{i:04d}"), 0)) for i in range(10_000)}
+    assert len(out) == 10_000 and not [k for k in moved if k[0] == "ssn"]
+
+
+def test_more_forms_are_found_whole():
+    forms = {"3782 822463 10005": "card", "ghp_" + "a1B2" * 9: "key", "sk_live_" + "a1" * 12: "key", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK": "key"}
+    for value, kind in forms.items():
+        assert [(e[0], e[1], e[2]) for e in pii.find_entities(f"see {value} here")] == [(4, 4 + len(value), kind)]
+        out, _ = pii.rewrite(f"see {value} here", KEY, {})
+        assert value not in out and len(out) == len(value) + 9 and out.split()[1][:3] == value.split()[0][:3] if kind == "key" else True
+
+
+def test_surrogates_of_given_documents_are_distinct_and_consistent(spark):
+    """Over all documents: a value has one surrogate wherever it is, no two values share one, and no surrogate is a value that occurs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    after = {r.doc_id: r.text or "" for r in pii.replace_pii(docs, KEY).select("doc_id", "text").collect()}
+    made, kinds = {}, Counter()
+    for i, text in before.items():
+        at = shift = 0
+        for start, end, kind, canon in pii.find_entities(text):
+            # What lies between entities is untouched, so it tells where the next one begins.
+            assert after[i][at + shift : start + shift] == text[at:start]
+            nxt = next((e[0] for e in pii.find_entities(text) if e[0] >= end), len(text))
+            between = text[end:nxt]
+            stop = after[i].index(between, start + shift) if between else len(after[i])
+            made.setdefault((kind, canon), set()).add(re.sub(r"[\W_]", "", after[i][start + shift : stop]).casefold())
+            kinds[kind] += 1
+            at, shift = end, stop - end
+    assert len(made) > 50 and all(len(s) == 1 for s in made.values())
+    for space in {k for k, _ in made if not k.startswith("name_")}:
+        own = [next(iter(s)) for (k, _), s in made.items() if k == space]
+        real = {re.sub(r"[\W_]", "", c).casefold() for k, c in made if k == space}
+        assert len(set(own)) == len(own) and not set(own) & real
+
+
 @pytest.mark.parametrize("sent", [pii.MAX_SENT, 0])
 def test_replace_edges(spark, monkeypatch, sent):
     monkeypatch.setattr(pii, "MAX_SENT", sent)
