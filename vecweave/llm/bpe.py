@@ -28,6 +28,8 @@ from vecweave.llm.arrays import LEAD, Rolling, text_slices
 from vecweave.llm.components import stored
 
 LEXICON_WORDS = 1 << 16
+# Texts encoded at once: what a worker holds per byte of them is some hundred bytes.
+ENCODED_BYTES = 1 << 19
 LEXICON_BYTES = 64
 MEMO_WORDS = 250_000
 _LETTER, _NUMBER, _OTHER, _BLANK, _WHITE = range(5)
@@ -215,7 +217,7 @@ class Encoder:
             hit = pc.fill_null(pc.match_substring(column, a), False)
             special = hit if special is None else pc.or_(special, hit)
         marked = set(np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()) if special is not None else set()
-        for first, end, data, offsets in text_slices(column):
+        for first, end, data, offsets in text_slices(column, ENCODED_BYTES):
             ids, bounds = self.encode(data, offsets)
             own = [i for i in range(first, end) if i in marked]
             if own:

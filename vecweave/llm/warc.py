@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from vecweave.llm.components import stored
 from vecweave.session import shared_dir
 
+# Bytes of records that one task reads back, about.
+READ_BYTES = 64 << 20
+
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -249,8 +252,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 f.close()
             yield _rows(out)
 
-    spread = archives.select("path").mapInArrow(ranges, "path string, start bigint, size bigint").repartition(F.col("path"), F.col("start"))
-    return spread.mapInArrow(records, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary")
+    found = stored(archives.select("path").mapInArrow(ranges, "path string, start bigint, size bigint"), "ranges")
+    # The rows are small, what they name is not: tasks are counted by the bytes that they will read.
+    total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    cores = found.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(total.n, max(cores, -(-total.bytes // READ_BYTES))))
+    return found.repartition(tasks, "path", "start").mapInArrow(records, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary")
 
 
 def _rows(out: list[Record]) -> pa.RecordBatch:
