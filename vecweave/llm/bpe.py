@@ -16,6 +16,7 @@ import tempfile
 import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,6 @@ from vecweave.llm.arrays import LEAD, Rolling, text_slices
 from vecweave.llm.components import stored
 
 LEXICON_WORDS = 1 << 16
-# Texts encoded at once: what a worker holds per byte of them is some hundred bytes.
-ENCODED_BYTES = 1 << 19
 LEXICON_BYTES = 64
 MEMO_WORDS = 250_000
 _LETTER, _NUMBER, _OTHER, _BLANK, _WHITE = range(5)
@@ -137,6 +136,12 @@ def split_words(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -
 
 
 _ONE = {ord(c) for c in "stmd"}
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    """One vocabulary per file and Python worker: tasks that follow in a worker do not build it again."""
+    return Vocabulary(path)
+
+
 _TWO = {(ord(a), ord(b)) for a, b in ("re", "ve", "ll")}
 
 
@@ -166,7 +171,7 @@ class Encoder:
     """Encodes slices of texts; ``lexicon`` is asked first, then a bounded memory of merged words."""
 
     def __init__(self, path: str, lexicon: Lexicon | None = None):
-        self.vocabulary, self.lexicon = Vocabulary(path), lexicon
+        self.vocabulary, self.lexicon = vocabulary(path), lexicon
         self._forget()
         self.hashes = (Rolling(31), Rolling(32))
 
@@ -217,7 +222,7 @@ class Encoder:
             hit = pc.fill_null(pc.match_substring(column, a), False)
             special = hit if special is None else pc.or_(special, hit)
         marked = set(np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()) if special is not None else set()
-        for first, end, data, offsets in text_slices(column, ENCODED_BYTES):
+        for first, end, data, offsets in text_slices(column):
             ids, bounds = self.encode(data, offsets)
             own = [i for i in range(first, end) if i in marked]
             if own:
@@ -354,10 +359,10 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``word, n`` over all documents, words as the tokenizer cuts them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, hashes = Vocabulary(path), (Rolling(31), Rolling(32))
+        words_of_file, hashes = vocabulary(path), (Rolling(31), Rolling(32))
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                starts, _ = split_words(data, offsets, vocabulary)
+                starts, _ = split_words(data, offsets, words_of_file)
                 if len(starts):
                     place, inverse, ends = distinct_words(data, offsets, starts, hashes)
                     words = [data[s:e].tobytes() for s, e in zip(starts[place], ends[place])]
@@ -395,7 +400,7 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = L
     top = [bytes(w) for w in frequent(counts, words).select("word").toArrow()["word"].to_pylist()]
     name = f"lexicon-{uuid.uuid4().hex}"
     place = os.path.join(tempfile.mkdtemp(prefix="vecweave-"), name)
-    Lexicon.write(place, top, Vocabulary(path).merge)
+    Lexicon.write(place, top, vocabulary(path).merge)
     docs.sparkSession.sparkContext.addFile(place)
     return name
 
