@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vecweave.operators.store import latest_by_id, to_store_rows
 from vecweave.schemas import CHUNK
-from vecweave.session import stored
+from vecweave.session import shared_dir, stored
 
 DEFAULT_BUCKETS = 256
 _OWN = ("bucket", "dimension")
@@ -83,11 +83,16 @@ class BucketedVectors:
         Incoming rows are computed once. Columns that one side lacks become null.
         """
         by = order or [F.col("created_at"), F.xxhash64("content"), F.xxhash64("embedding")]
-        fresh = stored(latest_by_id(self._marked(chunks), by), "fresh")
+        staged = shared_dir(self.spark, "fresh")
+        latest_by_id(self._marked(chunks), by).write.parquet(staged)
+        fresh = self.spark.read.parquet(staged)
         touched = self._touched(fresh)
         if touched:
             kept = self._all().filter(F.col("bucket").isin(touched)).join(fresh.select("id", "bucket"), ["id", "bucket"], "left_anti")
             self._replace(fresh.unionByName(kept, allowMissingColumns=True))
+        # The rows are in their buckets now.
+        fs, location = self._folder(staged)
+        fs.delete(location, True)
         return len(touched)
 
     def delete(self, ids: DataFrame) -> bool:
