@@ -4,13 +4,14 @@ import hashlib
 import re
 import textwrap
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from check_oracles import connect, rows_of
-from helpers import EDGES, documents
+from helpers import EDGES, LONG, documents
 from vecweave.llm import exact_dedup, license, quality
-from vecweave.llm.queries import ORACLES, QUERIES
+from vecweave.llm.queries import ORACLES, QUERIES, SQL_OP1
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -116,7 +117,7 @@ def test_license_edges(spark):
 def test_short_notices_get_labels(spark):
     short = {
         "Released under the MIT License.": "mit-short", "This is licensed under the MIT license": "mit-short", "// SPDX-License-Identifier: MIT": "mit-spdx",
-        "Released under the BSD 3-Clause License.": "bsd-short", "SPDX-License-Identifier: BSD-2-Clause": "bsd-spdx",
+        "Released under the BSD 3-Clause License.": "bsd-3-clause", "BSD License": "bsd-short", "MIT License\n\nCopyright": "mit-short", "Licensed under the GPL v3": "gpl-short", "ISC License": "isc-short", "SPDX-License-Identifier: BSD-2-Clause": "bsd-spdx",
         "subject to the Mozilla Public License, v. 2.0": "mpl-short", "Licensed under the Apache License, Version 2.0.": "apache-notice", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-notice",
         "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-notice", "Released under the Sun License.": "", "taught at MIT, no license": "",
     }
@@ -136,3 +137,30 @@ def test_wrapped_notices_get_labels(spark, width, lead):
     rows = {r.doc_id: r for r in license.scan(docs).collect()}
     assert all("\n" in t for t in lines.values()) and rows[100].labels == ""
     assert [i for i, k in enumerate(lines) if k not in rows[i].labels.split(",")] == []
+
+
+SCATTERED = [
+    "Students at MIT work under " + " ".join(f"word{i}" for i in range(150)) + " the driving license",
+    "The public library in Mozilla Square needs a license.",
+    "Apache helicopters, " + "and more words here " * 5 + "licensed to carry 2.0 tons, a version " + "of many words " * 5 + "under the license",
+    "license MIT and the license of GPL under it",
+    "the MIT " + "x " * 30_000 + "License",
+]
+
+
+def test_scattered_template_words_have_no_label(spark):
+    rows = license.scan(documents(spark, list(enumerate(SCATTERED)))).collect()
+    assert [(r.labels, r.score) for r in rows] == [("", 0.0)] * len(SCATTERED)
+
+
+def test_license_blocks_equal_sql(spark):
+    wrapped = ["\n".join(textwrap.wrap(f"words before it {v} and after", w)) for v in license.TEMPLATES.values() for w in (20, 60)]
+    dropped = [" ".join(w for i, w in enumerate(v.split()) if i % 7 != 3) for v in license.TEMPLATES.values()]
+    mixed = [" x ".join(v.split()) for v in license.TEMPLATES.values()] + [" ".join(sorted(v.split())) for v in license.TEMPLATES.values()]
+    crowd = ["MIT license " * 2000 + LONG]
+    texts = [(i, t) for i, t in enumerate([*wrapped, *dropped, *mixed, *SCATTERED, *crowd, None, "", "\n\n"])]
+    got = {tuple(r) for r in license.scan(documents(spark, texts)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert got == set(con.execute(SQL_OP1).fetchall()) and len({r[6] for r in got}) > 15

@@ -1,16 +1,20 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a text, or a run of words over adjacent lines, as long as a template, around
-one of its rarest words; as the set of its words. A block meets a template when it holds at least ``CONTAINMENT`` of the template's words. Tokens are ordered by how many documents of
-the corpus hold them, rarest first; a block can only meet a template if the first tokens of
-both, in that order, meet (prefix filter), if it has enough tokens (length filter), and if
-enough tokens follow the first common one on both sides (positional filter). What passes is
-counted exactly. Block words outside all templates cannot count, so blocks are cut down to
-template words first. DataFrame functions only.
+A block of a template is a window of words of one paragraph, a quarter longer than the
+template (lines do not matter, an empty line ends a paragraph); as the set of its words. A
+block meets a template when it holds at least ``CONTAINMENT`` of the template's words, and, for
+templates under ``ORDERED`` words, as many of them in the template's order. Tokens are ordered by
+how many documents of the corpus hold them, rarest first; a block can only meet a template if
+it holds one of the template's first tokens in that order (prefix filter), if it has enough
+tokens (length filter), and if enough tokens follow the first common one on both sides
+(positional filter). The filters are applied to all words around such a token that can share a
+block with it; in what passes, each block is counted exactly. Words outside all templates
+cannot count, so the filters see template words only. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Mapping
@@ -19,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTAINMENT = 0.8
+# A template of fewer words must be met in order, as its words are too common apart.
+ORDERED = 8
 # Templates are handed to all tasks; larger sets belong in several scans.
 MAX_TEMPLATE_WORDS = 20_000
 
@@ -28,15 +34,20 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    # So few words that each of them is needed.
-    "bsd-short": "under the BSD License",
+    # So few words that each of them is needed, in order.
+    "bsd-2-clause": "BSD 2-Clause License",
+    "bsd-3-clause": "BSD 3-Clause License",
+    "bsd-short": "BSD License",
     "bsd-spdx": "SPDX-License-Identifier: BSD",
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0",
     "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "gnu-short": "under the GNU GPL",
     "gpl-notice": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-short": "under the GPL",
+    "isc-short": "ISC License",
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mit-short": "under the MIT License",
+    "mit-short": "MIT License",
     "mit-spdx": "SPDX-License-Identifier: MIT",
     "mpl-short": "Mozilla Public License",
     "public-domain-notice": "This work has been released into the public domain",
@@ -48,7 +59,22 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def _words(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(_WORD + "+", text.lower())))
+    return re.findall(_WORD + "+", text.lower())
+
+
+def template(text: str, containment: float = CONTAINMENT) -> tuple[list[str], int, int, str | None]:
+    """A template's distinct words, how many a block needs, how long a block is, and the order it must keep.
+
+    The order is a pattern for the block's words joined by spaces; None where any order will do.
+    """
+    words = _words(text)
+    sorts = list(dict.fromkeys(words))
+    need = math.ceil(containment * len(sorts) - 1e-9)
+    order = None
+    if len(words) < ORDERED:
+        each = [" (?:.* )?".join(c) for c in dict.fromkeys(itertools.combinations(sorts, need))]
+        order = "(?s)(?:^| )(?:" + "|".join(each) + r")(?: |\z)"
+    return sorts, need, len(words) + len(words) // 4, order
 
 
 def any_of(sequences: list[list[str]]) -> str:
@@ -69,52 +95,59 @@ def document_counts(docs: DataFrame, vocabulary: list[str], text: str = "text")
     return {w: 0 for w in vocabulary} | {r.w: r.n for r in rows}
 
 
-def match_templates(rows: DataFrame, ordered: list[str], templates: Mapping[str, list[str]], containment: float) -> DataFrame:
-    """``_key, label, containment`` of all (block, template) pairs that meet, blocks being ``_line``.
-
-    A block with ``_labels`` is compared with these templates only, one without (null) with all.
-    """
+def match_templates(rows: DataFrame, ordered: list[str], templates: Mapping[str, tuple]) -> DataFrame:
+    """``_key, label, containment`` of the templates (of ``_labels``) that a block within ``_words`` meets."""
     rank = {w: i for i, w in enumerate(ordered)}
     index = []
-    for name, words in templates.items():
+    for name, (words, need, long, order) in templates.items():
         words = sorted(words, key=rank.__getitem__)
-        need = math.ceil(containment * len(words) - 1e-9)
-        index += [(w, name, j, len(words), need, words) for j, w in enumerate(words[: len(words) - need + 1])]
-    spark = rows.sparkSession
-    lookup = F.broadcast(spark.createDataFrame(index, "tok string, label string, j int, size int, need int, words array<string>"))
-    tokens = F.array_intersect(F.lit(ordered), F.split(F.translate("_line", _UPPER, _LOWER), _APART + "+"))
-    each = rows.withColumn("b", tokens).select("_key", "_labels", "b", F.posexplode("b").alias("i", "tok"))
+        index += [(w, name, j, len(words), need, words, long, order) for j, w in enumerate(words[: len(words) - need + 1])]
+    schema = "tok string, label string, j int, size int, need int, words array<string>, long int, order string"
+    lookup = F.broadcast(rows.sparkSession.createDataFrame(index, schema))
+    each = rows.withColumn("b", F.array_intersect(F.lit(ordered), "_words")).select("*", F.posexplode("b").alias("i", "tok"))
     held = F.size("b")
     passes = (
-        (F.col("_labels").isNull() | F.array_contains("_labels", F.col("label")))
+        F.array_contains("_labels", F.col("label"))
         & (held >= F.col("need"))
         & (F.col("i") <= held - F.col("need"))
         & (1 + F.least(held - F.col("i") - 1, F.col("size") - F.col("j") - 1) >= F.col("need"))
     )
-    common = F.size(F.array_intersect("b", "words"))
-    pairs = each.join(lookup, "tok").filter(passes).withColumn("common", common).filter(F.col("common") >= F.col("need"))
+    pairs = each.join(lookup, "tok").filter(passes).filter(F.size(F.array_intersect("b", "words")) >= F.col("need"))
+
+    def common(start: Column) -> Column:
+        block = F.slice("_words", start, F.col("long"))
+        kept = F.col("order").isNull() | F.regexp_like(F.array_join(block, " "), F.col("order"))
+        return F.when(kept, F.size(F.array_intersect("words", block))).otherwise(0)
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - F.col("long") + 1, F.lit(1)))
+    pairs = pairs.withColumn("common", F.array_max(F.transform(starts, common))).filter(F.col("common") >= F.col("need"))
     return pairs.select("_key", "label", (F.col("common") / F.col("size")).alias("containment"))
 
 
-def wrapped(texts: DataFrame, hint: str, first: Mapping[str, list[str]], length: Mapping[str, int]) -> DataFrame:
-    """``_key, _line, _labels``: runs of words over adjacent lines, around each of a template's ``first`` words.
+def surroundings(texts: DataFrame, hint: str, first: Mapping[str, list[str]], long: Mapping[str, int]) -> DataFrame:
+    """``_key, _words, _labels``: the words around each of a template's ``first`` words.
 
-    A notice that starts in one line and ends in another, of ``length`` words, lies within as
-    many words on both sides of any of its words. An empty line ends a run.
+    Blocks of ``long`` words that hold such a word lie within as many words on both sides of it.
+    The words of a paragraph stay in one row; only the pieces around the hits leave it.
     """
     spans: dict[str, dict[int, list[str]]] = {}
     for name, words in first.items():
         for w in words:
-            spans.setdefault(w, {}).setdefault(length[name], []).append(name)
+            spans.setdefault(w, {}).setdefault(long[name], []).append(name)
     lookup = F.create_map(*[x for w, of in spans.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(names).alias("names")) for n, names in of.items()]))])
-    runs = texts.select("_key", F.explode(F.split("_text", r"\n[ \t\r]*\n")).alias("_run")).filter(F.col("_run").contains("\n") & F.col("_run").rlike(hint))
-    runs = runs.select("_key", F.split(F.translate("_run", _UPPER, _LOWER), _APART + "+").alias("w"))
-    hits = F.filter(F.transform("w", lambda x, i: F.when(x.isin(list(spans)), i)), lambda i: i.isNotNull())
-    each = runs.select("_key", "w", F.explode(hits).alias("i"))
-    each = each.select("_key", "w", "i", F.explode(F.element_at(lookup, F.element_at("w", F.col("i") + 1))).alias("s"))
-    begin = F.greatest(F.col("i") + 2 - F.col("s.n"), F.lit(1))
-    line = F.array_join(F.slice("w", begin, F.col("i") + 1 + F.col("s.n") - begin), " ")
-    return each.select("_key", line.alias("_line"), F.col("s.names").alias("_labels"))
+    runs = texts.select("_key", F.explode(F.split("_text", r"\n[ \t\r]*\n")).alias("_run")).filter(F.col("_run").rlike(hint))
+    runs = runs.select("_key", F.regexp_extract_all(F.translate("_run", _UPPER, _LOWER), F.lit(f"({_WORD}+)")).alias("w"))
+    hits = F.filter(F.transform("w", lambda x, i: F.when(x.isin(list(spans)), i + 1)), lambda i: i.isNotNull())
+
+    def around(i: Column) -> Column:
+        def piece(s: Column) -> Column:
+            begin = F.greatest(i + 1 - s["n"], F.lit(1))
+            return F.struct(F.slice("w", begin, i + s["n"] - begin).alias("words"), s["names"].alias("names"))
+
+        return F.transform(F.element_at(lookup, F.element_at("w", i)), piece)
+
+    each = runs.select("_key", F.explode(F.flatten(F.transform(hits, around))).alias("p"))
+    return each.select("_key", F.col("p.words").alias("_words"), F.col("p.names").alias("_labels"))
 
 
 def scan(
@@ -128,27 +161,24 @@ def scan(
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``score`` is 1 where a phrase is found, else the highest containment of a template that a
-    line or a run of words over adjacent lines meets, else 0. Labels are distinct, sorted and joined by commas, "" for none. A null
+    block meets, else 0. Labels are distinct, sorted and joined by commas, "" for none. A null
     text is an empty one; repeated rows get equal results; other columns are not read; an
     empty table gives no rows.
     """
-    sets = {k: _words(v) for k, v in templates.items()}
-    vocabulary = sorted({w for s in sets.values() for w in s})
-    if sum(map(len, sets.values())) > MAX_TEMPLATE_WORDS:
+    known = {k: template(v, containment) for k, v in templates.items()}
+    vocabulary = sorted({w for words, *_ in known.values() for w in words})
+    if sum(len(words) for words, *_ in known.values()) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words for one scan")
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     counts = document_counts(base, vocabulary, "_text")
     ordered = sorted(vocabulary, key=lambda w: (counts[w], w))
     rank = {w: i for i, w in enumerate(ordered)}
     # Every block that meets a template holds one of the template's first tokens.
-    first = {k: sorted(s, key=rank.__getitem__)[: len(s) - math.ceil(containment * len(s) - 1e-9) + 1] for k, s in sets.items()}
+    first = {k: sorted(words, key=rank.__getitem__)[: len(words) - need + 1] for k, (words, need, *_) in known.items()}
     hint = any_of([[w] for w in sorted({w for s in first.values() for w in s})])
     key = F.struct("doc_id", F.xxhash64("_text").alias("h"))
     texts = base.filter(F.col("_text").rlike(hint)).select(key.alias("_key"), "_text")
-    lines = texts.select("_key", F.explode(F.split("_text", "\n")).alias("_line")).filter(F.col("_line").rlike(hint))
-    lines = lines.withColumn("_labels", F.lit(None).cast("array<string>"))
-    runs = wrapped(texts, hint, first, {k: len(re.findall(_WORD + "+", v)) for k, v in templates.items()})
-    matches = match_templates(lines.unionByName(runs), ordered, sets, containment)
+    matches = match_templates(surroundings(texts, hint, first, {k: long for k, (_, _, long, _) in known.items()}), ordered, known)
     matches = matches.groupBy("_key").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     matches = matches.select(F.col("_key.doc_id").alias("_d"), F.col("_key.h").alias("_h"), "_more", "_best")
 

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join(
-    "('{}', {})".format(k, license._words(v)) for k, v in license.TEMPLATES.items()
+    "('{}', {}, {}, {}, '{}')".format(k, words, need, long, order or "") for k, v in license.TEMPLATES.items() for words, need, long, order in [license.template(v)]
 )
 SQL_OP1 = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -41,11 +41,13 @@ b AS (
               WHEN ws[i] = 'all' AND ws[i + 1] = 'rights' AND ws[i + 2] = 'reserved' THEN 'reserved' END AS label
   FROM p),
 bb AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS ls FROM b WHERE label IS NOT NULL GROUP BY 1),
-tpl(label, words) AS (VALUES TEMPLATES),
-l AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws
-      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, max(len(list_intersect(l.ws, tpl.words)) / len(tpl.words)) AS c FROM l, tpl
-      WHERE len(list_intersect(l.ws, tpl.words)) >= ceil(0.8 * len(tpl.words) - 1e-9) GROUP BY 1, 2),
+tpl(label, words, need, long, ord) AS (VALUES TEMPLATES),
+l AS (SELECT doc_id, regexp_extract_all(run, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) AS run FROM d)),
+c AS (SELECT * FROM l, tpl WHERE len(list_intersect(l.ws, tpl.words)) >= need),
+k AS (SELECT doc_id, label, words, need, ord, unnest(list_transform(list_filter(range(1, len(ws) + 1), lambda i: list_contains(words, ws[i])), lambda i: ws[i:i + long - 1])) AS block FROM c),
+m AS (SELECT doc_id, label, max(len(list_intersect(block, words)) / len(words)) AS c FROM k
+      WHERE len(list_intersect(block, words)) >= need AND (ord = '' OR regexp_matches(array_to_string(block, ' '), ord)) GROUP BY 1, 2),
 mm AS (SELECT doc_id, list(label) AS ls, max(c) AS best FROM m GROUP BY 1)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        array_to_string(list_sort(coalesce(bb.ls, [])), ',') AS base_labels,
