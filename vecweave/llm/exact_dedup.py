@@ -20,7 +20,7 @@ MIN_CHUNK, MAX_CHUNK = 512, 4096
 CUT = "[.!?;:|]"
 _CHUNK = f"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?(?:{CUT}|\\z)|.{{1,{MAX_CHUNK}}}"
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-KEY = ["recipe", "spelled", "sha"]
+KEY = ["recipe", "spelled"]
 
 
 def normalised(text: Column) -> Column:
@@ -79,10 +79,10 @@ def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", identifi
     Rows are counted before they meet, so a text that a third of all rows share is one row per
     task; documents then find their group by a join that adaptive execution may split.
     """
-    each = recipes(docs, text, id_col, identifier).groupBy("doc_id", *KEY).agg(F.count("*").alias("copies"))
+    each = recipes(docs, text, id_col, identifier).groupBy("doc_id", "sha", *KEY).agg(F.count("*").alias("copies"))
     whole = each.groupBy(*KEY).agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     a, b = each.alias("a"), whole.alias("b")
-    on = (F.col("a.sha") == F.col("b.sha")) & (F.col("a.recipe") == F.col("b.recipe")) & F.col("a.spelled").eqNullSafe(F.col("b.spelled"))
+    on = (F.col("a.recipe") == F.col("b.recipe")) & F.col("a.spelled").eqNullSafe(F.col("b.spelled"))
     return a.join(b, on).select("a.doc_id", "b.keep_id", "b.group_size", "a.copies", F.col("a.sha").alias("text_sha256"))
 
 
