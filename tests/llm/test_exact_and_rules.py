@@ -79,11 +79,14 @@ def measured(text):
         "n_lines": len(lines),
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": len(again),
+        "n_alpha_words": sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7F]", w)) for w in words),
+        "n_digits": sum(c in "0123456789" for c in text or ""),
+        "n_bullet_lines": sum(x.lstrip(" \t\n\r\v\f")[0] in "-*•" for x in lines),
     }
 
 
 def test_ledger_measures(spark):
-    own = [(20, "a b c d e x a b c d e"), (21, "é|é\n é|é\né|é\n\n"), (22, "a " * 40), (23, "x y z v w\nx y z v w\n" * 2)]
+    own = [(20, "a b c d e x a b c d e"), (21, "é|é\n é|é\né|é\n\n"), (22, "a " * 40), (23, "x y z v w\nx y z v w\n" * 2), (24, "- a 1\n\t• é2\n * \n…\n-"), (25, "•"), (26, "12 3é | â€\n-")]
     rows = [r for r in EDGES if r[1] is None or len(r[1]) < 1000] + own
     got = quality.ledger(documents(spark, rows)).collect()
     want = sorted((str(i), sorted(measured(t).items())) for i, t in rows)
@@ -97,7 +100,12 @@ def test_policies_and_ablation(spark):
     assert [r.doc_id for r in quality.apply_policy(rows, "v1").filter("kept").collect()] == [3]
     assert [r.doc_id for r in quality.apply_policy(rows, ("few_words",)).filter("kept").orderBy("doc_id").collect()] == [2, 3]
     table = {r.rule: (r.n_failed, r.n_only) for r in quality.ablation(rows).collect()}
-    assert table["few_words"][0] == 2 and table["few_words"][1] == 1 and set(table) == set(quality.POLICIES["v1"])
+    assert table["few_words"][0] == 2 and table["few_words"][1] == 1 and set(table) == set(quality.POLICIES["v2"])
+    words = [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(6)]
+    more = documents(spark, [(1, "| ".join(words)), (2, " | ".join(" ".join(words).split())), (3, "\n- ".join(["", *words])), (4, "1234 567 x " * 2 + "99 8 " * 9), (5, "\n".join(words))])
+    bits = {r.doc_id: r.fail_bits for r in quality.ledger(more).collect()}
+    assert not bits[1] and bits[2] & quality.bit("letters") and bits[3] & quality.bit("bullet_lines") and bits[4] & quality.bit("digits") and not bits[5]
+    assert {r.doc_id for r in quality.keep_documents(more).collect()} == {1, 5}
     kept = quality.keep_documents(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
     assert {(r.n_failed, r.n_only) for r in quality.ablation(quality.ledger(documents(spark, []))).collect()} == {(0, 0)}

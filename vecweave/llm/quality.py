@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vecweave.llm.arrays import LEAD, SPACE, Rolling, mix, owners, per_row, repeated, text_slices, windows, words_of
 
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words", "n_digits", "n_bullet_lines")
 
 # Rules in the order of their bits, as SQL that is true where a document fails; new ones go to the end.
 # A document without words fails few_words only: no share can be taken of nothing.
@@ -29,15 +29,25 @@ RULES: dict[str, str] = {
     "long_words": "word_chars > 40 * n_words",
     "symbols": "n_symbols > n_words",
     "duplicate_lines": "2 * n_dup_lines > n_lines",
+    "letters": "5 * n_alpha_words < 4 * n_words",
+    "digits": "2 * n_digits > word_chars",
+    "bullet_lines": "n_lines > 4 AND 10 * n_bullet_lines > 9 * n_lines",
 }
 # Policies by version: the names of the rules that decide.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "short_words", "long_words", "symbols", "duplicate_lines"),
+    "v2": ("few_words", "repeated_words", "short_words", "long_words", "symbols", "duplicate_lines", "letters", "digits", "bullet_lines"),
 }
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
+# A word with an ASCII letter, or with any character beyond ASCII, counts as one of letters.
+_ALPHA = np.zeros(256, bool)
+_ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_BULLET = "•".encode()
 
 
 def measure_texts(data: np.ndarray, offsets: np.ndarray, hashes: Rolling) -> dict[str, np.ndarray]:
@@ -47,6 +57,9 @@ def measure_texts(data: np.ndarray, offsets: np.ndarray, hashes: Rolling) -> dic
     lead = LEAD[data]
     out["word_chars"] = per_row(lead & ~SPACE[data], offsets)
     out["n_symbols"] = per_row(_SYMBOL[data], offsets)
+    out["n_digits"] = per_row(_DIGIT[data], offsets)
+    alpha = np.concatenate([[0], np.cumsum(_ALPHA[data])])
+    out["n_alpha_words"] = per_row(alpha[ends] > alpha[starts], bounds)
     sums = hashes.sums(data)
     # Lines: a text's start, and each place after a line feed; only lines with a word count.
     feed = np.flatnonzero(data == 0x0A)
@@ -61,6 +74,12 @@ def measure_texts(data: np.ndarray, offsets: np.ndarray, hashes: Rolling) -> dic
     n = len(offsets) - 1
     out["n_lines"] = np.bincount(line_text, minlength=n)
     out["n_dup_lines"] = np.bincount(line_text[repeated(lines)[1]], minlength=n)
+    # Lines whose first word begins with "-", "*" or a bullet.
+    lead_word = starts[np.searchsorted(starts, line_starts)] if len(line_starts) else line_starts
+    padded = np.concatenate([data, np.zeros(len(_BULLET), np.uint8)])
+    bullet = (data[lead_word] == 0x2D) | (data[lead_word] == 0x2A)
+    bullet |= np.logical_and.reduce([padded[lead_word + i] == b for i, b in enumerate(_BULLET)])
+    out["n_bullet_lines"] = np.bincount(line_text[bullet], minlength=n)
     # Windows of five words, compared within their text.
     word = hashes.spans(sums, starts, ends)
     first = windows(bounds, WINDOW)
@@ -111,12 +130,12 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return measured.withColumn("fail_bits", bits.cast("bigint"))
 
 
-def apply_policy(rows: DataFrame, policy: str | Mapping | tuple[str, ...] = "v1", name: str = "kept") -> DataFrame:
+def apply_policy(rows: DataFrame, policy: str | Mapping | tuple[str, ...] = "v2", name: str = "kept") -> DataFrame:
     """Adds ``name``: no rule of the policy failed."""
     return rows.withColumn(name, F.col("fail_bits").bitwiseAND(F.lit(policy_mask(policy))) == 0)
 
 
-def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
+def ablation(rows: DataFrame, policy: str = "v2") -> DataFrame:
     """Per rule of a policy: documents that fail it, and those that fail nothing else.
 
     The latter are what the policy would gain by leaving the rule out. One aggregation over
@@ -132,7 +151,7 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.agg(*aggs).select(F.inline(F.array(*each)))
 
 
-def keep_documents(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
+def keep_documents(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that pass the policy; nothing is shuffled."""
     at = [c.lower() for c in docs.columns].index(text.lower())
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])

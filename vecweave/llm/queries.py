@@ -75,7 +75,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-SQL_OP6 = r"""
+SQL_LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 win AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
@@ -83,18 +83,24 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(5)) AS k) GROUP BY 1),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 lc AS (SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
-dl AS (SELECT doc_id, sum(n) AS n_lines, sum(n - 1) AS n_dup FROM lc GROUP BY 1),
+dl AS (SELECT doc_id, sum(n) AS n_lines, sum(n - 1) AS n_dup, sum(n * regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')::INT) AS n_bullet FROM lc GROUP BY 1),
 m AS (
   SELECT d.doc_id, len(w.ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         coalesce(dl.n_lines, 0)::BIGINT AS n_lines, coalesce(dl.n_dup, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words
+         coalesce(dl.n_lines, 0)::BIGINT AS n_lines, coalesce(dl.n_dup, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_alpha_words,
+         length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS n_digits, coalesce(dl.n_bullet, 0)::BIGINT AS n_bullet_lines
   FROM d JOIN w USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
 b AS (
-  SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (2 * word_chars < 3 * n_words)::INT
-         + 8 * (word_chars > 40 * n_words)::INT + 16 * (n_symbols > n_words)::INT + 32 * (2 * n_dup_lines > n_lines)::INT AS fail_bits
+  SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (2 * word_chars < 3 * n_words)::INT
+         + 8 * (word_chars > 40 * n_words)::INT + 16 * (n_symbols > n_words)::INT + 32 * (2 * n_dup_lines > n_lines)::INT
+         + 64 * (5 * n_alpha_words < 4 * n_words)::INT + 128 * (2 * n_digits > word_chars)::INT
+         + 256 * (n_lines > 4 AND 10 * n_bullet_lines > 9 * n_lines)::INT)::BIGINT AS fail_bits
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, fail_bits::BIGINT AS fail_bits,
-       fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept
+"""
+SQL_OP6 = SQL_LEDGER + r"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_alpha_words, n_digits, n_bullet_lines,
+       fail_bits, fail_bits & 3 <> 0 AS base_failed, fail_bits & 511 = 0 AS kept
 FROM b
 """
 
@@ -103,7 +109,19 @@ FROM b
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = quality.apply_policy(rows, "base", "_base_kept").withColumn("base_failed", ~F.col("_base_kept")).drop("_base_kept")
-    return quality.apply_policy(rows, "v1")
+    return quality.apply_policy(rows, "v2")
+
+
+SQL_ABLATION = SQL_LEDGER + r"""
+, r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('short_words', 4), ('long_words', 8), ('symbols', 16),
+                        ('duplicate_lines', 32), ('letters', 64), ('digits', 128), ('bullet_lines', 256))
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only FROM r, b GROUP BY rule
+"""
+
+
+@query("quality_ablation", SQL_ABLATION)
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
 @query("op10_dart_minhash")
