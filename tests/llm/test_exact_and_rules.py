@@ -79,7 +79,7 @@ def measured(text):
         "n_lines": len(lines),
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": len(again),
-        "n_alpha_words": sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7F]", w)) for w in words),
+        "n_plain_words": sum(bool(re.search(r"[0-9A-Za-z]|[^\x00-\x7F]", w)) for w in words),
         "n_digits": sum(c in "0123456789" for c in text or ""),
         "n_bullet_lines": sum(x.lstrip(" \t\n\r\v\f")[0] in "-*•" for x in lines),
     }
@@ -104,7 +104,7 @@ def test_policies_and_ablation(spark):
     words = [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(6)]
     more = documents(spark, [(1, "| ".join(words)), (2, " | ".join(" ".join(words).split())), (3, "\n- ".join(["", *words])), (4, "1234 567 x " * 2 + "99 8 " * 9), (5, "\n".join(words))])
     bits = {r.doc_id: r.fail_bits for r in quality.ledger(more).collect()}
-    assert not bits[1] and bits[2] & quality.bit("letters") and bits[3] & quality.bit("bullet_lines") and bits[4] & quality.bit("digits") and not bits[5]
+    assert not bits[1] and bits[2] & quality.bit("marks") and bits[3] & quality.bit("bullet_lines") and bits[4] & quality.bit("digits") and not bits[5]
     assert {r.doc_id for r in quality.keep_documents(more).collect()} == {1, 5}
     kept = quality.keep_documents(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]

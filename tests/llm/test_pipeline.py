@@ -14,7 +14,7 @@ def fails(m):
     return (
         n < 10 or 100 * m["n_repeat_words"] > 20 * n or 2 * m["word_chars"] < 3 * n or m["word_chars"] > 40 * n
         or m["n_symbols"] > n or 2 * m["n_dup_lines"] > m["n_lines"]
-        or 5 * m["n_alpha_words"] < 4 * n or 2 * m["n_digits"] > m["word_chars"] or (m["n_lines"] > 4 and 10 * m["n_bullet_lines"] > 9 * m["n_lines"])
+        or 5 * m["n_plain_words"] < 4 * n or 2 * m["n_digits"] > m["word_chars"] or (m["n_lines"] > 4 and 10 * m["n_bullet_lines"] > 9 * m["n_lines"])
     )
 
 

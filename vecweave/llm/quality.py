@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vecweave.llm.arrays import LEAD, SPACE, Rolling, mix, owners, per_row, repeated, text_slices, windows, words_of
 
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words", "n_digits", "n_bullet_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_plain_words", "n_digits", "n_bullet_lines")
 
 # Rules in the order of their bits, as SQL that is true where a document fails; new ones go to the end.
 # A document without words fails few_words only: no share can be taken of nothing.
@@ -29,7 +29,7 @@ RULES: dict[str, str] = {
     "long_words": "word_chars > 40 * n_words",
     "symbols": "n_symbols > n_words",
     "duplicate_lines": "2 * n_dup_lines > n_lines",
-    "letters": "5 * n_alpha_words < 4 * n_words",
+    "marks": "5 * n_plain_words < 4 * n_words",
     "digits": "2 * n_digits > word_chars",
     "bullet_lines": "n_lines > 4 AND 10 * n_bullet_lines > 9 * n_lines",
 }
@@ -37,14 +37,14 @@ RULES: dict[str, str] = {
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "short_words", "long_words", "symbols", "duplicate_lines"),
-    "v2": ("few_words", "repeated_words", "short_words", "long_words", "symbols", "duplicate_lines", "letters", "digits", "bullet_lines"),
+    "v2": ("few_words", "repeated_words", "short_words", "long_words", "symbols", "duplicate_lines", "marks", "digits", "bullet_lines"),
 }
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
-# A word with an ASCII letter, or with any character beyond ASCII, counts as one of letters.
-_ALPHA = np.zeros(256, bool)
-_ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
+# Words with an ASCII letter or digit, or with any character beyond ASCII; others are marks only.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = _PLAIN[128:] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _BULLET = "•".encode()
@@ -58,8 +58,8 @@ def measure_texts(data: np.ndarray, offsets: np.ndarray, hashes: Rolling) -> dic
     out["word_chars"] = per_row(lead & ~SPACE[data], offsets)
     out["n_symbols"] = per_row(_SYMBOL[data], offsets)
     out["n_digits"] = per_row(_DIGIT[data], offsets)
-    alpha = np.concatenate([[0], np.cumsum(_ALPHA[data])])
-    out["n_alpha_words"] = per_row(alpha[ends] > alpha[starts], bounds)
+    plain = np.concatenate([[0], np.cumsum(_PLAIN[data])])
+    out["n_plain_words"] = per_row(plain[ends] > plain[starts], bounds)
     sums = hashes.sums(data)
     # Lines: a text's start, and each place after a line feed; only lines with a word count.
     feed = np.flatnonzero(data == 0x0A)

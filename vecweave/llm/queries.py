@@ -88,18 +88,18 @@ m AS (
   SELECT d.doc_id, len(w.ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(dl.n_lines, 0)::BIGINT AS n_lines, coalesce(dl.n_dup, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words,
-         len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_alpha_words,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[0-9A-Za-z]|[^\x00-\x7F]'))) AS n_plain_words,
          length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS n_digits, coalesce(dl.n_bullet, 0)::BIGINT AS n_bullet_lines
   FROM d JOIN w USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
 b AS (
   SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (2 * word_chars < 3 * n_words)::INT
          + 8 * (word_chars > 40 * n_words)::INT + 16 * (n_symbols > n_words)::INT + 32 * (2 * n_dup_lines > n_lines)::INT
-         + 64 * (5 * n_alpha_words < 4 * n_words)::INT + 128 * (2 * n_digits > word_chars)::INT
+         + 64 * (5 * n_plain_words < 4 * n_words)::INT + 128 * (2 * n_digits > word_chars)::INT
          + 256 * (n_lines > 4 AND 10 * n_bullet_lines > 9 * n_lines)::INT)::BIGINT AS fail_bits
   FROM m)
 """
 SQL_OP6 = SQL_LEDGER + r"""
-SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_alpha_words, n_digits, n_bullet_lines,
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_plain_words, n_digits, n_bullet_lines,
        fail_bits, fail_bits & 3 <> 0 AS base_failed, fail_bits & 511 = 0 AS kept
 FROM b
 """
@@ -114,7 +114,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_ABLATION = SQL_LEDGER + r"""
 , r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('short_words', 4), ('long_words', 8), ('symbols', 16),
-                        ('duplicate_lines', 32), ('letters', 64), ('digits', 128), ('bullet_lines', 256))
+                        ('duplicate_lines', 32), ('marks', 64), ('digits', 128), ('bullet_lines', 256))
 SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only FROM r, b GROUP BY rule
 """
 
