@@ -130,3 +130,14 @@ def test_late_rows_are_dropped_and_closed_windows_come_once(spark, tmp_path):
     assert sum(s["numRowsDroppedByWatermark"] for s in states) == 1
     # What is kept at the end is the open window alone.
     assert states[-1]["numRowsTotal"] == 1
+
+
+def test_a_manifest_of_many_files_is_few_micro_batches(spark, tmp_path):
+    os.makedirs(tmp_path / "in")
+    for i in range(1200):
+        (tmp_path / "in" / f"{i}.txt").write_text("x")
+    writer = stream_manifest(spark, f"{tmp_path}/in", "*.txt").writeStream.trigger(availableNow=True)
+    query = writer.option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").start()
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [1200]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1200

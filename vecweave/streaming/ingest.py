@@ -15,6 +15,9 @@ from vecweave.sources.manifest import file_name, infer_content_type, location_me
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
+# Files in one micro-batch of a manifest, which has their names and times only.
+MANIFEST_FILES = 50_000
+
 
 def stream_files(
     spark: SparkSession, path: str, glob: str | None = None, max_files: int = 1000, max_age: str = "36500d"
@@ -46,10 +49,12 @@ def stream_files(
 
 
 def stream_manifest(
-    spark: SparkSession, path: str, glob: str | None = None, delay: str = "1 hour", max_files: int = 1000
+    spark: SparkSession, path: str, glob: str | None = None, delay: str = "1 hour", max_files: int = MANIFEST_FILES
 ) -> DataFrame:
     """Each file version once: a fingerprint that arrives again within ``delay`` is dropped.
 
+    No file's bytes are read, so a micro-batch takes many more files than one of ``stream_files``.
+
     The watermark follows ``seen_at``, the time of arrival. Modification times may be old
     (a copy keeps them), and a file must not be dropped as late for that.
     """
