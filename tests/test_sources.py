@@ -5,10 +5,11 @@ import json
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vecweave.catalogue.files import write_pages
+from vecweave.catalogue.files import _deck, write_pages
 from vecweave.operators.ledger import ledger_state
 from vecweave.plans.retrieval import process_incremental
 from vecweave.schemas import MANIFEST
@@ -345,3 +346,13 @@ def test_page_files_share_folders_and_keep_every_row(spark, tmp_path):
         read |= {n: open(f"{folder}/{n}").read() for n in names}
     assert len(read) == 2502 and read["page_id=2600.txt"] == "\n" and read["page_id=None.txt"] == "no id\n"
     assert sorted(read["page_id=7.txt"].split()) == ["<p>7</p>", "again"] and read["page_id=8.txt"] == "<p>8</p>\n"
+
+
+def test_presentations_are_parsed_in_pieces_of_few_bytes(spark, monkeypatch):
+    assert list(X.pieces(pa.array([b"12", b"345", None, b"6", b""]), 3)) == [(0, 1), (1, 2), (3, 2)]
+    assert list(X.pieces(pa.array([], pa.binary()), 3)) == [(0, 0)] and list(X.pieces(pa.array(["12345"]), 3)) == [(0, 1)]
+    # Texts of over a megabyte, so a batch of all of them is several pieces.
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("ab <&> "), 200_000), F.col("id")).alias("text")).coalesce(1)
+    made = X.extract_pptx(docs.select("doc_id", "text", F.lit("deck.pptx").alias("name"), _deck("text").alias("content")))
+    wrong = made.join(docs.withColumnRenamed("text", "whole"), "doc_id").filter("text IS DISTINCT FROM whole OR error IS NOT NULL")
+    assert made.count() == 12 and wrong.count() == 0
