@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecweave.catalog import MODELS, model_catalog, quota_presets
+from vecweave.catalogue import embeds
 from vecweave.operators import embedding as E
 
 TEXTS = ["The quick brown fox.", "Größe, Größe und größe!", "", "   ", "x y z 1 2 3", "The quick brown fox."]
@@ -213,3 +214,15 @@ def test_the_catalogue_caps_batches(spark):
     assert sizes("llamacpp/default", max_batch_size=60) == [10, 60, 60]
     with pytest.raises(ValueError):
         E.embed_with(df, "mock", "m", 0)
+
+
+def test_more_text_is_sorted_by_more_tasks(spark, tmp_path, monkeypatch):
+    texts = [(i, "x" * (i % 90 + 1)) for i in range(2000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tasks = []
+    accounted = E.embed_accounted
+    monkeypatch.setattr(E, "embed_accounted", lambda df, *a, **o: tasks.append(df.rdd.getNumPartitions()) or accounted(df, *a, **o))
+    monkeypatch.setattr(embeds, "SORTED_BYTES", 20_000)
+    told = embeds.embed_accounting(spark, str(tmp_path)).first()
+    total = sum(len(t) for _, t in texts)
+    assert tasks == [-(-total // 20_000)] and (told["total_chunks"], told["n_vectors"], told["total_tokens"], told["largest_call"]) == (2000, 2000, total, 50)

@@ -118,6 +118,10 @@ def embed_cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.unionByName(entries.select(F.lit(-1).cast("bigint").alias("doc_id"), F.lit(True).alias("cache_hit"), F.lit(-1).alias("pos"), "x"))
 
 
+# Bytes of text that one task sorts.
+SORTED_BYTES = 64 << 20
+
+
 def _counting_provider(model: str, limit: int) -> E.Embedder:
     def embed(texts: Sequence[str]) -> E.Embedded:
         if any(len(t) > limit for t in texts):
@@ -141,8 +145,10 @@ FROM documents""",
 )
 def embed_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results table that embedding leaves: tokens as the provider reports them, calls within the model's largest batch."""
-    # Short texts come first, so the first calls of a partition are full ones.
-    docs = documents(spark, sf_dir).select("doc_id", "text").repartition(2, "doc_id").sortWithinPartitions(F.length("text"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    # Short texts come first, so the first calls of a partition are full ones. A partition is sorted whole, so it has a bounded size.
+    tasks = max(2, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SORTED_BYTES))
+    docs = docs.repartition(tasks, "doc_id").sortWithinPartitions(F.length("text"))
     vectors, calls = E.embed_accounted(docs, "counting", "llamacpp/default", 1000, limit=REFUSED_CHARS)
     totals = embedding_stats(calls).select("total_chunks", "embedded_chunks", "failed_chunks", "total_tokens", r("success_rate").alias("success_rate"), (F.col("total_processing_time") > 0).alias("has_time"))
     largest = calls.agg(F.max("n_embedded").alias("largest_call"))
