@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecweave.operators import sampling as P
 
@@ -94,3 +96,27 @@ def test_sparse_ids_are_cut_into_equal_blocks(spark, tmp_path):
     assert all(len(r["value"]) <= 200 for r in files) and len(files) == sum(max(p) for p in got(df, max_bytes=200).values())
     text = "".join(r["value"] for r in sorted(files, key=lambda r: r["part"]) if r["source"] == "two")
     assert text == "".join(t + "\n" for s, _, t in rows if s == "two")
+
+
+def test_parts_are_written_once_and_found_by_their_keys(spark, tmp_path):
+    keys = ["a/b=c", "50%", "ü", None, "", "plain"]
+    rows = [(k, i, f"line {i}" if i % 7 else None, 1 + i // 20) for k in keys for i in range(50)]
+    parted = spark.createDataFrame(rows, "source string, doc_id long, text string, part long")
+    P.write_parts(parted, f"{tmp_path}/parts")
+    parted.select("source", "part", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source", "part").text(f"{tmp_path}/spark")
+    folders = [{os.path.relpath(d, f"{tmp_path}/{n}") for d, _, names in os.walk(f"{tmp_path}/{n}") if any(x.endswith(".txt") for x in names)} for n in ("parts", "spark")]
+    assert folders[0] == folders[1] and len(folders[0]) == 15
+    read = spark.read.text(f"{tmp_path}/parts", wholetext=True).collect()
+    # Null and the empty key share a folder, not a file.
+    assert len(read) == 18
+    wanted = {(k or None, p): "".join(("" if i % 7 == 0 else f"line {i}") + "\n" for i in range(50) if 1 + i // 20 == p) for k in keys for p in (1, 2, 3)}
+    assert all(r["value"] == wanted[r["source"], r["part"]] for r in read)
+    with pytest.raises(FileExistsError):
+        P.write_parts(parted, f"{tmp_path}/parts")
+
+
+def test_thousands_of_blocks_are_cut_by_one_literal(spark):
+    rows = spark.range(6000).select(F.lit("k").alias("source"), F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    blocks = rows.select(P._equal_blocks(P._line_bytes(rows, "source", "doc_id", "text"), "doc_id", 2).alias("b"))
+    sizes = blocks.groupBy("b").count()
+    assert sizes.count() == 3000 and sizes.agg(F.max("count")).first()[0] <= 4

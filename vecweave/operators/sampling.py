@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecweave.functions.binding import once
 from vecweave.plans.blocks import BLOCK, MAX_KEY_ROWS, carry_in, in_block, large_keys, null_safe_join
+from vecweave.sources.files import opened
 
 DEFAULT_MAX_BYTES = 199_000_000
 # A cell covers this many full parts; a super-cell this many cells.
 _FAN = 64
 # Samples up to this size are taken as a plain top-n.
 SMALL_SAMPLE = 10_000
+# Bytes of a part that are held before they are written.
+WRITE_BYTES = 1 << 20
+# What Spark writes as a number in the name of a partition's folder, control characters besides.
+_ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
 
 
 def _line_bytes(df: DataFrame, key: str, order: str, line: str) -> DataFrame:
@@ -28,7 +37,8 @@ def _equal_blocks(lines: DataFrame, order: str, block_rows: int) -> Column:
     blocks = max(1, -(-n // block_rows))
     if blocks == 1:
         return F.lit(0).cast("bigint")
-    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    # One literal: an expression for each share would be slower to plan than all the rest.
+    shares = F.split(F.lit(",".join(repr(i / blocks) for i in range(1, blocks))), ",").cast("array<double>")
     accuracy = max(10_000, 10 * blocks)
     cuts = np.unique(np.array(lines.agg(F.percentile_approx(order, shares, accuracy).alias("c")).first()["c"]))
 
@@ -99,10 +109,52 @@ def split_by_bytes(
     return null_safe_join(df, numbered, [key, order], "inner")
 
 
+def _folder(name: str, value: str | None) -> str:
+    """A partition's folder as Spark names it, so that reading finds the value again."""
+    return f"{name}=" + ("".join(f"%{ord(c):02X}" if c < " " or c in _ESCAPED else c for c in value) if value else "__HIVE_DEFAULT_PARTITION__")
+
+
 def write_parts(parted: DataFrame, path: str, key: str = "source", order: str = "doc_id", line: str = "text") -> None:
-    """One text file per key and part under ``path``, its lines in order. A part is bounded in bytes, so one task writes it."""
-    dealt = parted.select(key, "part", order, F.coalesce(F.col(line), F.lit("")).alias("value")).repartition(key, "part")
-    dealt.sortWithinPartitions(key, "part", order).drop(order).write.partitionBy(key, "part").text(path)
+    """One text file per key and part under ``path``, its lines in order. A part is bounded in bytes, so one task writes it.
+
+    The folders are those of ``partitionBy(key, "part")``, but the tasks write the files themselves, as ``read_files``
+    opens them: a committer that renames each of so many small files takes far longer than the rest.
+    """
+    system, root, _ = opened(path)
+    if system.get_file_info(root).type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{path} is there already")
+    system.create_dir(root)
+    dealt = parted.select(F.col(key).cast("string").alias("key"), "part", F.col(order).alias("order"), F.coalesce(F.col(line), F.lit("")).alias("value"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root, _ = opened(path)
+        name, n, held, out = f"part-{TaskContext.get().partitionId():05d}", 0, None, None
+
+        def place(n: int) -> tuple[str, str]:
+            folder = f"{root}/{_folder(key, held[0])}/{_folder('part', str(held[1]))}"
+            # Readers leave out names that begin so, until the file is whole.
+            return f"{folder}/_{name}-{n}", f"{folder}/{name}-{n}.txt"
+
+        for batch in batches:
+            for at, value in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+                if out is None or at != held:
+                    if out is not None:
+                        out.close()
+                        system.move(*place(n))
+                        n += 1
+                    held = at
+                    system.create_dir(place(n)[0].rsplit("/", 1)[0])
+                    out = system.open_output_stream(place(n)[0], buffer_size=WRITE_BYTES)
+                out.write((value + "\n").encode())
+        if out is not None:
+            out.close()
+            system.move(*place(n))
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "order").drop("order")
+    dealt.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    system.open_output_stream(f"{root}/_SUCCESS").close()
 
 
 def _part_numbers(start: np.ndarray, end: np.ndarray, max_bytes: int, first: int, parts: int) -> np.ndarray:
