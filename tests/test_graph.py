@@ -112,3 +112,10 @@ def test_blocks_do_not_depend_on_batches():
     want = [list(range(0, 16)), list(range(16, 32)), [32], [33, 34, 35, 36], list(range(37, 53)), list(range(53, 69)), [69]]
     for size in (1, 7, 33, 70):
         assert [b.column(0).to_pylist() for b in G._blocks(iter(table.to_batches(size)), 16)] == want
+
+
+def test_only_centres_with_something_new_get_vectors(spark):
+    edges = [("a", "b", True), ("b", "a", False), ("c", "d", False), ("d", "c", False)]
+    graph = spark.createDataFrame([(i, n, 0.5, f) for i, n, f in edges], "id string, neighbour string, score double, fresh boolean")
+    got = sorted((r["centre"], r["id"], r["fresh"]) for r in G._around(graph, 4).collect())
+    assert got == [("a", "a", False), ("a", "b", True), ("b", "a", True), ("b", "b", False)]

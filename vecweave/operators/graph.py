@@ -184,13 +184,16 @@ def _k_best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _around(graph: DataFrame, k: int) -> DataFrame:
-    """``centre, id, fresh``: each row, its neighbours, and at most k rows that have it as neighbour."""
+    """``centre, id, fresh``: each row, its neighbours, and at most k rows that have it as neighbour; only where one is fresh."""
     forth = graph.select(F.col("id").alias("centre"), F.col("neighbour").alias("id"), "fresh")
     drawn = Window.partitionBy("centre").orderBy(F.desc("fresh"), F.xxhash64("centre", "id"), "id")
     back = graph.select(F.col("neighbour").alias("centre"), "id", "fresh")
     back = back.withColumn("_n", F.row_number().over(drawn)).filter(F.col("_n") <= k).drop("_n")
     own = graph.select(F.col("id").alias("centre"), "id", F.lit(False).alias("fresh")).distinct()
-    return forth.unionByName(back).unionByName(own).groupBy("centre", "id").agg(F.max("fresh").alias("fresh"))
+    every = forth.unionByName(back).unionByName(own).repartition("centre").groupBy("centre", "id").agg(F.max("fresh").alias("fresh"))
+    # No vector is sent to a centre that has nothing to compare.
+    busy = F.max("fresh").over(Window.partitionBy("centre"))
+    return every.withColumn("_busy", busy).filter("_busy").drop("_busy")
 
 
 def knn_graph(
@@ -235,8 +238,8 @@ def knn_graph(
         floors = graph.groupBy("id").agg(F.when(F.count("*") >= wide, F.min("score")).alias("floor"))
         around = _around(graph, wide).join(vectors.join(floors, "id", "left"), "id")
         members = F.array_sort(F.collect_list(F.struct("id", "fresh", "floor", "embedding")))
-        groups = around.groupBy("centre").agg(members.alias("members"), F.max("fresh").alias("any"))
-        met = _local_joins(groups.filter("any").select("members"), wide, metric, id_type).withColumn("fresh", F.lit(True))
+        groups = around.groupBy("centre").agg(members.alias("members"))
+        met = _local_joins(groups.select("members"), wide, metric, id_type).withColumn("fresh", F.lit(True))
         known = graph.select("id", "neighbour", "score", F.lit(False).alias("fresh"))
         graph = stored(_k_best(known.unionByName(met), wide), "graph")
     graph.filter(F.col("rank") <= k).select("id", "neighbour", "score", "rank").write.parquet(path)
