@@ -484,6 +484,49 @@ def test_contexts_are_counted_without_collisions(tmp_path):
     assert not tree.answer(table[:0], np.zeros(1, np.int64), table[:5])[0].any()
 
 
+def test_counts_travel_small_and_whole(tmp_path):
+    rng = np.random.default_rng(6)
+    # Words as frequent as in texts; a tenth of the symbols is asked for but not trained.
+    symbols, bounds = np.minimum(rng.zipf(1.3, 200_000), 5000) - 1, np.array([0, 90_000, 90_000, 200_000])
+    tree = small_tree(tmp_path, np.bincount(symbols, minlength=5001))
+    keys = np.stack(tree.keys(symbols, bounds))
+    asked = np.unique(keys.ravel())
+    table, times = np.unique(keys[:, 20_000:], return_counts=True)
+    count = np.zeros(len(asked), np.int64)
+    count[np.searchsorted(asked, table)] = times
+    total = np.concatenate([[0], np.cumsum(times)])
+    for bits in (1, 3):
+        at = lm._parts(asked, bits).tolist()
+        rows = [lm._pack_keys(asked[a:b], count[a:b], tree.width, p, bits) for p, (a, b) in enumerate(zip(at, at[1:]))]
+        back = [lm._unpack_keys(r, tree.width, p, bits) for p, r in enumerate(rows)]
+        assert (np.concatenate([b[0] for b in back]) == asked).all() and (np.concatenate([b[1] for b in back]) == count).all()
+        # Part by part, also with the keys nobody trained among the counted ones, as the query has them.
+        answers = [tree.pack(b[0], *tree.drops(b[0], np.concatenate([[0], np.cumsum(b[1])]), b[0])) for b in back]
+        met, begin = tree.unpack(asked, answers)
+        # The plain way: every part of the tree on the way is looked up by itself.
+        for i in rng.integers(0, len(asked), 300).tolist():
+            context, symbol = asked[i] & ~tree.mask, int(tree.leaf[int(asked[i] & tree.mask)])
+            path = tree.node[tree.bounds[symbol] : tree.bounds[symbol + 1]]
+            low = [*tree.low[path].tolist(), int(tree.rank[symbol])]
+            high = [*tree.high[path].tolist(), int(tree.rank[symbol]) + 1]
+            inner = lambda x, y: total[np.searchsorted(table, context | np.uint64(y - 1), "right")] - total[np.searchsorted(table, context | np.uint64(x))]
+            want = [n for n in map(inner, low, high) if n > 0]
+            assert met[begin[i] : begin[i + 1]].astype(int).tolist() == want
+    # Eight bytes to ask, sixteen to train and four for each count on the way, without this.
+    size = sum(map(len, rows + answers))
+    assert size < 10 * len(asked) < (24 * len(asked) + 4 * begin[-1]) / 4
+    assert lm._unpack(lm._pack(np.zeros(0), np.array([7])))[1].tolist() == [7]
+
+
+def test_shuffles_for_stored_tables_are_removed(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, files = spark.conf.get(name), lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    had = files()
+    kept = lm._stored(spark.range(1000).repartition(3, "id"), "kept")
+    assert files() <= had
+    assert kept.count() == 1000 and spark.conf.get(name) == before
+
+
 def plain_score(x, bit, depth, block):
     """The mixing of one text, decision by decision; what is learned counts from the next block on."""
     weights, seen, excess, total = np.tile(lm.START, (lm.SETS, 1)), np.zeros(24), np.zeros(24), 0.0
