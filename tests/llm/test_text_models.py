@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from helpers import EDGES, documents
 from vecweave.llm import lm, minhash, pii, suffix, warc
 from vecweave.llm.arrays import Rolling, text_slices
+from vecweave.llm.bpe import gather
 from vecweave.llm.components import components
 
 KEY = b"test"
@@ -518,6 +520,69 @@ def test_counts_travel_small_and_whole(tmp_path):
     assert lm._unpack(lm._pack(np.zeros(0), np.array([7])))[1].tolist() == [7]
 
 
+def test_keys_take_little_memory(tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(0, 4000, 700)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    symbols = rng.integers(0, 900, bounds[-1])
+    tree = small_tree(tmp_path, np.bincount(symbols, minlength=901))
+    held = rng.random(len(sizes)) < 0.1
+    monkeypatch.setattr(lm, "_tree", lambda path: tree)
+    monkeypatch.setattr(lm.SparkFiles, "get", lambda name: name)
+    batch = pa.RecordBatch.from_pydict({"slice": [7], "symbols": [lm._pack(symbols, sizes)], "held_out": [held.tolist()]})
+
+    def most(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1] / len(symbols)
+        finally:
+            tracemalloc.stop()
+
+    rows, got = [], []
+    for turn in range(lm.ROUNDS):
+        out, size = most(lambda: [r for b in lm._events("tree", 6, turn)(iter([batch])) for r in b.to_pylist()])
+        assert size < 80  # bytes a symbol
+        rows += out
+    for r in sorted(rows, key=lambda r: r["part"]):
+        got.append(lm._unpack_keys(r["keys"], tree.width, r["part"], 6))
+    key, times = np.unique(np.stack(tree.keys(symbols, bounds))[:, ~np.repeat(held, sizes)], return_counts=True)
+    asked, count = (np.concatenate([g[i] for g in got]) for i in range(2))
+    assert (asked[count > 0] == key).all() and (count[count > 0] == times).all()
+    (all_, places), size = most(lambda: lm.places_of(tree, symbols.astype(np.int32), bounds))
+    assert size < 120 and (all_ == asked).all()
+    assert (all_[places] == np.stack(tree.keys(symbols, bounds))).all()
+
+
+def test_inputs_equal_a_plain_loop(tmp_path):
+    rng = np.random.default_rng(13)
+    sizes = [150, 0, 1, 249]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    symbols = np.minimum(rng.zipf(1.5, bounds[-1]), 12) - 1
+    tree = small_tree(tmp_path, np.bincount(symbols, minlength=13))
+    keys = np.stack(tree.keys(symbols, bounds))
+    asked, which = lm.places_of(tree, symbols, bounds)
+    # Some were never trained, others more often than two bytes tell.
+    count = rng.choice([0, 1, 3, 65_534, 65_535, 65_536, 1_000_000], len(asked))
+    answer = tree.pack(asked, *tree.drops(asked, np.concatenate([[0], np.cumsum(count)]), asked))
+    met, begin = tree.compact(asked, [answer])
+    assert met[0].dtype == np.uint16 and len(met[2]) and (asked[which] == keys).all()
+    node, at = gather(tree.node, tree.bounds, symbols)
+    bit = gather(tree.bit, tree.bounds, symbols)[0]
+    got = lm.inputs(tree, symbols, which, begin, met, node, bit)
+    leaf = (asked & tree.mask).astype(int)
+    for i, s in enumerate(symbols):
+        for d in range(at[i], at[i + 1]):
+            p = float(tree.plain[node[d]])
+            for k in range(lm.ORDERS):
+                if k:
+                    own = (asked & ~tree.mask) == (keys[k - 1][i] & ~tree.mask)
+                    n = int(count[own & (leaf >= tree.low[node[d]]) & (leaf < tree.high[node[d]])].sum())
+                    ones = int(count[own & (leaf >= int(tree.split[node[d]])) & (leaf < tree.high[node[d]])].sum())
+                    p = min(max((ones + lm.PRIOR * p) / (n + lm.PRIOR), 1e-6), 1 - 1e-6)
+                # Single precision: near 0 and 1 a prediction's last digits weigh more.
+                assert got[k][d] == pytest.approx(math.log(p / (1 - p)), abs=1e-4 + 3e-7 * math.exp(abs(got[k][d])))
+
+
 def test_shuffles_for_stored_tables_are_removed(spark):
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, files = spark.conf.get(name), lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
