@@ -540,7 +540,7 @@ def test_keys_take_little_memory(tmp_path, monkeypatch):
 
     rows, got = [], []
     for turn in range(lm.ROUNDS):
-        out, size = most(lambda: [r for b in lm._events("tree", 6, turn)(iter([batch])) for r in b.to_pylist()])
+        out, size = most(lambda: [r for b in lm._events("tree", 6, turn, lm.ROUNDS)(iter([batch])) for r in b.to_pylist()])
         assert size < 80  # bytes a symbol
         rows += out
     for r in sorted(rows, key=lambda r: r["part"]):
