@@ -239,6 +239,33 @@ def test_incremental_run_never_reads_what_it_excludes(spark, tmp_path):
     assert {r["status"]: r["n"] for r in ledger_state(log.unionByName(done.transitions)).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()} == {"completed": 2}
 
 
+def test_incremental_runs_list_inside_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    from vecweave.plans.retrieval import claim
+    from vecweave.sources.files import list_manifest
+
+    files = tmp_path / "in"
+    for place in ("a.txt", "_b.txt", "_c=1.txt", ".d.txt", "e.txt._COPYING_", "empty.txt", "sub/deep/f.txt", "_g/h.txt", "_i=1/j.txt", "sub/_k/l.txt", "sub/.m/n.txt", "o p=%/q é.txt"):
+        (files / place).parent.mkdir(parents=True, exist_ok=True)
+        (files / place).write_bytes(b"" if place == "empty.txt" else place.encode())
+    os.utime(files / "a.txt", ns=(0, 1_700_000_000_123_456_789))
+    listed = lambda df: sorted((r["source_path"], r["name"], r["size"], r["last_modified"], r["content_type"], sorted(r["metadata"].items())) for r in df.collect())
+    # A folder in several spellings, a pattern and a single file.
+    for path in (str(files), f"file://{files}/", f"{tmp_path}//in", f"{files}/sub/*", f"{files}/a.txt"):
+        assert listed(list_manifest(spark, path)) == listed(M.scan_manifest(spark, path)), path
+    assert len(listed(list_manifest(spark, str(files)))) == 5
+    with pytest.raises(AnalysisException):
+        list_manifest(spark, str(tmp_path / "nowhere"))
+
+    def on_driver(*_):
+        raise AssertionError("listed on the driver")
+
+    monkeypatch.setattr(M, "_files", on_driver)
+    due, _ = claim(spark, str(files), None, str(tmp_path / "work"), F.lit("2030-01-01").cast("timestamp"))
+    assert due.count() == 5
+
+
 def test_files_that_vanish_are_recorded_as_failed(spark, tmp_path):
     from vecweave.plans.retrieval import claim
 
