@@ -266,6 +266,24 @@ def test_incremental_runs_list_inside_tasks(spark, tmp_path, monkeypatch):
     assert due.count() == 5
 
 
+def test_files_to_context_does_not_make_a_folder_for_each_document(spark, tmp_path, monkeypatch):
+    from vecweave.catalogue import retrieval as Q
+
+    texts = [(i, f"wort{i} other thing{i}\nline é {i}" * (1 + 40 * (i % 7 == 0))) for i in range(40)]
+    spark.createDataFrame([*texts, (40, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, "wort3 thing3"), (9, "thing9")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(Q, "shared_dir", lambda _, purpose: str(tmp_path / purpose))
+    got = {r["query_id"]: r["prompt"] for r in Q.files_to_context(spark, str(tmp_path)).collect()}
+    files = {f.name: f.read_text() for f in (tmp_path / "text-files").glob("*/*.txt")}
+    assert files == {f"doc_id={i}.txt": (t or "") + "\n" for i, t in [*texts, (40, None)]}
+    assert len(list((tmp_path / "text-files").iterdir())) <= spark.sparkContext.defaultParallelism
+    # The same prompts from chunks that never were files.
+    chunks = [(i * 100000 + n, t[2000 * n : 2000 * n + 2000]) for i, t in ((i, (t or "") + "\n") for i, t in [*texts, (40, None)]) for n in range(-(-len(t) // 2000))]
+    rows = spark.createDataFrame([(f"{i:020d}", c) for i, c in chunks], "id string, content string")
+    want = Q.answer_prompts(Q.questions(spark, str(tmp_path)), Q.embed_hashing(rows, Q.DIM, text="content"), lambda d: Q.embed_hashing(d, Q.DIM), k=5)
+    assert got == {r["query_id"]: r["prompt"] for r in want.select("query_id", F.md5("prompt").alias("prompt")).collect()}
+
+
 def test_files_that_vanish_are_recorded_as_failed(spark, tmp_path):
     from vecweave.plans.retrieval import claim
 
