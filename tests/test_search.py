@@ -65,6 +65,50 @@ def test_query_blocks_equal_one_scan(data, metric):
     assert ids(search(q, s, 10, metric, max_components=40, max_queries=5)) == brute(queries, store, metric)
 
 
+def test_blocks_with_any_payload(data):
+    q, s, queries, store = data
+    # Results of blocks are told apart by folders, which must not add or hide columns.
+    rows = search(q, s.select("id", "embedding", F.lit("x").alias("block"), F.lit(7).alias("_home")), 3, max_queries=3).collect()
+    assert {(r["block"], r["_home"]) for r in rows} == {("x", 7)} and len(rows) == 3 * len(ids(search(q, s, 3)))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
+def test_few_slices_are_ordered_as_a_whole(metric, monkeypatch):
+    import pyarrow as pa
+
+    from vecweave.plans import topk
+
+    rng = np.random.default_rng(5)
+    rows, asked = np.round(rng.standard_normal((6000, 8)), 1), rng.standard_normal((50, 8))
+    rows[3000:3100] = rows[:100]
+    done = {"partition": 0, "lexsort": 0}
+
+    def counted(name, f):
+        def run(*a, **b):
+            done[name] += 1
+            return f(*a, **b)
+
+        monkeypatch.setattr(topk.np, name, run)
+
+    counted("partition", np.partition)
+    counted("lexsort", np.lexsort)
+    monkeypatch.setattr(topk, "MAX_SLICE_SCORES", 50 * 50)
+    best = topk.LocalTopK(asked, 5, metric, None, "id", "embedding")
+    table = pa.table({"id": pa.array(range(6000)), "embedding": pa.array(rows.tolist(), pa.list_(pa.float64()))})
+    for batch in table.to_batches(max_chunksize=1000):
+        best.feed(batch)
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("_score", pa.float64())])
+    found = best.result(pa.array(range(50)), schema).to_pydict()
+    # 120 slices.
+    assert done["partition"] < 30 and done["lexsort"] < 60, done
+    for i in range(50):
+        x = np.repeat(asked[i : i + 1], 6000, axis=0)
+        dot = (rows * x).sum(axis=1)
+        score = {"cosine": dot / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((x * x).sum(axis=1))), "euclidean": -np.sqrt(((rows - x) ** 2).sum(axis=1)), "dot_product": dot}[metric]
+        want = np.lexsort((np.arange(6000), -topk.significant(score)))[:5]
+        assert [j for q, j in zip(found["query_id"], found["id"]) if q == i] == want.tolist()
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_copies_go_by_id(spark, metric, monkeypatch):
     from vecweave.plans import topk
